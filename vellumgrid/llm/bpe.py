@@ -15,10 +15,15 @@ import numpy as np
 
 from vellumgrid.llm.common import ragged
 
-_ODD = re.compile(r"\s | \s|^ | $")
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _plain(text: str) -> bool:
+    """Whether all of a text's spaces stand between characters that are no white space."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _RARE.search(text))
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -32,13 +37,17 @@ class CachedEncoder:
     Special tokens' strings in a text count as ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.vocabulary = self.library.get_vocab_size()
+        blank = self.library.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(self.vocabulary, bool)  # ids whose bytes begin with a space
+        for token, k in self.library.get_vocab().items():
+            self.opens[k] = token.startswith(blank)
         self.limit = limit
         self._clear()
 
@@ -48,21 +57,34 @@ class CachedEncoder:
         self.offs = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, new: list[str], texts: list[str]) -> None:
-        for k in range(0, len(new), 20_000):
-            part = self.library.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)
+    def _learn(self, new: list[str]) -> None:
+        """Stretches of one word are encoded many to a text: each begins with the
+        only space in it, so ids that begin with a space tell them apart."""
+        for k in range(0, len(new), 100_000):
+            plain, odd = [], []
+            for p in new[k : k + 100_000]:
+                (odd if " " in p else plain).append(p)
+            texts = ["".join([" " + p for p in plain[j : j + 500]]) for j in range(0, len(plain), 500)]
+            part = self.library.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in part), np.uint32)
+            begin = np.flatnonzero(self.opens[ids])
+            if len(begin) != len(plain):
+                raise ValueError("the vocabulary joins words across spaces")
+            self._add(plain, ids, np.diff(np.append(begin, len(ids))))
+            part = self.library.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in odd], add_special_tokens=False)
             rows = [e.ids for e in part]
-            n = np.fromiter(map(len, rows), np.int64, len(rows))
-            have, count = self.used, len(self.index)
-            need = have + int(n.sum())
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
-            if count + len(rows) + 1 > len(self.offs):
-                self.offs = np.concatenate([self.offs, np.zeros(max(count + len(rows) + 1, len(self.offs)), np.int64)])
-            self.flat[have:need] = np.fromiter(itertools.chain.from_iterable(rows), np.uint32, need - have)
-            self.offs[count + 1 : count + len(rows) + 1] = have + np.cumsum(n)
-            self.used = need
-            self.index.update(zip(new[k : k + 20_000], range(count, count + len(rows)), strict=True))
+            self._add(odd, np.fromiter(itertools.chain.from_iterable(rows), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)))
+
+    def _add(self, stretches: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        count, need = len(self.index), self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
+        if count + len(n) + 1 > len(self.offs):
+            self.offs = np.concatenate([self.offs, np.zeros(max(count + len(n) + 1, len(self.offs)), np.int64)])
+        self.flat[self.used : need] = ids
+        self.offs[count + 1 : count + len(n) + 1] = self.used + np.cumsum(n)
+        self.used = need
+        self.index.update(zip(stretches, range(count, count + len(n)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
@@ -71,7 +93,7 @@ class CachedEncoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            cut = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            cut = text.split(" ") if _plain(text) else _CUT.split(text)
             cut[0] = " " + cut[0]  # marks the first: no other begins with a space
             parts += cut
             counts[k] = len(cut)
@@ -82,7 +104,7 @@ class CachedEncoder:
         if len(unseen):
             missed = [parts[k] for k in unseen.tolist()]
             fresh = list(dict.fromkeys(missed))
-            self._learn(fresh, [p[1:] if p[0] == " " else " " + p for p in fresh])
+            self._learn(fresh)
             pick[unseen] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
         ids, n = ragged(self.flat, self.offs[: len(self.index) + 1], pick)
         ends = np.concatenate([[0], np.cumsum(n)])
