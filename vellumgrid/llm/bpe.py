@@ -33,11 +33,12 @@ def default_vocabulary() -> str:
 class CachedEncoder:
     """Encodes texts to the ids that the library gives for the whole text.
 
-    The cache is emptied when it holds ``limit`` stretches, so memory is bounded.
+    When the cache holds ``limit`` stretches, those met most often stay and make
+    up at most half of it, so memory is bounded.
     Special tokens' strings in a text count as ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -55,14 +56,28 @@ class CachedEncoder:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.offs = np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _thin(self) -> None:
+        """Keep the stretches met often, up to half the limit."""
+        n = len(self.index)
+        hits = self.hits[:n]
+        floor = max(2, int(np.partition(hits, n - self.limit // 2)[n - self.limit // 2]) + 1) if n > self.limit // 2 else 2
+        keep = np.flatnonzero(hits >= floor)
+        names = list(self.index)  # in the order of their numbers
+        kept = [names[k] for k in keep.tolist()]
+        flat, lens = ragged(self.flat, self.offs[: n + 1], keep)
+        flat = flat.copy()
+        self._clear()
+        self._add(kept, flat, lens)
+
     def _learn(self, new: list[str]) -> None:
         """Stretches of one word are encoded many to a text: each begins with the
         only space in it, so ids that begin with a space tell them apart."""
-        for k in range(0, len(new), 100_000):
+        for k in range(0, len(new), 20_000):
             plain, odd = [], []
-            for p in new[k : k + 100_000]:
+            for p in new[k : k + 20_000]:
                 (odd if " " in p else plain).append(p)
             texts = ["".join([" " + p for p in plain[j : j + 500]]) for j in range(0, len(plain), 500)]
             part = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -84,6 +99,8 @@ class CachedEncoder:
         self.flat[self.used : need] = ids
         self.offs[count + 1 : count + len(n) + 1] = self.used + np.cumsum(n)
         self.used = need
+        if len(self.hits) < len(self.offs):
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.offs) - len(self.hits), np.int64)])
         self.index.update(zip(stretches, range(count, count + len(n)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +115,7 @@ class CachedEncoder:
             parts += cut
             counts[k] = len(cut)
         if len(self.index) > self.limit:
-            self._clear()
+            self._thin()
         pick = np.fromiter(map(self.index.get, parts, itertools.repeat(-1)), np.int64, len(parts))
         unseen = np.flatnonzero(pick < 0)
         if len(unseen):
@@ -106,6 +123,7 @@ class CachedEncoder:
             fresh = list(dict.fromkeys(missed))
             self._learn(fresh)
             pick[unseen] = np.fromiter(map(self.index.__getitem__, missed), np.int64, len(missed))
+        self.hits[: len(self.index)] += np.bincount(pick, minlength=len(self.index))
         ids, n = ragged(self.flat, self.offs[: len(self.index) + 1], pick)
         ends = np.concatenate([[0], np.cumsum(n)])
         at = np.concatenate([[0], np.cumsum(counts)])

@@ -27,13 +27,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm import bpe, common
 
-WINDOW, LEAST, MASK, MOST = 8, 64, 255, 2048
-_ROWS = "kind int, name binary, payload binary, doc_id long, n_tokens long, sizes array<int>, root binary, part int"
+WINDOW, LEAST, MASK, MOST = 8, 128, 511, 4096
+_ROWS = "kind int, name binary, payload binary, doc_id long, n_tokens long, sizes array<int>, root binary"
 
 
 def cuts(ids: np.ndarray, offs: np.ndarray, least: int = LEAST, mask: int = MASK, most: int = MOST) -> list[np.ndarray]:
@@ -74,14 +74,14 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-def _encode(path: str, width: int, seen_limit: int = 200_000):
+def _encode(path: str, width: int, seen_limit: int = 60_000):
     kind = f"<u{width}"
 
     def run(batches):
         code = bpe.encoder(path)
         seen: set[bytes] = set()
         for whole in batches:
-            for batch in common.slices(whole, "text"):
+            for batch in common.slices(whole, "text", 2_000_000):
                 ids, n = code.encode(batch.column("text").to_pylist())
                 full = np.zeros(len(ids) + len(n), np.uint32)  # each document ends with id 0
                 ends = np.cumsum(n + 1)
@@ -118,27 +118,13 @@ def _encode(path: str, width: int, seen_limit: int = 200_000):
                         pa.concat_arrays([void(c, pa.int64()), pa.array(n + 1, pa.int64())]),
                         pa.array([None] * c + sizes, pa.list_(pa.int32())),
                         pa.array([None] * c + roots, pa.binary()),
-                        pa.array(np.arange(c + docs) % 1024, pa.int32()),
                     ],
-                    ["kind", "name", "payload", "doc_id", "n_tokens", "sizes", "root", "part"],
+                    ["kind", "name", "payload", "doc_id", "n_tokens", "sizes", "root"],
                 )
 
     return run
 
 
-def _distinct(batches):
-    """Drops a chunk whose name came before in this partition, which is sorted by name."""
-    last = None
-    for batch in batches:
-        names, kinds = batch.column("name").to_pylist(), batch.column("kind").to_pylist()
-        keep = np.ones(batch.num_rows, bool)
-        for k, (name, kind) in enumerate(zip(names, kinds, strict=True)):
-            if kind == 0:
-                keep[k] = name != last
-                last = name
-        yield batch.filter(pa.array(keep))
-
-
 def write(docs: DataFrame, root: str, vocabulary: str | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write the store to ``root``."""
     spark = docs.sparkSession
@@ -146,9 +132,10 @@ def write(docs: DataFrame, root: str, vocabulary: str | None = None) -> None:
     width = 2 if bpe.encoder(path).vocabulary <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(path, width), _ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(parts, "name").sortWithinPartitions("kind", "name").mapInArrow(_distinct, _ROWS).write.option(
-        "compression", "zstd"
-    ).partitionBy("kind").parquet(f"{root}/objects")
+    # equal chunks meet in one partition, one from each task; the first stays
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("kind"))
+    once = rows.repartition(parts, "name").withColumn("turn", turn).filter("turn = 1 or kind = 1").drop("turn")
+    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{root}/objects")
     recipes = _objects(spark, root, 1)
     ordered = recipes.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     ordered.mapInArrow(
