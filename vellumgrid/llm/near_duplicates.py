@@ -14,11 +14,13 @@ Steps, all distributed:
 2. Of the texts that share a band, each is compared with the band's leader (the
    least by a hash that differs from band to band). Similarities are exact, over
    whole shingle sets. Links are joined to components.
-3. Where a band's texts still fall into several components, all its texts
-   outside the largest are compared with the band's texts of other components,
-   unless their signatures put 0.8 out of reach (an estimate under 0.5 from 96
-   places). Links found are joined again. So no link between different texts
-   within a band is lost, and no band's pairs are all emitted.
+3. The texts of bands that still hold several components are joined exactly:
+   pairs of different components come from a prefix filter over rare shingles,
+   which misses no pair at 0.8 and leaves out texts that share only common
+   shingles. Links found are joined again. So no link between different texts
+   of a band is lost, and no band's pairs are all emitted. (With ``counted``
+   weights the filter works on the sets, so multisets whose sets are under the
+   threshold rely on step 2.)
 
 Classes are the components; a class is named by its smallest doc_id.
 
@@ -155,7 +157,7 @@ def _sign(counted: bool):
 
 
 def _bands(batches):
-    """A row for each band of a signature: its hash, and the low 16 bits of each place for estimates."""
+    """A row for each band of a signature, with its hash."""
     for batch in batches:
         sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u8").reshape(-1, PLACES)
         total = np.zeros((len(sign), PLACES // BAND), np.uint64)
@@ -238,6 +240,50 @@ def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(_compare(least), "a long, b long")
 
 
+def _unpacked(batches):
+    for batch in batches:
+        keys = batch.column("keys").to_pylist()
+        n = [len(k) // 8 for k in keys]
+        flat = np.frombuffer(b"".join(keys), "<i8")
+        owner = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("rep").take(owner), batch.column("label").take(owner), pa.array(np.repeat(n, n), pa.int32()), pa.array(flat)], ["rep", "label", "n", "key"]
+        )
+
+
+def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of rows (rep, keys, label) with different labels that may reach
+    the Jaccard similarity ``least``; none that does is missing.
+
+    With each set's shingles in one order, rare ones first, two such sets share
+    a shingle among the first n - ceil(2*least/(1+least)*n) + 1 of the smaller and
+    the first m - ceil(least*m) + 1 of the larger, and what is left behind their
+    first shared one still holds the overlap they need. Texts that differ from
+    all others by their own edits have only shingles of their own there."""
+    flat = rows.mapInArrow(_unpacked, "rep long, label long, n int, key long")
+    frequent = flat.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
+    known = flat.join(frequent, "key").groupBy("rep", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
+    ceil = lambda x: F.ceil(x - F.lit(1e-9)).cast("int")
+    own = F.col("n") - F.size("keys")  # shingles of no other text come first
+    probe = F.col("n") - ceil(F.col("n") * least) + 1
+    short = F.col("n") - ceil(F.col("n") * (2 * least / (1 + least))) + 1
+    early = known.withColumn("own", own).withColumn("probe", probe).withColumn("short", short).filter("probe > own")
+    early = early.select("rep", "label", "n", "own", "short", F.posexplode(F.slice("keys", F.lit(1), F.col("probe") - F.col("own"))).alias("i", "k"))
+    early = common.materialise(
+        early.select("rep", "label", "n", F.col("k.key").alias("key"), (F.col("own") + F.col("i")).alias("at"), (F.col("own") + F.col("i") < F.col("short")).alias("lead")),
+        "dart-prefixes",
+    )
+    sizes = early.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("x.label").alias("main"))
+    mixed = common.materialise(early.join(mixed, "key"), "dart-mixed")
+    one = mixed.filter("label <> main").select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "label", "n", "at", "lead")])
+    both = one.join(mixed, "key").filter("p_label <> label and (label = main or p_rep < rep)")
+    both = both.filter("(n >= p_n and p_lead) or (p_n >= n and lead)")
+    need = ceil((F.col("n") + F.col("p_n")) * (least / (1 + least)))
+    both = both.filter((F.least("n", "p_n") >= least * F.greatest("n", "p_n") - 1e-9) & (F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) >= need))
+    return both.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> DataFrame:
     """doc_id, class_id, copy_of: each document's near-duplicate class, and the
     smallest document of equal words."""
@@ -264,21 +310,12 @@ def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> Dat
     labels = components(links)
     # bands whose texts lie in several components
     placed = shared.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("x"), F.count("*").alias("groups")).filter("groups > 1")
-    torn = common.materialise(placed.join(largest.select("band", F.col("x.label").alias("main")), "band"), "dart-torn")
-    probes = torn.filter("label <> main").select("band", F.col("rep").alias("p"), F.col("label").alias("p_label"))
-    rest = probes.join(torn.select("band", "rep", "label", "main"), "band").filter("p_label <> label and (label = main or p < rep)")
-    rest = rest.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    slim = reps.select("rep", "signature").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    near = rest.join(slim.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(
-        slim.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b"
-    )
-    near = common.materialise(near.mapInArrow(_estimate(least - 0.3), "a long, b long"), "dart-rest")
-    more = common.materialise(_links(near, sets, least), "dart-more")
+    torn = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
+    open_ = common.materialise(placed.join(torn, "band", "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "dart-open")
+    rest = _prefix_pairs(sets.select("rep", "keys").join(open_, "rep"), least).join(pairs, ["a", "b"], "left_anti")
+    rest = common.materialise(rest, "dart-rest")
+    more = common.materialise(_links(rest, sets, least), "dart-more")
     # doc_ids with several texts tie them
-    ties = reps.groupBy("rep").agg(F.count("*").alias("n"))  # a rep of two texts is one node already
-    _ = ties
     member = signed.select("doc_id", "a", "b").join(copies, ["a", "b"]).select("doc_id", "rep").distinct()
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
     tied = member.join(several.select("doc_id", "lo"), "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
@@ -289,17 +326,6 @@ def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> Dat
     return out.groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"), F.min("rep").alias("copy_of"))
 
 
-def _estimate(least: float):
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, PLACES) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
-
-    return run
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents"))
 
