@@ -30,7 +30,7 @@ from vellumgrid.llm import common
 
 FEATURES = [
     "log_bytes", "upper", "lower", "digit", "blank", "line_end", "comma_stop", "shout", "bar", "odd", "wide", "log_words", "word_mean", "word_spread",
-    "line_mean", "distinct_words", "odd_words", "capital_words",
+    "line_mean", "distinct_words", "odd_words", "capital_words", "repeated_words",
 ]
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r", "\n", ".,;:'\"()-", "!?", "|<>{}[]"]):
@@ -78,6 +78,8 @@ def features(texts: pa.Array) -> np.ndarray:
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
         out[:, 15] = np.bincount(w[fresh], minlength=n) / np.maximum(np.diff(at), 1)
+        again = (hashes[1:] == hashes[:-1]) & (who[1:] == who[:-1])
+        out[:, 18] = np.bincount(who[1:][again], minlength=n) / np.maximum(np.diff(at), 1)
     strange = np.concatenate([[0], np.cumsum(kind == 9)])
     ends = np.append(begin[1:], len(raw))
     out[:, 16] = np.bincount(own, weights=strange[ends] > strange[begin], minlength=n) / some
@@ -112,7 +114,7 @@ def _split(g: np.ndarray, h: np.ndarray, leaves: int, least: float) -> np.ndarra
 class AdditiveModel:
     """Intercept, edges of bins, a table for each feature and for each chosen pair."""
 
-    def __init__(self, bins: int = 32, rounds: int = 150, pair_bins: int = 8, pairs: int = 6, rate: float = 0.1, leaves: int = 3, least: float = 2.0):
+    def __init__(self, bins: int = 32, rounds: int = 150, pair_bins: int = 8, pairs: int = 6, rate: float = 0.1, leaves: int = 3, least: float = 0.5):
         self.bins, self.rounds, self.pair_bins, self.n_pairs = bins, rounds, pair_bins, pairs
         self.rate, self.leaves, self.least = rate, leaves, least
         self.intercept, self.edges, self.tables, self.pairs = 0.0, [], [], []
