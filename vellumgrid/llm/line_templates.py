@@ -32,18 +32,22 @@ VARIABLE = r"(?<!\S)(?:https?://|[^\s0-9@]*+[0-9@])\S*+"
 LEAD, SIMILAR, GENERAL_TOKENS, MIN_DOCS, SHORT_DOCS = 3, 0.7, 8, 2, 10
 
 
-def _masked(text: Column) -> Column:
-    """The text's lines, variable tokens masked and runs of blanks made one."""
-    return F.split(F.regexp_replace(F.regexp_replace(text, VARIABLE, "<*>"), r"[ \t\r\f]+", " "), "\n")
+def _masked(line: Column) -> Column:
+    """A line trimmed, its runs of blanks made one and variable tokens masked.
+    The patterns run only on lines that they can change."""
+    flat = F.trim(F.translate(line, "\t\r\f", "   "))
+    single = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat)
+    return F.when(single.rlike("[0-9@]|://"), F.regexp_replace(single, VARIABLE, "<*>")).otherwise(single)
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line_h, leaf_h, n_tokens of every line that isn't blank."""
-    exploded = docs.select("doc_id", F.posexplode(_masked(F.col("text"))).alias("line_no", "raw"))
-    lines = exploded.select("doc_id", "line_no", F.trim("raw").alias("line")).filter("line <> ''")
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    """doc_id, row_key (of the text), line_no, line_h, leaf_h, n_tokens of every
+    line that isn't blank."""
+    exploded = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    lines = exploded.select("doc_id", "row_key", "line_no", _masked(F.col("raw")).alias("line")).filter("line <> ''")
+    n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
     return lines.select(
-        "doc_id", "line_no", F.xxhash64("line").alias("line_h"), F.xxhash64(n, F.substring_index("line", " ", LEAD)).alias("leaf_h"), n.alias("n_tokens")
+        "doc_id", "row_key", "line_no", F.xxhash64("line").alias("line_h"), F.xxhash64(n, F.substring_index("line", " ", LEAD)).alias("leaf_h"), n.alias("n_tokens")
     )
 
 
@@ -51,38 +55,40 @@ def _general(docs: DataFrame, keys: DataFrame, general_tokens: int) -> DataFrame
     """line_h, template: the lines that belong to the template of their leaf."""
     long = keys.filter(F.col("n_tokens") >= general_tokens)
     branching = long.groupBy("leaf_h").agg(F.min("line_h").alias("a"), F.max("line_h").alias("b")).filter("a <> b").select("leaf_h")
-    first = long.groupBy("line_h").agg(F.min(F.struct("doc_id", "line_no", "leaf_h")).alias("x")).select("line_h", "x.*")
-    wanted = first.join(branching, "leaf_h", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "leaf_h", "line_h")).alias("want"))
-    texts = docs.filter("text is not null").select("doc_id", "text").join(wanted, "doc_id")
-    rows = texts.select(_masked(F.col("text")).alias("lines"), F.explode("want").alias("w")).select(
-        "w.leaf_h", "w.line_h", F.trim(F.get("lines", F.col("w.line_no"))).alias("line")
-    )
-    # of rows that share a doc_id, the one that has the line
-    rows = rows.filter(F.xxhash64("line") == F.col("line_h")).select("leaf_h", "line_h", F.split("line", " ").alias("tokens"))
+    # the first line of each form stands for all its copies
+    first = long.filter("doc_id is not null").groupBy("line_h").agg(F.min(F.struct("doc_id", "row_key", "line_no", "leaf_h")).alias("x")).select("line_h", "x.*")
+    wanted = first.join(branching, "leaf_h", "left_semi").groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("want"))
+    texts = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("row_key"), "text").join(wanted, ["doc_id", "row_key"])
+    picked = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("want", i))
+    rows = texts.select(F.explode(picked).alias("raw")).select(_masked(F.col("raw")).alias("line"))
+    tokens = F.split("line", " ")
+    rows = rows.select(
+        F.xxhash64("line").alias("line_h"), F.xxhash64(F.length("line") - F.length(F.translate("line", " ", "")) + 1, F.substring_index("line", " ", LEAD)).alias("leaf_h"),
+        F.transform(tokens, lambda t, i: F.xxhash64(i, t)).alias("placed"),
+    )
     rows = common.materialise(rows.dropDuplicates(["line_h"]), "template-lines")
     sizes = rows.groupBy("leaf_h").agg(F.count("*").alias("n"))
-    votes = rows.select("leaf_h", F.posexplode("tokens").alias("p", "t")).groupBy("leaf_h", "p", "t").agg(F.count("*").alias("c"))
-    agreed = votes.join(sizes, "leaf_h").filter("c * 2 > n").groupBy("leaf_h").agg(F.collect_list(F.struct("p", "t")).alias("template"))
-    placed = F.transform("tokens", lambda t, i: F.struct(i.alias("p"), t.alias("t")))
-    alike = rows.join(agreed, "leaf_h").filter(F.size(F.array_intersect(placed, "template")) >= SIMILAR * F.size("tokens"))
+    votes = rows.select("leaf_h", F.explode("placed").alias("p")).groupBy("leaf_h", "p").agg(F.count("*").alias("c")).filter("c > 1")
+    agreed = votes.join(sizes, "leaf_h").filter("c * 2 > n").groupBy("leaf_h").agg(F.collect_list("p").alias("template"))
+    alike = rows.join(agreed, "leaf_h").filter(F.size(F.array_intersect("placed", "template")) >= SIMILAR * F.size("placed"))
     return alike.select("line_h", F.xxhash64("leaf_h", F.lit("template")).alias("template"))
 
 
 def dropped(docs: DataFrame, general_tokens: int = GENERAL_TOKENS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
-    """doc_id, line_no, line_h of every line that goes."""
+    """doc_id, row_key, line_no of every line that goes."""
     keys = common.materialise(line_keys(docs), "template-keys")
     general = common.materialise(_general(docs, keys, general_tokens), "template-general")
     named = keys.join(general, "line_h", "left").select(
-        "doc_id", "line_no", "line_h", F.coalesce("template", "line_h").alias("template"), (F.col("n_tokens") < general_tokens).alias("short")
+        "doc_id", "row_key", "line_no", F.coalesce("template", "line_h").alias("template"), (F.col("n_tokens") < general_tokens).alias("short")
     )
     named = common.materialise(named, "template-named")
-    once = named.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"), F.max("short").alias("short"))
+    once = named.groupBy("template", "doc_id").agg(F.min(F.struct("line_no", "row_key")).alias("at"), F.max("short").alias("short"))
     seen = once.groupBy("template").agg(
-        F.count("*").alias("n_docs"), F.max("short").alias("short"), F.min(F.struct("doc_id", "line_no")).alias("first")
+        F.count("*").alias("n_docs"), F.max("short").alias("short"), F.min(F.struct("doc_id", "at.line_no", "at.row_key")).alias("first")
     )
     recurring = seen.filter(F.col("n_docs") >= F.when(F.col("short"), short_docs).otherwise(min_docs)).select("template", "first")
-    hit = named.join(recurring, "template").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))))
-    return hit.select("doc_id", "line_no", "line_h")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("row_key") == F.col("first.row_key"))
+    return named.join(recurring, "template").filter(~stays).select("doc_id", "row_key", "line_no")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -90,18 +96,15 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     n_dropped."""
     plain = docs.drop("n_lines", "n_dropped")
     gone = dropped(plain.select("doc_id", "text"), **options)
-    lists = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line_h")).alias("_gone"))
-    joined = plain.join(lists.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    raw = F.split("text", "\n")
-    # the hashes matter only where rows share a doc_id
-    hashes = F.transform(_masked(F.col("text")), lambda x: F.xxhash64(F.trim(x)))
-    marked = F.arrays_zip(raw.alias("line"), hashes.alias("h"))
-    kept = F.filter(F.transform(marked, lambda x, i: F.struct(x["line"].alias("line"), F.array_contains(F.col("_gone"), F.struct(i.alias("line_no"), x["h"].alias("line_h"))).alias("out"))), lambda x: ~x["out"])
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), F.transform(kept, lambda x: x["line"])))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(raw))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", F.when(F.col("_kept").isNull(), 0).otherwise(F.size(raw) - F.size("_kept")).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text")))
-    return out.select(*plain.columns, "n_lines", "n_dropped")
+    lists = gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key")
+    own = plain.withColumn("_own", F.xxhash64("text"))
+    joined = own.join(lists, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    return joined.select(
+        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in plain.columns],
+        n.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
