@@ -130,7 +130,7 @@ def _search(q_ids, q, floors, cells: Cells, k: int, rows: int, step: int = 64):
                 for j in np.flatnonzero((high >= floors[None, :]).any(axis=0)):
                     have, scores = found[j]
                     floor = max(floors[j], scores[k - 1] if len(scores) == k else -np.inf)
-                    near = np.flatnonzero(high[:, j] >= floor)
+                    near = np.flatnonzero((high[:, j] >= floor) & (high[:, j] > -np.inf))
                     near = near[np.argsort(-high[near, j], kind="stable")]
                     for s in range(0, len(near), step):
                         if len(scores) == k and high[near[s], j] < scores[k - 1]:
