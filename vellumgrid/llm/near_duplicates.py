@@ -79,7 +79,7 @@ def darts(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, plac
     while open_.any():
         lo_r, hi_r = _region(k)
         live = np.flatnonzero(open_[owner])
-        for chunk in np.array_split(live, max(1, int(len(live) * (hi_r - lo_r)) // 2_000_000 + 1)):
+        for chunk in np.array_split(live, max(1, int(len(live) * (hi_r - lo_r)) // 500_000 + 1)):
             v = 0
             at = chunk
             while len(at):
@@ -141,7 +141,7 @@ def _sets(batch: pa.RecordBatch, counted: bool):
 def _sign(counted: bool):
     def run(batches):
         for whole in batches:
-            for batch in common.slices(whole, "text", 2_000_000):
+            for batch in common.slices(whole, "text", 1_000_000):
                 keys, weights, own, _, sums = _sets(batch, counted)
                 n = batch.num_rows
                 signature = darts(keys, weights, own, n).astype("<u8")
@@ -171,7 +171,7 @@ def _bands(batches):
 def _pack(counted: bool):
     def run(batches):
         for whole in batches:
-            for batch in common.slices(whole, "text", 4_000_000):
+            for batch in common.slices(whole, "text", 1_000_000):
                 keys, _, own, number, _ = _sets(batch, counted)
                 ends = np.searchsorted(own, np.arange(batch.num_rows + 1))
                 sets = [keys[a:b].astype("<u8").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -199,7 +199,7 @@ def similarity(a: bytes, b: bytes, ta: bytes = b"", tb: bytes = b"") -> float:
 
 def _compare(least: float):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             cols = [batch.column(c).to_pylist() for c in ("keys_a", "keys_b", "times_a", "times_b")]
             keep = [similarity(*x) >= least for x in zip(*cols, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -241,7 +241,7 @@ def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _unpacked(batches):
-    for batch in batches:
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         keys = batch.column("keys").to_pylist()
         n = [len(k) // 8 for k in keys]
         flat = np.frombuffer(b"".join(keys), "<i8")
