@@ -48,7 +48,8 @@ def bm25_tokens(text: Column) -> Column:
     are lower-cased and lose all punctuation; none empty."""
     bare = lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
     plain = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]", "")
-    each = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: F.when(is_acronym(t), bare(t)).otherwise(plain(t)))
+    # an acronym equals its upper case; the patterns run only on tokens that do
+    each = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: F.when((t == F.upper(t)) & is_acronym(t), bare(t)).otherwise(plain(t)))
     return F.filter(each, lambda t: t != "")
 
 
