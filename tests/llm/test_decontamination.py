@@ -39,12 +39,12 @@ def test_smallest_tables(spark):
 
 def test_edges_and_shards(spark):
     item = " ".join(f"q{k}" for k in range(40))
-    items = [(1, item), (2, None), (3, ""), (4, "two words"), (5, item), (6, "...")]
-    docs = [(1, "start " * 500 + item + " end" * 300), (2, None), (3, ""), (4, "some two words here"), (5, " ".join(item.split()[:20])), (1, item), (6, item.upper().replace(" ", ", "))]
+    items = [(1, item), (2, None), (3, ""), (4, "two words"), (5, item), (6, "..."), (7, " ".join(f"long{k}" for k in range(1500)))]
+    docs = [(1, "start " * 500 + item + " end" * 300), (2, None), (3, ""), (4, "some two words here"), (5, " ".join(item.split()[:20])), (1, item), (6, item.upper().replace(" ", ", ")), (7, "pad " * 2000 + items[-1][1])]
     d = spark.createDataFrame([(a, b, 0.5, 1) for a, b in docs], "doc_id long, text string, score double, item_id int")
     i = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
     want = brute(docs, items)
-    assert (1, 1) in want and (6, 5) in want and (4, 4) in want and (5, 1) not in want
+    assert (7, 7) in want and (1, 1) in want and (6, 5) in want and (4, 4) in want and (5, 1) not in want
     assert pairs(decontamination.contaminated(d, i)) == want
     assert pairs(decontamination.contaminated(d, i, shard_bytes=200)) == want
     assert pairs(decontamination.contaminated(d.limit(0), i)) == set() == pairs(decontamination.contaminated(d, i.limit(0)))

@@ -3,8 +3,8 @@
 The test items are the indexed side. A posting's impact is its BM25 weight
 divided by the item's score with itself, so a passage that holds the whole item
 scores 1, whatever the item's length. Every text is cut into overlapping windows
-(twice the longest item, half overlapping, so an item's occurrence lies within
-one window) and each window retrieves all items that reach ``threshold``:
+(three times the longest item, half overlapping, so an occurrence up to half
+longer than its item lies within one window) and each window retrieves all items that reach ``threshold``:
 block-max WAND with items in blocks of eight, where the sum of a window's terms'
 largest impacts, first over all items, then over each block, skips what cannot
 reach the threshold, and only the rest is scored. What is retrieved is verified:
@@ -69,18 +69,22 @@ class Index:
         count = len(ids)
         self.terms, which = np.unique(hashes, return_inverse=True)
         owner = np.repeat(np.arange(count), np.diff(at))
-        tf = np.zeros((len(self.terms), count), np.float64)
-        np.add.at(tf, (which, owner), 1)
+        pair, tf = np.unique(which.astype(np.int64) * max(count, 1) + owner, return_counts=True)
+        term, item = pair // max(count, 1), pair % max(count, 1)  # by term, then item
         freq = np.array([df[t] for t in self.terms.view(np.int64).tolist()], np.float64)
         idf = np.log(1 + (n - freq + 0.5) / (freq + 0.5))
         dl = np.diff(at)
-        weight = idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[None, :] / mean))
-        self.impact = (weight / np.maximum(weight.sum(axis=0), 1e-12)[None, :]).astype(np.float32)
-        blocks = (count + BLOCK - 1) // BLOCK
-        padded = np.zeros((len(self.terms), blocks * BLOCK), np.float32)
-        padded[:, :count] = self.impact
-        self.block_max = padded.reshape(len(self.terms), blocks, BLOCK).max(axis=2)
-        self.all_max = self.impact.max(axis=1) if count else np.zeros(0, np.float32)
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[item] / mean))
+        impact = weight / np.maximum(np.bincount(item, weights=weight, minlength=count), 1e-12)[item]
+        edge = np.arange(len(self.terms) + 1)
+        self.items, self.impact, self.offs = item, impact, np.searchsorted(term, edge)
+        # the largest impact of each term in each block of items, and over all
+        self.n_blocks = (count + BLOCK - 1) // BLOCK
+        spot = term * max(self.n_blocks, 1) + item // BLOCK
+        first = np.flatnonzero(np.diff(spot, prepend=-1))
+        self.block_max = np.maximum.reduceat(impact, first) if len(first) else impact
+        self.blocks, self.block_offs = (item // BLOCK)[first], np.searchsorted(term[first], edge)
+        self.all_max = np.maximum.reduceat(impact, self.offs[:-1]) if len(self.terms) else impact
         keys, own = common.shingles(hashes, at, SIZE)
         self.runs = []
         for k in range(count):
@@ -113,22 +117,25 @@ class Index:
         pair = np.unique(win[inside].astype(np.int64) * len(self.terms) + term[inside])
         win, term = pair // len(self.terms), pair % len(self.terms)
         bound = np.bincount(win, weights=self.all_max[term], minlength=len(text))
-        live = np.flatnonzero(bound >= threshold - 1e-4)
+        live = np.flatnonzero(bound >= threshold - 1e-9)
         out = []
         begin, end = np.searchsorted(win, live), np.searchsorted(win, live + 1)
         for lo in range(0, len(live), 512):
-            b, e = begin[lo : lo + 512], end[lo : lo + 512]
-            span = slice(b[0], e[-1])
-            own = win[span]
-            chosen = np.isin(own, live[lo : lo + 512])
-            t, own = term[span][chosen], own[chosen]
-            edges = np.searchsorted(own, live[lo : lo + 512])
-            upper = np.add.reduceat(self.block_max[t], edges, axis=0)
-            for i, blk in np.argwhere(upper >= threshold - 1e-4).tolist():
-                terms = t[edges[i] : edges[i + 1] if i + 1 < len(edges) else None]
-                scores = self.impact[terms, blk * BLOCK : (blk + 1) * BLOCK].sum(axis=0)
-                w = int(live[lo + i])
-                out += [(int(text[w]), int(start[w]), int(stop[w]), blk * BLOCK + j, float(scores[j])) for j in np.flatnonzero(scores >= threshold - 1e-6).tolist()]
+            some = live[lo : lo + 512]
+            at_ = slice(begin[lo], end[min(lo + 512, len(live)) - 1])
+            chosen = np.isin(win[at_], some)
+            t, own = term[at_][chosen], np.searchsorted(some, win[at_][chosen])
+            spread, sizes = common.ragged(np.arange(len(self.blocks)), self.block_offs, t)
+            upper = np.bincount(np.repeat(own, sizes) * self.n_blocks + self.blocks[spread], weights=self.block_max[spread], minlength=len(some) * self.n_blocks)
+            hot = np.unique(np.flatnonzero(upper >= threshold - 1e-9) // self.n_blocks)
+            edges = np.searchsorted(own, np.arange(len(some) + 1))
+            for i in hot.tolist():
+                picked, _ = common.ragged(np.arange(len(self.items)), self.offs, t[edges[i] : edges[i + 1]])
+                alive = upper[i * self.n_blocks + self.items[picked] // BLOCK] >= threshold - 1e-9
+                picked = picked[alive]  # only blocks that can reach the threshold are scored
+                scores = np.bincount(self.items[picked], weights=self.impact[picked], minlength=len(self.ids))
+                w = int(some[i])
+                out += [(int(text[w]), int(start[w]), int(stop[w]), j, float(scores[j])) for j in np.flatnonzero(scores >= threshold - 1e-9).tolist()]
         return out
 
     def verify(self, hashes: np.ndarray, a: int, b: int, item: int) -> tuple[float, float]:
@@ -161,7 +168,7 @@ def contaminated(
         return empty
     total = items.agg(F.sum(F.octet_length("text")).alias("b")).head().b
     shards = max(1, -(-2 * total // shard_bytes))  # half full on average
-    window = 2 * max(32, min(int(size.m), 512))
+    window = 3 * max(32, int(size.m))
     out = None
     for shard in range(shards):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else items
