@@ -41,6 +41,10 @@ from pyspark.sql import functions as F
 from vellumgrid.llm import common
 
 PLACES, BAND, SIZE, LEAST = 96, 4, 5, 0.8
+#: Of a set, whether an even or odd number of its shingles falls in each of 512
+#: cells. Two sets' cells differ in at most as many places as the sets do.
+WORDS = 8
+PARITIES = [f"s{k}" for k in range(WORDS)]
 
 
 def _poisson(mean: int) -> np.ndarray:
@@ -176,7 +180,12 @@ def _pack(counted: bool):
                 ends = np.searchsorted(own, np.arange(batch.num_rows + 1))
                 sets = [keys[a:b].astype("<u8").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 times = [number[a:b].astype("<u4").tobytes() if counted else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary()), pa.array(times, pa.binary())], ["rep", "keys", "times"])
+                cells = np.bincount(own * (64 * WORDS) + (keys >> np.uint64(9)).astype(np.int64) % (64 * WORDS), minlength=batch.num_rows * 64 * WORDS) & 1
+                bits = (cells.reshape(-1, WORDS, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rep"), pa.array(sets, pa.binary()), pa.array(times, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]],
+                    ["rep", "keys", "times", *PARITIES],
+                )
 
     return run
 
@@ -214,6 +223,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     label's label; each round is written to the shared folder."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next")))
     both, edge_path = common.stored(both.distinct(), "edges")
+    if both.isEmpty():
+        return both.select("node", F.col("next").alias("label"))
     spark = edges.sparkSession
     labels, path = common.stored(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("label")), "labels")
     for _ in range(rounds):
@@ -259,8 +270,9 @@ def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
     a shingle among the first n - ceil(2*least/(1+least)*n) + 1 of the smaller and
     the first m - ceil(least*m) + 1 of the larger, and what is left behind their
     first shared one still holds the overlap they need. Texts that differ from
-    all others by their own edits have only shingles of their own there."""
-    flat = rows.mapInArrow(_unpacked, "rep long, label long, n int, key long")
+    all others by their own edits have only shingles of their own there. Of the
+    rest, pairs whose parities differ in more cells than the sets may are left out."""
+    flat = rows.select("rep", "label", "keys").mapInArrow(_unpacked, "rep long, label long, n int, key long")
     frequent = flat.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
     known = flat.join(frequent, "key").groupBy("rep", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
     ceil = lambda x: F.ceil(x - F.lit(1e-9)).cast("int")
@@ -270,17 +282,19 @@ def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
     early = known.withColumn("own", own).withColumn("probe", probe).withColumn("short", short).filter("probe > own")
     early = early.select("rep", "label", "n", "own", "short", F.posexplode(F.slice("keys", F.lit(1), F.col("probe") - F.col("own"))).alias("i", "k"))
     early = common.materialise(
-        early.select("rep", "label", "n", F.col("k.key").alias("key"), (F.col("own") + F.col("i")).alias("at"), (F.col("own") + F.col("i") < F.col("short")).alias("lead")),
+        early.join(rows.select("rep", *PARITIES), "rep").select(*PARITIES, "rep", "label", "n", F.col("k.key").alias("key"), (F.col("own") + F.col("i")).alias("at"), (F.col("own") + F.col("i") < F.col("short")).alias("lead")),
         "dart-prefixes",
     )
     sizes = early.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("x.label").alias("main"))
     mixed = common.materialise(early.join(mixed, "key"), "dart-mixed")
-    one = mixed.filter("label <> main").select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "label", "n", "at", "lead")])
+    one = mixed.filter("label <> main").select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "label", "n", "at", "lead", *PARITIES)])
     both = one.join(mixed, "key").filter("p_label <> label and (label = main or p_rep < rep)")
     both = both.filter("(n >= p_n and p_lead) or (p_n >= n and lead)")
     need = ceil((F.col("n") + F.col("p_n")) * (least / (1 + least)))
     both = both.filter((F.least("n", "p_n") >= least * F.greatest("n", "p_n") - 1e-9) & (F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) >= need))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in PARITIES), F.lit(0))
+    both = both.filter(differ <= (F.col("n") + F.col("p_n")) * ((1 - least) / (1 + least)) + 1e-9)
     return both.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct()
 
 
@@ -303,7 +317,7 @@ def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> Dat
     pairs = shared.filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     wanted = shared.select("rep").distinct()
     text_of = texts.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = text_of.mapInArrow(_pack(counted), "rep long, keys binary, times binary").dropDuplicates(["rep"])
+    sets = text_of.mapInArrow(_pack(counted), "rep long, keys binary, times binary, " + ", ".join(f"{c} long" for c in PARITIES)).dropDuplicates(["rep"])
     sets = common.materialise(sets, "dart-sets")
     pairs = common.materialise(pairs, "dart-pairs")
     links = common.materialise(_links(pairs, sets, least), "dart-links")
@@ -312,7 +326,7 @@ def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> Dat
     placed = shared.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     torn = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
     open_ = common.materialise(placed.join(torn, "band", "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "dart-open")
-    rest = _prefix_pairs(sets.select("rep", "keys").join(open_, "rep"), least).join(pairs, ["a", "b"], "left_anti")
+    rest = _prefix_pairs(sets.drop("times").join(open_, "rep"), least).join(pairs, ["a", "b"], "left_anti")
     rest = common.materialise(rest, "dart-rest")
     more = common.materialise(_links(rest, sets, least), "dart-more")
     # doc_ids with several texts tie them
@@ -320,10 +334,14 @@ def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> Dat
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
     tied = member.join(several.select("doc_id", "lo"), "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     extra = common.materialise(more.unionByName(tied), "dart-extra")
-    if not extra.isEmpty():
-        labels = components(links.unionByName(extra))
-    out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"), F.min("rep").alias("copy_of"))
+    # the later links join whole components: only labels take part
+    label_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    lifted = extra.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+    lifted = lifted.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    final = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    named = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    out = named.join(final, "label", "left")
+    return out.groupBy("doc_id").agg(F.min(F.coalesce("to", "label")).alias("class_id"), F.min("rep").alias("copy_of"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
