@@ -32,21 +32,26 @@ VARIABLE = r"(?<!\S)(?:https?://|[^\s0-9@]*+[0-9@])\S*+"
 LEAD, SIMILAR, GENERAL_TOKENS, MIN_DOCS, SHORT_DOCS = 3, 0.7, 8, 2, 10
 
 
-def _masked(line: Column) -> Column:
-    """A line trimmed, its runs of blanks made one and variable tokens masked.
-    The patterns run only on lines that they can change."""
-    flat = F.trim(F.translate(line, "\t\r\f", "   "))
-    single = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat)
-    return F.when(single.rlike("[0-9@]|://"), F.regexp_replace(single, VARIABLE, "<*>")).otherwise(single)
+def _masked(lines: Column) -> Column:
+    """Lines trimmed, their runs of blanks made one and variable tokens masked.
+    Each step is a pass of its own, so nothing is evaluated twice, and the
+    patterns run only on lines that they can change."""
+    blank = lambda x, c: F.replace(x, F.lit(c), F.lit(" "))
+    flat = F.transform(lines, lambda x: F.trim(blank(blank(blank(x, "\t"), "\r"), "\f")))
+    single = F.transform(flat, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
+    return F.transform(single, lambda x: F.when(x.rlike("[0-9@]|://"), F.regexp_replace(x, VARIABLE, "<*>")).otherwise(x))
+
+
+def _tokens(line: str) -> Column:
+    return F.length(line) - F.length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (of the text), line_no, line_h, leaf_h, n_tokens of every
     line that isn't blank."""
-    exploded = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    lines = exploded.select("doc_id", "row_key", "line_no", _masked(F.col("raw")).alias("line")).filter("line <> ''")
-    n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    return lines.select(
+    lines = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(_masked(F.split("text", "\n"))).alias("line_no", "line"))
+    n = _tokens("line")
+    return lines.filter("line <> ''").select(
         "doc_id", "row_key", "line_no", F.xxhash64("line").alias("line_h"), F.xxhash64(n, F.substring_index("line", " ", LEAD)).alias("leaf_h"), n.alias("n_tokens")
     )
 
@@ -60,10 +65,10 @@ def _general(docs: DataFrame, keys: DataFrame, general_tokens: int) -> DataFrame
     wanted = first.join(branching, "leaf_h", "left_semi").groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("want"))
     texts = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("row_key"), "text").join(wanted, ["doc_id", "row_key"])
     picked = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("want", i))
-    rows = texts.select(F.explode(picked).alias("raw")).select(_masked(F.col("raw")).alias("line"))
+    rows = texts.select(F.explode(_masked(picked)).alias("line"))
     tokens = F.split("line", " ")
     rows = rows.select(
-        F.xxhash64("line").alias("line_h"), F.xxhash64(F.length("line") - F.length(F.translate("line", " ", "")) + 1, F.substring_index("line", " ", LEAD)).alias("leaf_h"),
+        F.xxhash64("line").alias("line_h"), F.xxhash64(_tokens("line"), F.substring_index("line", " ", LEAD)).alias("leaf_h"),
         F.transform(tokens, lambda t, i: F.xxhash64(i, t)).alias("placed"),
     )
     rows = common.materialise(rows.dropDuplicates(["line_h"]), "template-lines")
@@ -100,7 +105,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     own = plain.withColumn("_own", F.xxhash64("text"))
     joined = own.join(lists, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     return joined.select(
         *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in plain.columns],
         n.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
@@ -115,7 +120,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their recurring lines; a document all of whose words recur
     in earlier documents goes."""
-    out = deduplicated(docs.select(*common.DOC_COLUMNS)).filter("n_dropped = 0 or trim(translate(text, '\n\t\r', '   ')) <> ''")
+    out = deduplicated(docs.select(*common.DOC_COLUMNS)).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \n\t\r]"))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*common.DOC_COLUMNS)
 

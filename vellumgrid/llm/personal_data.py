@@ -94,7 +94,9 @@ def _spans(text: Column, pattern: str, kind: int, needs: str | None = None) -> C
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, base (spans in order) and others (secrets and candidates
     with contexts) of every row of ``docs``."""
-    clean = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _OPEN + _CLOSE, _OTHER + _OTHER)
+    clean = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    for mark in (_OPEN, _CLOSE):
+        clean = F.replace(clean, F.lit(mark), F.lit(_OTHER))
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), clean.alias("t"))
     for k, kind in enumerate(KINDS):
         found = _spans(F.col("t"), PATTERNS[kind], k, NEEDS[kind])
