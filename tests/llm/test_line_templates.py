@@ -33,3 +33,16 @@ def test_short_lines_need_more_documents(spark):
     rows = [(k, f"common line\nown {chr(97 + k)} words here") for k in range(12)]
     assert [r[2] for r in kept(spark, rows)].count(1) == 11
     assert all(r[2] == 0 for r in kept(spark, rows[:9]))
+
+
+def test_leaf_with_several_templates(spark):
+    """Families of equal size and lone lines in one leaf: nothing has a majority."""
+    heads = ["alpha beta gamma delta epsilon", "one two three four five", "red green blue white black"]
+    lone = [f"we saw the {' '.join(f'lone{chr(97 + k)}{chr(97 + j)}' for j in range(7))}" for k in range(6)]
+    lines = [f"we saw the {h} {w} end" for h in heads for w in ("left", "right")]
+    rows = [(k, x) for k, x in enumerate(lines + lone)]
+    assert [r[2] for r in sorted(kept(spark, rows), key=lambda r: r[0])] == [0, 1] * 3 + [0] * 6
+    # an edited copy of a line that the vote places, itself too far from the template
+    voted = [f"we saw the a b c d {x} {y} z" for x, y in (("p", "q"), ("r", "s"), ("t", "u"), ("v", "w"))]
+    rows = [(k, x) for k, x in enumerate([*voted, "we saw the a b e f p q z"])]
+    assert [r[2] for r in sorted(kept(spark, rows), key=lambda r: r[0])] == [0, 1, 1, 1, 1]

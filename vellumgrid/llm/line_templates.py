@@ -5,8 +5,10 @@ URL scheme are variable and become ``<*>``. The tree's levels are the number of
 tokens, then the first three tokens; a leaf's template keeps, at each place, the
 token that more than half of the leaf's distinct lines have there, and ``<*>``
 elsewhere. A line of at least ``general_tokens`` tokens belongs to its leaf's
-template if at least 0.7 of its tokens are the template's; every other line is a
-template of its own (with its variable tokens masked).
+template if at least 0.7 of its tokens are the template's. A leaf has further
+templates: lines left over that agree with another line of the leaf in at least
+0.7 of their places share its template. Every other line is a template of its
+own (with its variable tokens masked).
 
 A template recurs if it stands in at least two documents (shorter lines than
 ``general_tokens``, which meet by chance: ``short_docs``). Of a recurring
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import common
+from vellumgrid.llm import common, near_duplicates
 
 #: A token that holds a digit or @, or begins like a URL; possessive, so linear.
 VARIABLE = r"(?<!\S)(?:https?://|[^\s0-9@]*+[0-9@])\S*+"
@@ -57,7 +59,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 def _general(docs: DataFrame, keys: DataFrame, general_tokens: int) -> DataFrame:
-    """line_h, template: the lines that belong to the template of their leaf."""
+    """line_h, template: the lines that belong to a template of their leaf."""
     long = keys.filter(F.col("n_tokens") >= general_tokens)
     branching = long.groupBy("leaf_h").agg(F.min("line_h").alias("a"), F.max("line_h").alias("b")).filter("a <> b").select("leaf_h")
     # the first line of each form stands for all its copies
@@ -76,7 +78,57 @@ def _general(docs: DataFrame, keys: DataFrame, general_tokens: int) -> DataFrame
     votes = rows.select("leaf_h", F.explode("placed").alias("p")).groupBy("leaf_h", "p").agg(F.count("*").alias("c")).filter("c > 1")
     agreed = votes.join(sizes, "leaf_h").filter("c * 2 > n").groupBy("leaf_h").agg(F.collect_list("p").alias("template"))
     alike = rows.join(agreed, "leaf_h").filter(F.size(F.array_intersect("placed", "template")) >= SIMILAR * F.size("placed"))
-    return alike.select("line_h", F.xxhash64("leaf_h", F.lit("template")).alias("template"))
+    voted = common.materialise(alike.select("line_h", F.xxhash64("leaf_h", F.lit("template")).alias("template")), "template-voted")
+    linked = _linked(rows, votes, voted)
+    return voted if linked is None else voted.join(linked, "line_h", "left_anti").unionByName(linked)
+
+
+def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines that share at least 0.7 of their placed tokens."""
+    one, two = (rows.select(F.col("line_h").alias(c), F.col("placed").alias(f"p{c}")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").filter(F.size(F.array_intersect("pa", "pb")) >= SIMILAR * F.size("pa")).select("a", "b")
+
+
+def _linked(rows: DataFrame, votes: DataFrame, voted: DataFrame) -> DataFrame | None:
+    """line_h, template of the lines that the vote left out and that are alike to
+    another line of their leaf, by components of such pairs; the voted lines of a
+    leaf are one node. None if there are none.
+
+    Two alike lines share a token among the rarest few of each, in the leaf, so
+    only lines that share one are compared: first with one line for each such
+    token, then, where lines of several components remain, those outside the
+    largest with all of other components."""
+    named = rows.select("line_h", "leaf_h", F.slice("placed", LEAD + 1, F.size("placed")).alias("placed")).join(voted, "line_h", "left")
+    left = named.filter("template is null").select("leaf_h").distinct()
+    rest = named.join(left, "leaf_h", "left_semi").withColumn("label", F.coalesce("template", "line_h"))
+    known = rest.select("line_h", "leaf_h", "label", F.size("placed").alias("n"), F.explode("placed").alias("p")).join(votes, ["leaf_h", "p"])
+    early = known.groupBy("line_h", "leaf_h", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "p"))).alias("shared"))
+    # tokens of no other line come first; of n + LEAD tokens 0.7 are shared, LEAD of them always
+    probe = F.col("n") - (F.ceil((F.col("n") + LEAD) * SIMILAR - F.lit(1e-9)).cast("int") - LEAD) + 1 - (F.col("n") - F.size("shared"))
+    early = early.withColumn("probe", probe).filter("probe > 0").select("line_h", "leaf_h", "label", F.explode(F.slice("shared", F.lit(1), F.col("probe"))).alias("s"))
+    early = common.materialise(early.select("line_h", "label", F.xxhash64("leaf_h", "s.p").alias("key")), "template-prefixes")
+    lead = early.groupBy("key").agg(F.min(F.struct(F.xxhash64("line_h", "key").alias("t"), "line_h", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    lead = lead.filter("lo <> hi").select("key", F.col("x.line_h").alias("a"), F.col("x.label").alias("la"))
+    star = early.join(lead, "key").filter("label <> la").select(F.least("a", "line_h").alias("a"), F.greatest("a", "line_h").alias("b")).distinct()
+    nodes = rows.select("line_h").join(voted, "line_h", "left").select("line_h", F.coalesce("template", "line_h").alias("node"))
+    ends = lambda pairs: pairs.join(nodes.toDF("a", "na"), "a").join(nodes.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    star = common.materialise(star, "template-star")
+    links = common.materialise(ends(_alike(star, rows)).distinct(), "template-links")
+    labels = near_duplicates.components(links)
+    placed = early.join(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    placed = common.materialise(placed.select("line_h", "key", F.coalesce("to", "label").alias("label")), "template-placed")
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("x.label").alias("main"))
+    mixed = common.materialise(placed.join(mixed, "key"), "template-mixed")
+    one = mixed.filter("label <> main").select("key", F.col("line_h").alias("a"), F.col("label").alias("la"))
+    pairs = one.join(mixed, "key").filter("la <> label and (label = main or a < line_h)")
+    pairs = pairs.select(F.least("a", "line_h").alias("a"), F.greatest("a", "line_h").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    more = common.materialise(ends(_alike(pairs, rows)).distinct(), "template-more")
+    edges = links.unionByName(more).distinct()
+    if edges.isEmpty():
+        return None
+    final = near_duplicates.components(edges).select("node", F.xxhash64("label", F.lit("linked")).alias("template"))
+    return nodes.join(final, "node").select("line_h", "template")
 
 
 def dropped(docs: DataFrame, general_tokens: int = GENERAL_TOKENS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
@@ -125,7 +177,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", changed).select(*common.DOC_COLUMNS)
 
 
-#: The same lines with strings in place of hashes.
+#: The same lines with strings in place of hashes, with a leaf's voted template
+#: only: results are equal where no other lines of a leaf are alike.
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS raw,
