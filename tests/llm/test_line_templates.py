@@ -46,3 +46,9 @@ def test_leaf_with_several_templates(spark):
     voted = [f"we saw the a b c d {x} {y} z" for x, y in (("p", "q"), ("r", "s"), ("t", "u"), ("v", "w"))]
     rows = [(k, x) for k, x in enumerate([*voted, "we saw the a b e f p q z"])]
     assert [r[2] for r in sorted(kept(spark, rows), key=lambda r: r[0])] == [0, 1, 1, 1, 1]
+
+
+def test_passages_without_blanks_are_not_short(spark):
+    passage = "".join(chr(0x4E00 + 7 * k) for k in range(150))
+    rows = [(1, f"{passage}\na few words"), (2, f"before\n{passage}\na few words")]
+    assert kept(spark, rows) == [(1, rows[0][1], 0), (2, "before\na few words", 1)]

@@ -10,8 +10,9 @@ templates: lines left over that agree with another line of the leaf in at least
 0.7 of their places share its template. Every other line is a template of its
 own (with its variable tokens masked).
 
-A template recurs if it stands in at least two documents (shorter lines than
-``general_tokens``, which meet by chance: ``short_docs``). Of a recurring
+A template recurs if it stands in at least two documents (lines of fewer tokens
+than ``general_tokens`` and fewer characters than ``short_chars``, which meet by
+chance: ``short_docs``; a passage without blanks is one token, but not short). Of a recurring
 template the first line, by doc_id and line number, stays, so that the text is
 kept once; the lines of all other documents are dropped, and so are the first
 document's repeats. Lines are compared by 64-bit hashes.
@@ -31,7 +32,7 @@ from vellumgrid.llm import common, near_duplicates
 
 #: A token that holds a digit or @, or begins like a URL; possessive, so linear.
 VARIABLE = r"(?<!\S)(?:https?://|[^\s0-9@]*+[0-9@])\S*+"
-LEAD, SIMILAR, GENERAL_TOKENS, MIN_DOCS, SHORT_DOCS = 3, 0.7, 8, 2, 10
+LEAD, SIMILAR, GENERAL_TOKENS, MIN_DOCS, SHORT_DOCS, SHORT_CHARS = 3, 0.7, 8, 2, 10, 100
 
 
 def _masked(lines: Column) -> Column:
@@ -49,12 +50,13 @@ def _tokens(line: str) -> Column:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key (of the text), line_no, line_h, leaf_h, n_tokens of every
-    line that isn't blank."""
+    """doc_id, row_key (of the text), line_no, line_h, leaf_h, n_tokens, n_chars
+    (as masked) of every line that isn't blank."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(_masked(F.split("text", "\n"))).alias("line_no", "line"))
     n = _tokens("line")
     return lines.filter("line <> ''").select(
-        "doc_id", "row_key", "line_no", F.xxhash64("line").alias("line_h"), F.xxhash64(n, F.substring_index("line", " ", LEAD)).alias("leaf_h"), n.alias("n_tokens")
+        "doc_id", "row_key", "line_no", F.xxhash64("line").alias("line_h"), F.xxhash64(n, F.substring_index("line", " ", LEAD)).alias("leaf_h"), n.alias("n_tokens"),
+        F.length("line").alias("n_chars"),
     )
 
 
@@ -131,12 +133,12 @@ def _linked(rows: DataFrame, votes: DataFrame, voted: DataFrame) -> DataFrame |
     return nodes.join(final, "node").select("line_h", "template")
 
 
-def dropped(docs: DataFrame, general_tokens: int = GENERAL_TOKENS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
+def dropped(docs: DataFrame, general_tokens: int = GENERAL_TOKENS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, short_chars: int = SHORT_CHARS) -> DataFrame:
     """doc_id, row_key, line_no of every line that goes."""
     keys = common.materialise(line_keys(docs), "template-keys")
     general = common.materialise(_general(docs, keys, general_tokens), "template-general")
     named = keys.join(general, "line_h", "left").select(
-        "doc_id", "row_key", "line_no", F.coalesce("template", "line_h").alias("template"), (F.col("n_tokens") < general_tokens).alias("short")
+        "doc_id", "row_key", "line_no", F.coalesce("template", "line_h").alias("template"), ((F.col("n_tokens") < general_tokens) & (F.col("n_chars") < short_chars)).alias("short")
     )
     named = common.materialise(named, "template-named")
     once = named.groupBy("template", "doc_id").agg(F.min(F.struct("line_no", "row_key")).alias("at"), F.max("short").alias("short"))
@@ -178,7 +180,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: The same lines with strings in place of hashes, with a leaf's voted template
-#: only: results are equal where no other lines of a leaf are alike.
+#: only and every line of few tokens short: results are equal where no other lines
+#: of a leaf are alike and no long passage of few tokens recurs in few documents.
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS raw,
