@@ -48,3 +48,16 @@ def test_edges_and_shards(spark):
     assert pairs(decontamination.contaminated(d, i)) == want
     assert pairs(decontamination.contaminated(d, i, shard_bytes=200)) == want
     assert pairs(decontamination.contaminated(d.limit(0), i)) == set() == pairs(decontamination.contaminated(d, i.limit(0)))
+
+
+def test_an_edited_word_in_one_half(spark):
+    """One word changed, at every place: found where 0.8 of all runs are left."""
+    words = [f"q{k}" for k in range(40)]
+    rows = [(k, " ".join(["new" if j == k else w for j, w in enumerate(words)])) for k in range(40)]
+    rows += [(100 + k, " ".join(["new" if j in (k, k + 5) else w for j, w in enumerate(words)])) for k in range(5, 30)]
+    mine = set(runs(" ".join(words)))
+    want = {(d, 1) for d, t in rows if len(mine & set(runs(t))) >= 0.8 * len(mine)}
+    assert {(k, 1) for k in range(40)} <= want and (115, 1) not in want
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert pairs(decontamination.contaminated(d, i)) == want

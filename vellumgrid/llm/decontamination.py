@@ -8,8 +8,9 @@ longer than its item lies within one window) and each window retrieves all items
 block-max WAND with items in blocks of eight, where the sum of a window's terms'
 largest impacts, first over all items, then over each block, skips what cannot
 reach the threshold, and only the rest is scored. What is retrieved is verified:
-an item's five-word runs are split in a question half and an answer half, and
-both must overlap the window by 0.8 or more.
+an item's five-word runs are split in a question half and an answer half; the
+window must hold 0.8 or more of the runs of both together and 0.5 or more of each
+half's, so an edited word, which takes up to five runs, may lie in either half.
 
 Document frequencies count all items. Items are sent to executors in shards of
 at most ``shard_bytes`` of text; more items than that make more shards, each a
@@ -138,13 +139,15 @@ class Index:
                 out += [(int(text[w]), int(start[w]), int(stop[w]), j, float(scores[j])) for j in np.flatnonzero(scores >= threshold - 1e-9).tolist()]
         return out
 
-    def verify(self, hashes: np.ndarray, a: int, b: int, item: int) -> tuple[float, float]:
+    def verify(self, hashes: np.ndarray, a: int, b: int, item: int) -> tuple[float, float, float]:
+        """The overlaps of the question half, of the answer half and of both."""
         question, answer, size = self.runs[item]
         keys, _ = common.shingles(hashes[a:b], np.array([0, b - a]), size)
         if size < SIZE:  # a short item's run has its own length
             keys = _short(hashes[a:b], size)
         share = lambda x: float(np.isin(x, keys).mean()) if len(x) else 1.0
-        return share(question), share(answer)
+        q, a_ = share(question), share(answer)
+        return q, a_, (q * len(question) + a_ * len(answer)) / max(len(question) + len(answer), 1)
 
 
 def _short(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -157,7 +160,7 @@ def _short(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, threshold: float = 0.5, least: float = 0.8, shard_bytes: int = 8_000_000
+    docs: DataFrame, items: DataFrame, threshold: float = 0.5, least: float = 0.8, shard_bytes: int = 8_000_000, half_least: float = 0.5
 ) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified pair."""
     spark = docs.sparkSession
@@ -181,7 +184,7 @@ def contaminated(
             mine = own.select("text").mapInArrow(_term_rows, "term long").distinct()
             df = {r.term: r.df for r in frequencies.join(mine, "term", "left_semi").collect()}
         index = Index(np.array([i for i, _ in rows], np.int64), [t for _, t in rows], df, size.n, size.a, window)
-        found = _scan(docs, spark.sparkContext.broadcast(index), threshold, least)
+        found = _scan(docs, spark.sparkContext.broadcast(index), threshold, least, half_least)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return empty
@@ -194,7 +197,7 @@ def _term_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes).view(np.int64))], ["term"])
 
 
-def _scan(docs: DataFrame, sent, threshold: float, least: float) -> DataFrame:
+def _scan(docs: DataFrame, sent, threshold: float, least: float, half_least: float) -> DataFrame:
     def run(batches):
         index = sent.value
         for whole in batches:
@@ -202,8 +205,8 @@ def _scan(docs: DataFrame, sent, threshold: float, least: float) -> DataFrame:
                 hashes, at = _hashed(batch.column("text"))
                 ids, rows = batch.column("doc_id").to_pylist(), []
                 for text, a, b, item, score in index.retrieve(hashes, at, threshold):
-                    question, answer = index.verify(hashes, a, b, item)
-                    if question >= least and answer >= least:
+                    question, answer, whole = index.verify(hashes, a, b, item)
+                    if whole >= least - 1e-9 and min(question, answer) >= half_least:
                         rows.append((ids[text], int(index.ids[item]), score, question, answer))
                 if rows:
                     cols = list(zip(*rows, strict=True))
