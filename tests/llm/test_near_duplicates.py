@@ -78,3 +78,12 @@ def test_signatures_estimate_similarity(weighted):
         s = near_duplicates.darts(np.concatenate([keys, keys[v > 0]]), np.concatenate([w, v[v > 0]]), own, 2)
         estimates.append((s[0] == s[1]).mean())
     assert abs(np.mean(estimates) - np.mean(pairs)) < 0.02
+
+
+def test_repeated_ids_of_different_texts(spark):
+    """Every text of an id is compared, whichever other texts the id has."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    rows = [(k, text(k)) for k in range(10, 16)] + [(k, text(k + 100)) for k in range(10, 16)]
+    rows += [(k + 20, text(k) + " more") for k in range(10, 16)] + [(k + 40, text(k + 100) + " more") for k in range(10, 16)]
+    found = got(spark, rows)
+    assert found == brute(rows) and all(found[k + 20] == found[k + 40] == k for k in range(10, 16))

@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumgrid.llm import common
@@ -151,10 +151,10 @@ def _sign(counted: bool):
                 signature = darts(keys, weights, own, n).astype("<u8")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                        batch.column("doc_id"), batch.column("row_key"), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                         pa.array(np.bincount(own, minlength=n).astype(np.int32)), pa.array([r.tobytes() for r in signature], pa.binary()),
                     ],
-                    ["doc_id", "a", "b", "n_shingles", "signature"],
+                    ["doc_id", "row_key", "a", "b", "n_shingles", "signature"],
                 )
 
     return run
@@ -301,14 +301,24 @@ def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
 def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> DataFrame:
     """doc_id, class_id, copy_of: each document's near-duplicate class, and the
     smallest document of equal words."""
-    spark = docs.sparkSession
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = common.materialise(texts.mapInArrow(_sign(counted), "doc_id long, a long, b long, n_shingles int, signature binary"), "dart-signatures")
-    copies = signed.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
-    reps = copies.join(signed, [copies.a == signed.a, copies.b == signed.b, copies.rep == signed.doc_id], "left").select(
-        "rep", copies.a, copies.b, "n_shingles", "signature"
-    )
-    reps = common.materialise(reps.dropDuplicates(["rep", "a", "b"]), "dart-reps")
+    named = _named(docs, least, counted)
+    own = F.when(F.col("doc_id").isNull(), F.col("rep"))
+    return named.groupBy("doc_id", own.alias("own")).agg(F.min("class_id").alias("class_id"), F.min("copy_of").alias("copy_of")).drop("own")
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _named(docs: DataFrame, least: float, counted: bool) -> DataFrame:
+    """doc_id, row_key (of id and text), rep (of the words), group, copy_of, class_id."""
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), _row_key().alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    signed = texts.mapInArrow(_sign(counted), "doc_id long, row_key long, a long, b long, n_shingles int, signature binary")
+    signed = common.materialise(signed.withColumn("rep", F.xxhash64("a", "b")).drop("a", "b"), "dart-signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "row_key"))
+    copies = common.materialise(signed.groupBy("rep").agg(first.alias("x")).select("rep", F.col("x.doc_id").alias("copy_of"), F.col("x.row_key").alias("row_key")), "dart-copies")
+    reps = signed.join(copies.select("rep", "row_key"), ["rep", "row_key"], "left_semi").select("rep", "n_shingles", "signature")
+    reps = common.materialise(reps.dropDuplicates(["rep"]), "dart-reps")
     bands = reps.filter("n_shingles > 0").select("rep", "signature").mapInArrow(_bands, "band long, rep long")
     bands = common.materialise(bands, "dart-bands")
     turn = F.xxhash64("rep", "band")
@@ -316,7 +326,7 @@ def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> Dat
     shared = common.materialise(bands.join(leads.select("band", F.col("x.rep").alias("lead")), "band"), "dart-shared")
     pairs = shared.filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     wanted = shared.select("rep").distinct()
-    text_of = texts.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    text_of = texts.select("row_key", "text").join(copies.join(wanted, "rep", "left_semi").select("rep", "row_key"), "row_key").select("rep", "text")
     sets = text_of.mapInArrow(_pack(counted), "rep long, keys binary, times binary, " + ", ".join(f"{c} long" for c in PARITIES)).dropDuplicates(["rep"])
     sets = common.materialise(sets, "dart-sets")
     pairs = common.materialise(pairs, "dart-pairs")
@@ -330,8 +340,8 @@ def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> Dat
     rest = common.materialise(rest, "dart-rest")
     more = common.materialise(_links(rest, sets, least), "dart-more")
     # doc_ids with several texts tie them
-    member = signed.select("doc_id", "a", "b").join(copies, ["a", "b"]).select("doc_id", "rep").distinct()
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
+    member = signed.select("doc_id", "row_key", "rep").distinct()
+    several = member.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
     tied = member.join(several.select("doc_id", "lo"), "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     extra = common.materialise(more.unionByName(tied), "dart-extra")
     # the later links join whole components: only labels take part
@@ -339,9 +349,11 @@ def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> Dat
     lifted = extra.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
     lifted = lifted.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
     final = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    named = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    out = named.join(final, "label", "left")
-    return out.groupBy("doc_id").agg(F.min(F.coalesce("to", "label")).alias("class_id"), F.min("rep").alias("copy_of"))
+    grouped = copies.select("rep", "copy_of").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    grouped = grouped.join(final, "label", "left").select("rep", "copy_of", F.coalesce("to", "label").alias("group"))
+    grouped = common.materialise(grouped, "dart-groups")
+    ids = grouped.groupBy("group").agg(F.min("copy_of").alias("class_id"))
+    return common.materialise(member.join(grouped.join(ids, "group"), "rep"), "dart-named")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
