@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from vellumgrid.llm import common, line_templates
+from vellumgrid.llm import common, decontamination, line_templates, near_duplicates
 from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_near_duplicates import brute as duplicates
 
@@ -63,3 +63,15 @@ def test_pieces(stages):
     old, new = stages["pieces"]
     rows = new.collect()
     assert {r.doc_id for r in rows} == set(texts(old)) and all(r.round_trip for r in rows)
+
+
+def test_rows_without_ids(spark):
+    """They are compared, kept and left out like the rest."""
+    item = common.table(spark, SMALL, "benchmark").filter("text is not null").orderBy("item_id").head().text
+    text = lambda c: " ".join(f"{c}{j}" for j in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("b") + " more"), (1, text("c")), (None, text("c") + " more"), (None, item)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = near_duplicates.stage(spark, docs, SMALL)
+    found = sorted((r.doc_id or 0, r.text[:2]) for r in once.collect())
+    assert found == sorted([(0, "a0"), (0, "b0"), (1, "c0"), (0, item[:2])])
+    assert sorted(r.text[:2] for r in decontamination.stage(spark, once, SMALL).collect()) == ["a0", "b0", "c0"]

@@ -27,8 +27,10 @@ Classes are the components; a class is named by its smallest doc_id.
 Edge cases: null and empty texts, and texts without a word, are copies of one
 another; a text of one to four words has one shingle, of all its words;
 repeated doc_ids with equal text are one row of the result, with different
-texts they tie these texts' classes together; null doc_ids are left out; other
-columns are ignored; an empty table gives an empty result.
+texts they tie these texts' classes together; rows with a null doc_id are
+compared like the rest, have a row for each text and no part in a class's name,
+which is null where no row of the class has an id; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -312,7 +314,7 @@ def _row_key() -> Column:
 
 def _named(docs: DataFrame, least: float, counted: bool) -> DataFrame:
     """doc_id, row_key (of id and text), rep (of the words), group, copy_of, class_id."""
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), _row_key().alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), _row_key().alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = texts.mapInArrow(_sign(counted), "doc_id long, row_key long, a long, b long, n_shingles int, signature binary")
     signed = common.materialise(signed.withColumn("rep", F.xxhash64("a", "b")).drop("a", "b"), "dart-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "row_key"))
@@ -361,6 +363,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class."""
-    kept = classes(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*common.DOC_COLUMNS)
+    """The document with the smallest doc_id of each class, or one document of a
+    class without ids."""
+    named = _named(docs, LEAST, False)
+    kept = named.filter("doc_id = class_id").select("doc_id").distinct()
+    alone = named.filter("class_id is null").groupBy("group").agg(F.min("row_key").alias("_key")).select("_key")
+    without = docs.filter(F.col("doc_id").isNull()).select(*common.DOC_COLUMNS).withColumn("_key", _row_key()).join(alone, "_key", "left_semi")
+    without = without.groupBy("_key").agg(F.min(F.struct(*common.DOC_COLUMNS)).alias("x")).select("x.*")
+    return docs.join(kept, "doc_id", "left_semi").select(*common.DOC_COLUMNS).unionByName(without)
