@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share.
 
-    It lies in ``spark.checkpoint.dir``; where that is unset (local tests) a
-    temporary folder of this machine takes its place.
+    It lies in ``spark.checkpoint.dir``; where that is unset and all tasks run on
+    this machine (local tests), a temporary folder takes its place.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(shared_dir, "_own", None)
         if base is None:
             base = shared_dir._own = tempfile.mkdtemp(prefix="vellumgrid-")
@@ -70,6 +73,27 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Intermediate tables of one operator: called like ``materialise``, it
+    deletes all it wrote when the ``with`` block ends. What is returned must be
+    materialised apart from it."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for spark, path in self.paths:
+            remove(spark, path)
+
+
 def crc_fold(column: str, modulus: int) -> Column:
     """crc32 of the column's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

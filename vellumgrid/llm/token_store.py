@@ -82,7 +82,7 @@ def _encode(path: str, width: int, seen_limit: int = 60_000):
         seen: set[bytes] = set()
         for whole in batches:
             for batch in common.slices(whole, "text", 2_000_000):
-                ids, n = code.encode(batch.column("text").to_pylist())
+                ids, n = code.encode(batch.column("text"))
                 full = np.zeros(len(ids) + len(n), np.uint32)  # each document ends with id 0
                 ends = np.cumsum(n + 1)
                 body = np.ones(len(full), bool)
