@@ -16,41 +16,60 @@ def code():
 
 
 @pytest.fixture(scope="module")
-def table():
+def library():
     from sentencepiece import SentencePieceProcessor
 
-    m = SentencePieceProcessor(model_file=pieces.default_vocabulary())
-    return {m.id_to_piece(k): (m.get_score(k), k) for k in range(m.get_piece_size()) if not (m.is_byte(k) or m.is_control(k) or m.is_unknown(k))}
+    return SentencePieceProcessor(model_file=pieces.default_vocabulary())
 
 
-def best(word, table, unknown):
-    """The largest total score of any segmentation, by plain dynamic programming."""
-    total = [0.0] + [float("-inf")] * len(word)
-    for end in range(1, len(word) + 1):
-        for start in range(max(0, end - 16), end):
-            if (p := table.get(word[start:end])) is not None:
-                total[end] = max(total[end], total[start] + p[0])
-        if word[end - 1] not in table:
-            total[end] = max(total[end], total[end - 1] + unknown)
-    return total[-1]
+def split(ids, n):
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
 
 
-WORDS = st.text(st.sampled_from("▁abcdeilnorst.,éß日😀\n"), min_size=1, max_size=20)
+PARTS = st.sampled_from([*"abcdeilnorst.,'éß日😀\n\t\x00▁<1", " ", "  ", " " * 17, "the", "ing", "ooo", "http://", "<s>"])
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(WORDS, min_size=1, max_size=8))
-def test_viterbi_reaches_the_best_score(code, table, words):
-    by_id = {k: s for s, k in table.values()}
-    ids, n = code.viterbi(words)
-    at = 0
-    for w, k in zip(words, n.tolist(), strict=True):
-        own = ids[at : at + k].tolist()
-        at += k
-        unknown = sum(c not in table for c in w)
-        score = sum(by_id.get(i, 0.0) for i in own) + unknown * code.unknown
-        assert score == best(w, table, code.unknown)
-        assert code.decode(ids[at - k : at], np.array([k]))[0] == w.replace("▁", " ").removeprefix(" ")
+@given(st.lists(st.lists(PARTS, max_size=20).map("".join), min_size=1, max_size=8))
+def test_ids_equal_the_library(code, library, texts):
+    assert split(*code.encode(texts)) == library.encode(texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abeilnorst.日"), min_size=1, max_size=30))
+def test_viterbi_equals_merges(code, word):
+    ids, _ = code.viterbi([word, word[::-1], word])
+    plain = [code.number[t] for w in (word, word[::-1], word) for t in pieces.merged(list(w), code.ranks) if t in code.number]
+    assert [i for i in ids.tolist() if i not in code.bytes_] == plain
+
+
+def test_known_segmentation(library, code):
+    ids, _ = code.encode(["The quick brown"])
+    assert [library.id_to_piece(i) for i in ids.tolist()] == ["▁The", "▁quick", "▁brown"]
+
+
+@pytest.mark.parametrize("size", [400_000, 1_100_000])
+def test_words_of_any_length(code, library, size):
+    rng = np.random.default_rng(size)
+    word = "".join("abcdefghijklmnopqrstuvwxyz"[k] for k in rng.integers(0, 26, size))
+    assert split(*code.encode([word, "a"])) == library.encode([word, "a"])
+
+
+def test_small_cache(library):
+    code = pieces.Pieces(pieces.default_vocabulary(), limit=10)
+    for k in range(5):
+        texts = [f"word{k} other{j} the" for j in range(20)]
+        assert split(*code.encode(texts)) == library.encode(texts)
+
+
+def test_query_equals_the_library(spark, library):
+    import pyarrow.parquet as pq
+
+    small = "/root/testdata/sf0.001"
+    got = {r.doc_id: (r.n_pieces, r.ids_crc32, r.round_trip) for r in pieces.query(spark, small).collect()}
+    docs = pq.read_table(f"{small}/documents.parquet").to_pylist()
+    ids = library.encode([r["text"] or "" for r in docs])
+    assert got == {r["doc_id"]: (len(i), zlib.crc32(np.array(i, "<u4").tobytes()), True) for r, i in zip(docs, ids, strict=True)}
 
 
 @settings(max_examples=100, deadline=None)
