@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``;
-    where that is unset (local tests) in a temporary folder."""
+    where that is unset and all tasks run on this machine (local tests), in a
+    temporary folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         base = context.getConf().get("spark.checkpoint.dir")
+        if not base and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(base or tempfile.mkdtemp(prefix="vellumgrid-"))
     return df.checkpoint()
