@@ -22,17 +22,39 @@ def test_variable_fields_and_first_occurrence(spark):
 
 def test_edges(spark):
     long = "w" * 100_000
-    rows = [(1, None), (2, ""), (3, "\n\n"), (4, long + " " + "tail " * 20_000), (5, "it.\n5 5"), (6, "it."), (None, "a null id")]
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, long + " " + "tail " * 20_000), (5, "it.\n5 5"), (6, "it"), (None, "a null id")]
     assert kept(spark, rows) == sorted([(d, t, 0) for d, t in rows], key=str)
     assert kept(spark, []) == []
     same_id = [(1, "one two three four five six seven eight nine"), (1, "one two three four five six seven eight nine")]
     assert [r[2] for r in kept(spark, same_id)] == [0, 0]
 
 
-def test_short_lines_need_more_documents(spark):
-    rows = [(k, f"common line\nown {chr(97 + k)} words here") for k in range(12)]
-    assert [r[2] for r in kept(spark, rows)].count(1) == 11
-    assert all(r[2] == 0 for r in kept(spark, rows[:9]))
+def test_one_rule_for_lines_of_every_length(spark):
+    for tokens in range(1, 12):
+        line = " ".join(f"t{chr(97 + k)}" for k in range(tokens))
+        rows = [(k, f"{line}\nown{chr(97 + k)} {chr(97 + k)}") for k in range(3)]
+        assert [r[2] for r in sorted(kept(spark, rows))] == [0, 1, 1]
+    rows = [(1, "see also the north\nx"), (2, "see also the south\ny"), (3, "see also a west\nz")]
+    assert [r[2] for r in sorted(kept(spark, rows))] == [0, 1, 0]
+    assert [r[2] for r in sorted(kept(spark, rows, min_docs=3))] == [0, 0, 0]
+
+
+def test_rows_without_ids_are_documents(spark):
+    line = "a passage that several documents without an id hold"
+    rows = [(None, f"{line}\none"), (None, f"{line}\ntwo"), (None, f"{line}\ntwo"), (4, f"zero\n{line}")]
+    assert kept(spark, rows) == sorted([(None, "one", 1), (None, "two", 1), (None, "two", 1), (4, rows[3][1], 0)], key=str)
+
+
+def test_hot_lines_are_dealt(spark):
+    rows = [(k, f"the common line of all documents here\nown{chr(97 + k % 26)}{chr(97 + k // 26)} text") for k in range(400)]
+    out = sorted(kept(spark, rows))
+    assert [r[2] for r in out] == [0] + [1] * 399
+
+
+def test_many_lines_in_one_document(spark):
+    lines = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(15_000)]
+    rows = [(1, "\n".join(lines[::2])), (2, "\n".join(lines))]
+    assert kept(spark, rows) == [(1, rows[0][1], 0), (2, "\n".join(lines[1::2]), 7500)]
 
 
 def test_leaf_with_several_templates(spark):
@@ -48,7 +70,7 @@ def test_leaf_with_several_templates(spark):
     assert [r[2] for r in sorted(kept(spark, rows), key=lambda r: r[0])] == [0, 1, 1, 1, 1]
 
 
-def test_passages_without_blanks_are_not_short(spark):
+def test_passages_without_blanks(spark):
     passage = "".join(chr(0x4E00 + 7 * k) for k in range(150))
     rows = [(1, f"{passage}\na few words"), (2, f"before\n{passage}\na few words")]
-    assert kept(spark, rows) == [(1, rows[0][1], 0), (2, "before\na few words", 1)]
+    assert kept(spark, rows) == [(1, rows[0][1], 0), (2, "before", 2)]

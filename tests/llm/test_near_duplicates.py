@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -13,13 +14,14 @@ SMALL = "/root/testdata/sf0.001"
 
 def runs(text):
     w = re.findall(r"[^\W_]+", (text or "").lower())
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def brute(rows):
+def brute(rows, counted=True):
     sets = {}
     for d, t in rows:
-        sets.setdefault(d, []).append(runs(t))
+        own = runs(t)
+        sets.setdefault(d, []).append(own if counted else Counter(set(own)))
     label = {d: d for d in sets}
 
     def root(x):
@@ -30,14 +32,14 @@ def brute(rows):
     for a, b in combinations(sorted(sets), 2):
         for x in sets[a]:
             for y in sets[b]:
-                if (not x and not y) or (x and y and len(x & y) / len(x | y) >= 0.8):
+                if (not x and not y) or (x and y and (x & y).total() / (x | y).total() >= 0.8):
                     label[max(root(a), root(b))] = min(root(a), root(b))
     return {d: root(d) for d in sets}
 
 
-def got(spark, rows):
+def got(spark, rows, **options):
     docs = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, a int, rep int, label int, band int")
-    return {r.doc_id: r.class_id for r in near_duplicates.classes(docs).collect()}
+    return {r.doc_id: r.class_id for r in near_duplicates.classes(docs, **options).collect()}
 
 
 def test_smallest_tables(spark):
@@ -87,3 +89,45 @@ def test_repeated_ids_of_different_texts(spark):
     rows += [(k + 20, text(k) + " more") for k in range(10, 16)] + [(k + 40, text(k + 100) + " more") for k in range(10, 16)]
     found = got(spark, rows)
     assert found == brute(rows) and all(found[k + 20] == found[k + 40] == k for k in range(10, 16))
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_repeated_passages_weigh(spark, counted):
+    """Texts of repeated passages: alike as sets are many, alike with their counts few."""
+    rng = np.random.default_rng(9)
+    passages = [" ".join(f"p{k}w{rng.integers(10**6)}" for _ in range(30)) for k in range(4)]
+    rows = []
+    for k in range(40):
+        times = rng.integers(1, 6, 4)
+        rows.append((k, " ".join(passages[j] for j in range(4) for _ in range(int(times[j])))))
+    found = got(spark, rows, counted=counted)
+    assert found == brute(rows, counted)
+    assert len(set(found.values())) > 1 if counted else len(set(found.values())) == 1
+
+
+def test_hot_leaders_are_dealt(spark):
+    """Many near copies of one text: one band, leader and hub for nearly all rows."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in range(120)]
+    rows = [(k, " ".join([*base, f"own{k}"])) for k in range(300)] + [(1000 + k, " ".join(f"z{x}" for x in rng.integers(0, 10**6, 50))) for k in range(100)]
+    assert got(spark, rows) == {d: 0 if d < 1000 else d for d, _ in rows}
+
+
+def test_stage_keeps_one_row_of_each_class(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    other = " ".join(f"v{k}" for k in range(50))
+    rows = [(1, text), (1, text), (2, text), (3, other), (3, text + " end"), (None, other), (None, "alone"), (None, "alone"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _key int")
+    out = sorted(((r.doc_id, r.text) for r in near_duplicates.stage(spark, docs, SMALL).collect()), key=str)
+    assert out == sorted([(1, text), (3, other), (None, "alone"), (7, None)], key=str)
+
+
+def test_intermediates_are_deleted(spark):
+    written = []
+    before = common.stored
+    try:
+        common.stored = lambda df, name: written.append(before(df, name)) or written[-1]
+        got(spark, [(1, "a b c d e f"), (2, "a b c d e f g"), (3, "x")])
+    finally:
+        common.stored = before
+    assert len(written) > 10 and not any(common.exists(spark, path) for _, path in written)

@@ -94,6 +94,29 @@ class Scratch:
             remove(spark, path)
 
 
+def hot_keys(many: DataFrame, key: str, weight: str | None = None, share: int = 200) -> list[tuple[int, int]]:
+    """(key, pieces) of the keys that hold more than one in ``share`` of the rows of
+    ``many`` (or of the sum of its column ``weight``); there are at most ``share``
+    of them. A piece is one such part."""
+    counts = many.groupBy(key).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
+    n = many.agg(F.sum(weight)).head()[0] if weight else many.count()
+    return [(r[key], -(-r.c * share // n)) for r in counts.filter(F.col("c") * share > n).collect()] if n else []
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple[int, int]], how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """``many`` joined with ``one`` by a column of longs (and those of ``also``), the
+    hot keys' rows dealt to several tasks: their rows of ``one`` are repeated, once
+    for each piece."""
+    if not hot:
+        return many.join(one, [key, *also], how)
+    known = F.broadcast(many.sparkSession.createDataFrame(hot, f"{key} long, _pieces long"))  # at most ``share`` rows
+    dealt = many.join(known, key, "left")
+    # by the row's hash: a task that runs again deals the same
+    dealt = dealt.withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_pieces")), F.lit(0)).cast("long")).drop("_pieces")
+    copied = one.join(known, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return dealt.join(copied, [key, "_piece", *also], how).drop("_piece")
+
+
 def crc_fold(column: str, modulus: int) -> Column:
     """crc32 of the column's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -4,23 +4,25 @@ A line's tokens are its runs between blanks; tokens with a digit, an ``@`` or a
 URL scheme are variable and become ``<*>``. The tree's levels are the number of
 tokens, then the first three tokens; a leaf's template keeps, at each place, the
 token that more than half of the leaf's distinct lines have there, and ``<*>``
-elsewhere. A line of at least ``general_tokens`` tokens belongs to its leaf's
-template if at least 0.7 of its tokens are the template's. A leaf has further
-templates: lines left over that agree with another line of the leaf in at least
-0.7 of their places share its template. Every other line is a template of its
-own (with its variable tokens masked).
-
-A template recurs if it stands in at least two documents (lines of fewer tokens
-than ``general_tokens`` and fewer characters than ``short_chars``, which meet by
-chance: ``short_docs``; a passage without blanks is one token, but not short). Of a recurring
+elsewhere. A line belongs to its leaf's template if at least 0.7 of its tokens are
+the template's. A leaf has further templates: lines left over that agree with
+another line of the leaf in at least 0.7 of their places share its template, and
+one that agrees so with a line of the voted template joins that. Every other line,
+and so every line of three tokens or fewer, is a template of its own (with its
+variable tokens masked). One rule holds for lines of every length.
+
+A template recurs if it stands in at least ``min_docs`` documents. Of a recurring
 template the first line, by doc_id and line number, stays, so that the text is
 kept once; the lines of all other documents are dropped, and so are the first
-document's repeats. Lines are compared by 64-bit hashes.
+document's repeats. Lines are compared by 128-bit hashes. Joins on lines, leaves
+and templates deal the rows of hot keys to several tasks.
 
 Edge cases: null text has no lines and stays null; blank lines stay; a document
-may end up with the empty text; rows that share a doc_id count as one document;
-null doc_ids count as one document too; other columns pass through; an empty
-table gives an empty result.
+may end up with the empty text; texts and lines of any length are taken whole; rows
+that share a doc_id count as one document; rows without an id are documents of
+their own (equal texts one) and come after all others; of rows with one id and
+the same line number the smaller hash of the text comes first; repeated rows lose
+the same lines; other columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from vellumgrid.llm import common, near_duplicates
 
 #: A token that holds a digit or @, or begins like a URL; possessive, so linear.
 VARIABLE = r"(?<!\S)(?:https?://|[^\s0-9@]*+[0-9@])\S*+"
-LEAD, SIMILAR, GENERAL_TOKENS, MIN_DOCS, SHORT_DOCS, SHORT_CHARS = 3, 0.7, 8, 2, 10, 100
+LEAD, SIMILAR, MIN_DOCS = 3, 0.7, 2
+LINE = ["line_h", "line_g"]
 
 
 def _masked(lines: Column) -> Column:
@@ -49,58 +52,78 @@ def _tokens(line: str) -> Column:
     return F.length(line) - F.length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
 
 
+def _hashes(line: str) -> list[Column]:
+    """Two hashes of a line, of different seeds."""
+    return [F.xxhash64(line).alias("line_h"), F.xxhash64(F.lit(1), line).alias("line_g")]
+
+
+def _leaf(line: str) -> Column:
+    return F.xxhash64(_tokens(line), F.substring_index(line, " ", LEAD)).alias("leaf_h")
+
+
+def _flags(numbers: Column) -> Column:
+    """For ascending distinct numbers: an array that is true at these places."""
+    gap = lambda x, i: F.array_repeat(F.lit(False), x - F.coalesce(F.when(i > 0, F.get(numbers, i - 1)), F.lit(-1)) - 1)
+    return F.flatten(F.transform(numbers, lambda x, i: F.concat(gap(x, i), F.array(F.lit(True)))))
+
+
 def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key (of the text), line_no, line_h, leaf_h, n_tokens, n_chars
-    (as masked) of every line that isn't blank."""
+    """doc_id, row_key (of the text), line_no, line_h and line_g, leaf_h and whether
+    the line is longer than its leaf's path, of every line that isn't blank."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(_masked(F.split("text", "\n"))).alias("line_no", "line"))
-    n = _tokens("line")
-    return lines.filter("line <> ''").select(
-        "doc_id", "row_key", "line_no", F.xxhash64("line").alias("line_h"), F.xxhash64(n, F.substring_index("line", " ", LEAD)).alias("leaf_h"), n.alias("n_tokens"),
-        F.length("line").alias("n_chars"),
-    )
+    return lines.filter("line <> ''").select("doc_id", "row_key", "line_no", *_hashes("line"), _leaf("line"), (_tokens("line") > LEAD).alias("deep"))
 
 
-def _general(docs: DataFrame, keys: DataFrame, general_tokens: int) -> DataFrame:
-    """line_h, template: the lines that belong to a template of their leaf."""
-    long = keys.filter(F.col("n_tokens") >= general_tokens)
-    branching = long.groupBy("leaf_h").agg(F.min("line_h").alias("a"), F.max("line_h").alias("b")).filter("a <> b").select("leaf_h")
+def _marked(rows: DataFrame, name: str, keep: common.Scratch) -> DataFrame:
+    """Rows (_id, _key, at) as one array of flags for each text."""
+    lists = keep(rows.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("at")).alias("at")), f"template-{name}")
+    return lists.select("_id", "_key", F.size("at").alias("n"), _flags(F.col("at")).alias("flags"))
+
+
+def _general(docs: DataFrame, keys: DataFrame, keep: common.Scratch) -> DataFrame:
+    """line_h, line_g, template: the lines that belong to a template of their leaf."""
+    deep = keys.filter("deep")
+    branching = deep.groupBy("leaf_h").agg(F.min("line_h").alias("a"), F.max("line_h").alias("b")).filter("a <> b").select("leaf_h")
     # the first line of each form stands for all its copies
-    first = long.filter("doc_id is not null").groupBy("line_h").agg(F.min(F.struct("doc_id", "row_key", "line_no", "leaf_h")).alias("x")).select("line_h", "x.*")
-    wanted = first.join(branching, "leaf_h", "left_semi").groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("want"))
-    texts = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("row_key"), "text").join(wanted, ["doc_id", "row_key"])
-    picked = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("want", i))
+    first = deep.groupBy(*LINE).agg(F.min(F.struct("doc_id", "row_key", "line_no", "leaf_h")).alias("x")).select("x.*")
+    wanted = first.join(branching, "leaf_h", "left_semi").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("line_no").alias("at"))
+    wanted = keep(_marked(wanted, "wanted", keep), "template-wanted-flags")
+    texts = docs.filter("text is not null").withColumn("_own", F.xxhash64("text"))
+    texts = texts.join(wanted, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    picked = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("flags", i), F.lit(False)))
     rows = texts.select(F.explode(_masked(picked)).alias("line"))
-    tokens = F.split("line", " ")
-    rows = rows.select(
-        F.xxhash64("line").alias("line_h"), F.xxhash64(_tokens("line"), F.substring_index("line", " ", LEAD)).alias("leaf_h"),
-        F.transform(tokens, lambda t, i: F.xxhash64(i, t)).alias("placed"),
-    )
-    rows = common.materialise(rows.dropDuplicates(["line_h"]), "template-lines")
+    rows = rows.select(*_hashes("line"), _leaf("line"), F.transform(F.split("line", " "), lambda t, i: F.xxhash64(i, t)).alias("placed"))
+    rows = keep(rows.dropDuplicates(LINE), "template-lines")
+    hot = common.hot_keys(rows, "leaf_h")
     sizes = rows.groupBy("leaf_h").agg(F.count("*").alias("n"))
     votes = rows.select("leaf_h", F.explode("placed").alias("p")).groupBy("leaf_h", "p").agg(F.count("*").alias("c")).filter("c > 1")
-    agreed = votes.join(sizes, "leaf_h").filter("c * 2 > n").groupBy("leaf_h").agg(F.collect_list("p").alias("template"))
-    alike = rows.join(agreed, "leaf_h").filter(F.size(F.array_intersect("placed", "template")) >= SIMILAR * F.size("placed"))
-    voted = common.materialise(alike.select("line_h", F.xxhash64("leaf_h", F.lit("template")).alias("template")), "template-voted")
-    linked = _linked(rows, votes, voted)
-    return voted if linked is None else voted.join(linked, "line_h", "left_anti").unionByName(linked)
+    # over half of the lines at a place: at most one token for each
+    agreed = common.spread_join(votes, sizes, "leaf_h", hot).filter("c * 2 > n").groupBy("leaf_h").agg(F.collect_list("p").alias("template"))
+    alike = common.spread_join(rows, agreed, "leaf_h", hot).filter(F.size(F.array_intersect("placed", "template")) >= SIMILAR * F.size("placed"))
+    voted = keep(alike.select(*LINE, F.xxhash64("leaf_h", F.lit("template")).alias("template")), "template-voted")
+    linked = _linked(rows, votes, voted, keep)
+    return voted if linked is None else voted.join(linked, LINE, "left_anti").unionByName(linked)
 
 
 def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines that share at least 0.7 of their placed tokens."""
     one, two = (rows.select(F.col("line_h").alias(c), F.col("placed").alias(f"p{c}")) for c in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").filter(F.size(F.array_intersect("pa", "pb")) >= SIMILAR * F.size("pa")).select("a", "b")
+    held = common.spread_join(pairs, one, "a", common.hot_keys(pairs, "a"))
+    held = common.spread_join(held, two, "b", common.hot_keys(pairs, "b"))
+    return held.filter(F.size(F.array_intersect("pa", "pb")) >= SIMILAR * F.size("pa")).select("a", "b")
 
 
-def _linked(rows: DataFrame, votes: DataFrame, voted: DataFrame) -> DataFrame | None:
-    """line_h, template of the lines that the vote left out and that are alike to
-    another line of their leaf, by components of such pairs; the voted lines of a
-    leaf are one node. None if there are none.
+def _linked(rows: DataFrame, votes: DataFrame, voted: DataFrame, keep: common.Scratch) -> DataFrame | None:
+    """line_h, line_g, template of the lines that the vote left out and that are
+    alike to another line of their leaf, by components of such pairs; the voted
+    lines of a leaf are one node. None if there are none. (Lines of which 0.7 are
+    their leaf's path are all voted.)
 
     Two alike lines share a token among the rarest few of each, in the leaf, so
     only lines that share one are compared: first with one line for each such
     token, then, where lines of several components remain, those outside the
     largest with all of other components."""
-    named = rows.select("line_h", "leaf_h", F.slice("placed", LEAD + 1, F.size("placed")).alias("placed")).join(voted, "line_h", "left")
+    named = rows.select(*LINE, "leaf_h", F.slice("placed", LEAD + 1, F.size("placed")).alias("placed")).join(voted, LINE, "left")
     left = named.filter("template is null").select("leaf_h").distinct()
     rest = named.join(left, "leaf_h", "left_semi").withColumn("label", F.coalesce("template", "line_h"))
     known = rest.select("line_h", "leaf_h", "label", F.size("placed").alias("n"), F.explode("placed").alias("p")).join(votes, ["leaf_h", "p"])
@@ -108,61 +131,72 @@ def _linked(rows: DataFrame, votes: DataFrame, voted: DataFrame) -> DataFrame |
     # tokens of no other line come first; of n + LEAD tokens 0.7 are shared, LEAD of them always
     probe = F.col("n") - (F.ceil((F.col("n") + LEAD) * SIMILAR - F.lit(1e-9)).cast("int") - LEAD) + 1 - (F.col("n") - F.size("shared"))
     early = early.withColumn("probe", probe).filter("probe > 0").select("line_h", "leaf_h", "label", F.explode(F.slice("shared", F.lit(1), F.col("probe"))).alias("s"))
-    early = common.materialise(early.select("line_h", "label", F.xxhash64("leaf_h", "s.p").alias("key")), "template-prefixes")
+    early = keep(early.select("line_h", "label", F.xxhash64("leaf_h", "s.p").alias("key")), "template-prefixes")
     lead = early.groupBy("key").agg(F.min(F.struct(F.xxhash64("line_h", "key").alias("t"), "line_h", "label")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     lead = lead.filter("lo <> hi").select("key", F.col("x.line_h").alias("a"), F.col("x.label").alias("la"))
-    star = early.join(lead, "key").filter("label <> la").select(F.least("a", "line_h").alias("a"), F.greatest("a", "line_h").alias("b")).distinct()
-    nodes = rows.select("line_h").join(voted, "line_h", "left").select("line_h", F.coalesce("template", "line_h").alias("node"))
-    ends = lambda pairs: pairs.join(nodes.toDF("a", "na"), "a").join(nodes.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    star = common.materialise(star, "template-star")
-    links = common.materialise(ends(_alike(star, rows)).distinct(), "template-links")
-    labels = near_duplicates.components(links)
+    star = common.spread_join(early, lead, "key", common.hot_keys(early, "key"))
+    star = star.filter("label <> la").select(F.least("a", "line_h").alias("a"), F.greatest("a", "line_h").alias("b")).distinct()
+    nodes = rows.select(*LINE).join(voted, LINE, "left").select(*LINE, F.coalesce("template", "line_h").alias("node"))
+    own = nodes.select("line_h", "node")
+    ends = lambda pairs: pairs.join(own.toDF("a", "na"), "a").join(own.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    star = keep(star, "template-star")
+    links = keep(ends(_alike(star, rows)).distinct(), "template-links")
+    labels = near_duplicates.components(links, keep)
     placed = early.join(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-    placed = common.materialise(placed.select("line_h", "key", F.coalesce("to", "label").alias("label")), "template-placed")
+    placed = keep(placed.select("line_h", "key", F.coalesce("to", "label").alias("label")), "template-placed")
     sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("x.label").alias("main"))
-    mixed = common.materialise(placed.join(mixed, "key"), "template-mixed")
+    mixed = keep(placed.join(mixed, "key"), "template-mixed")
     one = mixed.filter("label <> main").select("key", F.col("line_h").alias("a"), F.col("label").alias("la"))
     pairs = one.join(mixed, "key").filter("la <> label and (label = main or a < line_h)")
-    pairs = pairs.select(F.least("a", "line_h").alias("a"), F.greatest("a", "line_h").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = common.materialise(ends(_alike(pairs, rows)).distinct(), "template-more")
+    pairs = keep(pairs.select(F.least("a", "line_h").alias("a"), F.greatest("a", "line_h").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "template-pairs")
+    more = keep(ends(_alike(pairs, rows)).distinct(), "template-more")
     edges = links.unionByName(more).distinct()
     if edges.isEmpty():
         return None
-    final = near_duplicates.components(edges).select("node", F.xxhash64("label", F.lit("linked")).alias("template"))
-    return nodes.join(final, "node").select("line_h", "template")
+    final = near_duplicates.components(edges, keep).select("node", F.xxhash64("label", F.lit("linked")).alias("template"))
+    return nodes.join(final, "node").select(*LINE, "template")
 
 
-def dropped(docs: DataFrame, general_tokens: int = GENERAL_TOKENS, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, short_chars: int = SHORT_CHARS) -> DataFrame:
+def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, row_key, line_no of every line that goes."""
-    keys = common.materialise(line_keys(docs), "template-keys")
-    general = common.materialise(_general(docs, keys, general_tokens), "template-general")
-    named = keys.join(general, "line_h", "left").select(
-        "doc_id", "row_key", "line_no", F.coalesce("template", "line_h").alias("template"), ((F.col("n_tokens") < general_tokens) & (F.col("n_chars") < short_chars)).alias("short")
-    )
-    named = common.materialise(named, "template-named")
-    once = named.groupBy("template", "doc_id").agg(F.min(F.struct("line_no", "row_key")).alias("at"), F.max("short").alias("short"))
-    seen = once.groupBy("template").agg(
-        F.count("*").alias("n_docs"), F.max("short").alias("short"), F.min(F.struct("doc_id", "at.line_no", "at.row_key")).alias("first")
-    )
-    recurring = seen.filter(F.col("n_docs") >= F.when(F.col("short"), short_docs).otherwise(min_docs)).select("template", "first")
+    with common.Scratch() as keep:
+        return common.materialise(_dropped(docs, min_docs, keep), "template-dropped")
+
+
+def _dropped(docs: DataFrame, min_docs: int, keep: common.Scratch) -> DataFrame:
+    keys = keep(line_keys(docs), "template-keys")
+    general = keep(_general(docs, keys, keep), "template-general")
+    named = common.spread_join(keys, general, "line_h", common.hot_keys(keys, "line_h"), "left", ("line_g",))
+    named = named.select(
+        "doc_id", F.when(F.col("doc_id").isNull(), F.col("row_key")).alias("alone"), "row_key", "line_no",
+        F.coalesce("template", "line_h").alias("template"), F.when(F.col("template").isNull(), F.col("line_g")).otherwise(0).alias("more"),
+    )
+    named = keep(named, "template-named")
+    once = named.groupBy("template", "more", "doc_id", "alone").agg(F.count("*").alias("n_lines"), F.min(F.struct("line_no", "row_key")).alias("at"))
+    order = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "alone", "at.line_no", "at.row_key")
+    seen = keep(once.groupBy("template", "more").agg(F.count("*").alias("n_docs"), F.sum("n_lines").alias("n_lines"), F.min(order).alias("first")), "template-seen")
+    recurring = seen.filter(F.col("n_docs") >= min_docs)
+    out = common.spread_join(named, recurring.select("template", "more", "first"), "template", common.hot_keys(seen, "template", "n_lines"), also=("more",))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("row_key") == F.col("first.row_key"))
-    return named.join(recurring, "template").filter(~stays).select("doc_id", "row_key", "line_no")
+    return out.filter(~stays).select("doc_id", "row_key", "line_no")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of ``docs`` with text less its dropped lines, and n_lines and
     n_dropped."""
     plain = docs.drop("n_lines", "n_dropped")
-    gone = dropped(plain.select("doc_id", "text"), **options)
-    lists = gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id").withColumnRenamed("row_key", "_key")
+    with common.Scratch() as keep:
+        gone = keep(_dropped(plain.select("doc_id", "text"), min_docs, keep), "template-dropped")
+        gone = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("line_no").alias("at"))
+        lists = common.materialise(_marked(gone, "gone", keep).withColumnRenamed("n", "_n").withColumnRenamed("flags", "_gone"), "template-gone")
     own = plain.withColumn("_own", F.xxhash64("text"))
     joined = own.join(lists, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("_gone", i), F.lit(False)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     return joined.select(
         *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in plain.columns],
-        n.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
+        n.cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
@@ -179,11 +213,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", changed).select(*common.DOC_COLUMNS)
 
 
-#: The same lines with strings in place of hashes, with a leaf's voted template
-#: only and every line of few tokens short: results are equal where no other lines
-#: of a leaf are alike and no long passage of few tokens recurs in few documents.
+#: The same rule with strings in place of hashes, over all pairs of lines of a leaf.
 ORACLE = r"""
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS raw,
     string_split(regexp_replace(regexp_replace(text, '(^|\s)(?:https?://|[^\s0-9@]*[0-9@])\S*', '\1<*>', 'g'), '[ \t\r\f]+', ' ', 'g'), chr(10)) AS masked
   FROM documents
@@ -195,24 +227,32 @@ WITH base AS (
   SELECT *, string_split(line, ' ') AS tokens, len(string_split(line, ' ')) AS n,
     len(string_split(line, ' ')) || ' ' || array_to_string(list_slice(string_split(line, ' '), 1, 3), ' ') AS leaf
   FROM lines
-), long AS (
-  SELECT DISTINCT leaf, line, tokens, n FROM keyed WHERE n >= 8
+), deep AS (
+  SELECT DISTINCT leaf, line, tokens, n FROM keyed WHERE n > 3
 ), sizes AS (
-  SELECT leaf, count(*) AS size FROM long GROUP BY leaf HAVING count(*) > 1
-), placed AS (
+  SELECT leaf, count(*) AS size FROM deep GROUP BY leaf HAVING count(*) > 1
+), placed AS MATERIALIZED (
   SELECT l.leaf, l.line, l.n, s.size, unnest(l.tokens) AS t, unnest(generate_series(1, l.n)) AS p
-  FROM long l JOIN sizes s ON l.leaf = s.leaf
+  FROM deep l JOIN sizes s ON l.leaf = s.leaf
 ), votes AS (
   SELECT leaf, p, t FROM placed GROUP BY leaf, p, t, size HAVING count(*) * 2 > size
-), general AS (
+), voted AS (
   SELECT x.line, x.leaf FROM placed x JOIN votes v ON x.leaf = v.leaf AND x.p = v.p AND x.t = v.t
   GROUP BY x.line, x.leaf, x.n HAVING count(*) >= 0.7 * x.n
+), nodes AS (
+  SELECT DISTINCT p.line, p.leaf, coalesce('T ' || v.leaf, 'L ' || p.line) AS node FROM placed p LEFT JOIN voted v ON p.line = v.line
+), alike AS (
+  SELECT a.line AS x, b.line AS y FROM placed a JOIN placed b ON a.leaf = b.leaf AND a.p = b.p AND a.t = b.t AND a.line <> b.line
+  GROUP BY a.line, b.line, a.n HAVING count(*) >= 0.7 * a.n
+), edges AS MATERIALIZED (
+  SELECT DISTINCT a.node AS x, b.node AS y FROM alike e JOIN nodes a ON e.x = a.line JOIN nodes b ON e.y = b.line WHERE a.node <> b.node
+), reach(node, other) AS (
+  SELECT x, y FROM edges UNION SELECT r.node, e.y FROM reach r JOIN edges e ON r.other = e.x
 ), named AS (
-  SELECT k.doc_id, k.line_no, coalesce('T ' || g.leaf, 'L ' || k.line) AS template, k.n < 8 AS short
-  FROM keyed k LEFT JOIN general g ON k.line = g.line
+  SELECT k.doc_id, k.line_no, coalesce(c.top, m.node, 'L ' || k.line) AS template
+  FROM keyed k LEFT JOIN nodes m ON k.line = m.line LEFT JOIN (SELECT node, least(node, min(other)) AS top FROM reach GROUP BY node) c ON m.node = c.node
 ), seen AS (
-  SELECT template, min((doc_id, line_no)) AS first FROM named GROUP BY template
-  HAVING count(DISTINCT doc_id) >= CASE WHEN bool_or(short) THEN 10 ELSE 2 END
+  SELECT template, min((doc_id, line_no)) AS first FROM named GROUP BY template HAVING count(DISTINCT doc_id) >= 2
 ), gone AS (
   SELECT n.doc_id, list(n.line_no) AS g FROM named n JOIN seen s ON n.template = s.template
   WHERE (n.doc_id, n.line_no) <> s.first GROUP BY n.doc_id

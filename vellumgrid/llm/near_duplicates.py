@@ -1,10 +1,11 @@
 """Near-duplicate classes by DartMinHash signatures and banded joining.
 
-A text is its set (or multiset) of five-word shingles. For a signature of k
-places, darts with hashed weight, rank and place are thrown at each shingle's
-weighted regions, rank region after rank region; of the darts under the
-shingle's weight, each place keeps the one of earliest rank. Places agree with
-the probability of the weighted Jaccard similarity. Bands of four places are
+A text is the multiset of its five-word shingles (``counted=False``: their set);
+similarity is the weighted Jaccard similarity, the shingles' counts as weights.
+For a signature of k places, darts with hashed weight, rank and place are thrown
+at each shingle's weighted regions, rank region after rank region; of the darts
+under the shingle's weight, each place keeps the one of earliest rank. Places
+agree with the probability of the weighted similarity. Bands of four places are
 joined: two texts at similarity 0.8 share one of 24 bands but for 3 in a million.
 
 Steps, all distributed:
@@ -13,21 +14,23 @@ Steps, all distributed:
    thousands of copies go on as one row.
 2. Of the texts that share a band, each is compared with the band's leader (the
    least by a hash that differs from band to band). Similarities are exact, over
-   whole shingle sets. Links are joined to components.
+   all elements: a shingle's first, second, ... occurrence are elements of their
+   own, so that the multiset is a set. Links are joined to components.
 3. The texts of bands that still hold several components are joined exactly:
-   pairs of different components come from a prefix filter over rare shingles,
-   which misses no pair at 0.8 and leaves out texts that share only common
-   shingles. Links found are joined again. So no link between different texts
-   of a band is lost, and no band's pairs are all emitted. (With ``counted``
-   weights the filter works on the sets, so multisets whose sets are under the
-   threshold rely on step 2.)
+   pairs of different components come from a prefix filter over rare elements,
+   which misses no pair at 0.8 and leaves out texts that share only common ones.
+   Links found are joined again. So no link between different texts of a band is
+   lost, and no band's pairs are all emitted.
 
+Joins on bands, leaders and hub nodes deal the rows of hot keys to several tasks.
 Classes are the components; a class is named by its smallest doc_id.
 
 Edge cases: null and empty texts, and texts without a word, are copies of one
-another; a text of one to four words has one shingle, of all its words;
-repeated doc_ids with equal text are one row of the result, with different
-texts they tie these texts' classes together; rows with a null doc_id are
+another; a text of one to four words has one shingle, of all its words; texts of
+any length are taken whole; of equals the smaller doc_id, then the smaller hash
+of id and text, goes first; repeated doc_ids with equal text are one row of the
+result, with different texts they tie these texts' classes together (in the
+stage they don't, and one row of each class stays); rows with a null doc_id are
 compared like the rest, have a row for each text and no part in a class's name,
 which is null where no row of the class has an id; other columns are ignored;
 an empty table gives an empty result.
@@ -141,14 +144,26 @@ def _sets(batch: pa.RecordBatch, counted: bool):
     begins = np.flatnonzero(first)
     number = np.diff(np.append(begins, len(keys)))
     weights = number.astype(np.float64) if counted else np.ones(len(begins))
-    return keys[begins], weights, own[begins], number, sums
+    return keys[begins], weights, own[begins], sums
+
+
+def _elements(keys: np.ndarray, weights: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted shingles as elements, one for each occurrence, sorted by text and hash."""
+    number = weights.astype(np.int64)
+    turn = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+    flat = np.repeat(keys, number)
+    again = turn > 0
+    flat[again] = common.mix64(flat[again] + common.mix64(turn[again].astype(np.uint64)))
+    owner = np.repeat(own, number)
+    order = np.lexsort((flat, owner)) if again.any() else slice(None)
+    return flat[order], owner[order]
 
 
 def _sign(counted: bool):
     def run(batches):
         for whole in batches:
             for batch in common.slices(whole, "text", 1_000_000):
-                keys, weights, own, _, sums = _sets(batch, counted)
+                keys, weights, own, sums = _sets(batch, counted)
                 n = batch.num_rows
                 signature = darts(keys, weights, own, n).astype("<u8")
                 yield pa.RecordBatch.from_arrays(
@@ -178,59 +193,56 @@ def _pack(counted: bool):
     def run(batches):
         for whole in batches:
             for batch in common.slices(whole, "text", 1_000_000):
-                keys, _, own, number, _ = _sets(batch, counted)
+                keys, weights, own, _ = _sets(batch, counted)
+                keys, own = _elements(keys, weights, own)
                 ends = np.searchsorted(own, np.arange(batch.num_rows + 1))
                 sets = [keys[a:b].astype("<u8").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                times = [number[a:b].astype("<u4").tobytes() if counted else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 cells = np.bincount(own * (64 * WORDS) + (keys >> np.uint64(9)).astype(np.int64) % (64 * WORDS), minlength=batch.num_rows * 64 * WORDS) & 1
                 bits = (cells.reshape(-1, WORDS, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), pa.array(sets, pa.binary()), pa.array(times, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]],
-                    ["rep", "keys", "times", *PARITIES],
+                    [batch.column("rep"), pa.array(sets, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]],
+                    ["rep", "keys", *PARITIES],
                 )
 
     return run
 
 
-def similarity(a: bytes, b: bytes, ta: bytes = b"", tb: bytes = b"") -> float:
-    """Exact Jaccard similarity of two packed sorted sets (of multisets, with their counts)."""
+def similarity(a: bytes, b: bytes) -> float:
+    """Exact Jaccard similarity of two packed sorted sets of elements."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
-    same = y[at] == x
-    if ta or tb:
-        m, n = np.frombuffer(ta, "<u4").astype(np.int64), np.frombuffer(tb, "<u4").astype(np.int64)
-        both = int(np.minimum(m[same], n[at[same]]).sum())
-        return both / (int(m.sum() + n.sum()) - both)
-    both = int(same.sum())
+    both = int((y[at] == x).sum())
     return both / (len(x) + len(y) - both)
 
 
 def _compare(least: float):
     def run(batches):
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-            cols = [batch.column(c).to_pylist() for c in ("keys_a", "keys_b", "times_a", "times_b")]
+            cols = [batch.column(c).to_pylist() for c in ("keys_a", "keys_b")]
             keep = [similarity(*x) >= least for x in zip(*cols, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keep: common.Scratch, rounds: int = 60) -> DataFrame:
     """node, label: the smallest node of each connected component of ``edges`` (a, b).
 
     Every node takes the least label among itself and its neighbours, then its
-    label's label; each round is written to the shared folder."""
+    label's label; each round is written to the shared folder, the last as one of
+    ``keep``'s tables."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next")))
-    both, edge_path = common.stored(both.distinct(), "edges")
+    both = keep(both.distinct(), "edges")
     if both.isEmpty():
         return both.select("node", F.col("next").alias("label"))
     spark = edges.sparkSession
+    hot = common.hot_keys(both, "next")
     labels, path = common.stored(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("label")), "labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("next"), F.col("label").alias("heard")), "next").groupBy("node").agg(F.min("heard").alias("heard"))
+        near = common.spread_join(both, labels.select(F.col("node").alias("next"), F.col("label").alias("heard")), "next", hot).groupBy("node").agg(F.min("heard").alias("heard"))
         moved = labels.join(near, "node").select("node", "label", F.least("label", "heard").alias("to"))
         jumped = moved.join(labels.select(F.col("node").alias("to"), F.col("label").alias("via")), "to").select(
             "node", F.least("to", "via").alias("label"), (F.least("to", "via") < F.col("label")).alias("changed")
@@ -242,15 +254,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    common.remove(spark, edge_path)
+    keep.paths.append((spark, path))
     return labels
 
 
 def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches ``least``."""
-    one = sets.select(F.col("rep").alias("a"), F.col("keys").alias("keys_a"), F.col("times").alias("times_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("keys").alias("keys_b"), F.col("times").alias("times_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(_compare(least), "a long, b long")
+    one, two = (sets.select(F.col("rep").alias(c), F.col("keys").alias(f"keys_{c}")) for c in ("a", "b"))
+    held = common.spread_join(pairs, one, "a", common.hot_keys(pairs, "a"))
+    return common.spread_join(held, two, "b", common.hot_keys(pairs, "b")).mapInArrow(_compare(least), "a long, b long")
 
 
 def _unpacked(batches):
@@ -264,7 +276,7 @@ def _unpacked(batches):
         )
 
 
-def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
+def _prefix_pairs(rows: DataFrame, least: float, keep: common.Scratch) -> DataFrame:
     """Pairs (a, b) of rows (rep, keys, label) with different labels that may reach
     the Jaccard similarity ``least``; none that does is missing.
 
@@ -283,13 +295,13 @@ def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
     short = F.col("n") - ceil(F.col("n") * (2 * least / (1 + least))) + 1
     early = known.withColumn("own", own).withColumn("probe", probe).withColumn("short", short).filter("probe > own")
     early = early.select("rep", "label", "n", "own", "short", F.posexplode(F.slice("keys", F.lit(1), F.col("probe") - F.col("own"))).alias("i", "k"))
-    early = common.materialise(
+    early = keep(
         early.join(rows.select("rep", *PARITIES), "rep").select(*PARITIES, "rep", "label", "n", F.col("k.key").alias("key"), (F.col("own") + F.col("i")).alias("at"), (F.col("own") + F.col("i") < F.col("short")).alias("lead")),
         "dart-prefixes",
     )
     sizes = early.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("x.label").alias("main"))
-    mixed = common.materialise(early.join(mixed, "key"), "dart-mixed")
+    mixed = keep(early.join(mixed, "key"), "dart-mixed")
     one = mixed.filter("label <> main").select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "label", "n", "at", "lead", *PARITIES)])
     both = one.join(mixed, "key").filter("p_label <> label and (label = main or p_rep < rep)")
     both = both.filter("(n >= p_n and p_lead) or (p_n >= n and lead)")
@@ -300,7 +312,7 @@ def _prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
     return both.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, least: float = LEAST, counted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, least: float = LEAST, counted: bool = True) -> DataFrame:
     """doc_id, class_id, copy_of: each document's near-duplicate class, and the
     smallest document of equal words."""
     named = _named(docs, least, counted)
@@ -312,50 +324,54 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _named(docs: DataFrame, least: float, counted: bool) -> DataFrame:
+def _named(docs: DataFrame, least: float, counted: bool, tie: bool = True) -> DataFrame:
     """doc_id, row_key (of id and text), rep (of the words), group, copy_of, class_id."""
+    with common.Scratch() as keep:
+        return common.materialise(_grouped(docs, least, counted, tie, keep), "dart-named")
+
+
+def _grouped(docs: DataFrame, least: float, counted: bool, tie: bool, keep: common.Scratch) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), _row_key().alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = texts.mapInArrow(_sign(counted), "doc_id long, row_key long, a long, b long, n_shingles int, signature binary")
-    signed = common.materialise(signed.withColumn("rep", F.xxhash64("a", "b")).drop("a", "b"), "dart-signatures")
+    signed = keep(signed.withColumn("rep", F.xxhash64("a", "b")).drop("a", "b"), "dart-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "row_key"))
-    copies = common.materialise(signed.groupBy("rep").agg(first.alias("x")).select("rep", F.col("x.doc_id").alias("copy_of"), F.col("x.row_key").alias("row_key")), "dart-copies")
-    reps = signed.join(copies.select("rep", "row_key"), ["rep", "row_key"], "left_semi").select("rep", "n_shingles", "signature")
-    reps = common.materialise(reps.dropDuplicates(["rep"]), "dart-reps")
-    bands = reps.filter("n_shingles > 0").select("rep", "signature").mapInArrow(_bands, "band long, rep long")
-    bands = common.materialise(bands, "dart-bands")
+    copies = keep(signed.groupBy("rep").agg(first.alias("x")).select("rep", F.col("x.doc_id").alias("copy_of"), F.col("x.row_key").alias("row_key")), "dart-copies")
+    reps = signed.join(copies.select("row_key").distinct(), "row_key", "left_semi").select("rep", "n_shingles", "signature")
+    reps = keep(reps.dropDuplicates(["rep"]), "dart-reps")
+    bands = keep(reps.filter("n_shingles > 0").select("rep", "signature").mapInArrow(_bands, "band long, rep long"), "dart-bands")
     turn = F.xxhash64("rep", "band")
     leads = bands.groupBy("band").agg(F.min(F.struct(turn.alias("t"), "rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
-    shared = common.materialise(bands.join(leads.select("band", F.col("x.rep").alias("lead")), "band"), "dart-shared")
+    shared = common.spread_join(bands, leads.select("band", F.col("x.rep").alias("lead")), "band", common.hot_keys(bands, "band"))
+    shared = keep(shared.select("band", "rep", "lead"), "dart-shared")
     pairs = shared.filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     wanted = shared.select("rep").distinct()
     text_of = texts.select("row_key", "text").join(copies.join(wanted, "rep", "left_semi").select("rep", "row_key"), "row_key").select("rep", "text")
-    sets = text_of.mapInArrow(_pack(counted), "rep long, keys binary, times binary, " + ", ".join(f"{c} long" for c in PARITIES)).dropDuplicates(["rep"])
-    sets = common.materialise(sets, "dart-sets")
-    pairs = common.materialise(pairs, "dart-pairs")
-    links = common.materialise(_links(pairs, sets, least), "dart-links")
-    labels = components(links)
+    sets = text_of.mapInArrow(_pack(counted), "rep long, keys binary, " + ", ".join(f"{c} long" for c in PARITIES)).dropDuplicates(["rep"])
+    sets = keep(sets, "dart-sets")
+    pairs = keep(pairs, "dart-pairs")
+    links = keep(_links(pairs, sets, least), "dart-links")
+    labels = components(links, keep)
     # bands whose texts lie in several components
     placed = shared.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     torn = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    open_ = common.materialise(placed.join(torn, "band", "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "dart-open")
-    rest = _prefix_pairs(sets.drop("times").join(open_, "rep"), least).join(pairs, ["a", "b"], "left_anti")
-    rest = common.materialise(rest, "dart-rest")
-    more = common.materialise(_links(rest, sets, least), "dart-more")
-    # doc_ids with several texts tie them
+    open_ = keep(placed.join(torn, "band", "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "dart-open")
+    rest = keep(_prefix_pairs(sets.join(open_, "rep"), least, keep).join(pairs, ["a", "b"], "left_anti"), "dart-rest")
+    extra = _links(rest, sets, least)
     member = signed.select("doc_id", "row_key", "rep").distinct()
-    several = member.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
-    tied = member.join(several.select("doc_id", "lo"), "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
-    extra = common.materialise(more.unionByName(tied), "dart-extra")
+    if tie:  # doc_ids with several texts tie them
+        several = member.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
+        tied = member.join(several.select("doc_id", "lo"), "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+        extra = extra.unionByName(tied)
+    extra = keep(extra, "dart-extra")
     # the later links join whole components: only labels take part
     label_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     lifted = extra.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
     lifted = lifted.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
-    final = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    final = components(lifted, keep).select(F.col("node").alias("label"), F.col("label").alias("to"))
     grouped = copies.select("rep", "copy_of").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    grouped = grouped.join(final, "label", "left").select("rep", "copy_of", F.coalesce("to", "label").alias("group"))
-    grouped = common.materialise(grouped, "dart-groups")
+    grouped = keep(grouped.join(final, "label", "left").select("rep", "copy_of", F.coalesce("to", "label").alias("group")), "dart-groups")
     ids = grouped.groupBy("group").agg(F.min("copy_of").alias("class_id"))
-    return common.materialise(member.join(grouped.join(ids, "group"), "rep"), "dart-named")
+    return member.join(grouped.join(ids, "group"), "rep")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,11 +379,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class, or one document of a
-    class without ids."""
-    named = _named(docs, LEAST, False)
-    kept = named.filter("doc_id = class_id").select("doc_id").distinct()
-    alone = named.filter("class_id is null").groupBy("group").agg(F.min("row_key").alias("_key")).select("_key")
-    without = docs.filter(F.col("doc_id").isNull()).select(*common.DOC_COLUMNS).withColumn("_key", _row_key()).join(alone, "_key", "left_semi")
-    without = without.groupBy("_key").agg(F.min(F.struct(*common.DOC_COLUMNS)).alias("x")).select("x.*")
-    return docs.join(kept, "doc_id", "left_semi").select(*common.DOC_COLUMNS).unionByName(without)
+    """One row of each class: that with the smallest doc_id (a null one if there is
+    no other), then the smallest hash of id and text. Rows that repeat id and text
+    are one row, the smallest by their other columns."""
+    named = _named(docs, LEAST, True, tie=False)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "row_key"))
+    kept = named.groupBy("group").agg(first.alias("x")).select(F.col("x.row_key").alias("_key"))
+    rows = docs.select(*common.DOC_COLUMNS).withColumn("_key", _row_key()).join(kept, "_key", "left_semi")
+    return rows.groupBy("_key").agg(F.min(F.struct(*common.DOC_COLUMNS)).alias("x")).select("x.*")
