@@ -109,7 +109,8 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple[int,
     for each piece."""
     if not hot:
         return many.join(one, [key, *also], how)
-    known = F.broadcast(many.sparkSession.createDataFrame(hot, f"{key} long, _pieces long"))  # at most ``share`` rows
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias(key), F.lit(n).cast("long").alias("_pieces")) for k, n in hot])
+    known = F.broadcast(many.sparkSession.range(1).select(F.inline(rows)))  # at most ``share`` rows
     dealt = many.join(known, key, "left")
     # by the row's hash: a task that runs again deals the same
     dealt = dealt.withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_pieces")), F.lit(0)).cast("long")).drop("_pieces")

@@ -11,7 +11,7 @@ one that agrees so with a line of the voted template joins that. Every other lin
 and so every line of three tokens or fewer, is a template of its own (with its
 variable tokens masked). One rule holds for lines of every length.
 
-A template recurs if it stands in at least ``min_docs`` documents. Of a recurring
+A template recurs if it stands in more than one document. Of a recurring
 template the first line, by doc_id and line number, stays, so that the text is
 kept once; the lines of all other documents are dropped, and so are the first
 document's repeats. Lines are compared by 128-bit hashes. Joins on lines, leaves
@@ -34,7 +34,7 @@ from vellumgrid.llm import common, near_duplicates
 
 #: A token that holds a digit or @, or begins like a URL; possessive, so linear.
 VARIABLE = r"(?<!\S)(?:https?://|[^\s0-9@]*+[0-9@])\S*+"
-LEAD, SIMILAR, MIN_DOCS = 3, 0.7, 2
+LEAD, SIMILAR = 3, 0.7
 LINE = ["line_h", "line_g"]
 
 
@@ -68,29 +68,39 @@ def _flags(numbers: Column) -> Column:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key (of the text), line_no, line_h and line_g, leaf_h and whether
-    the line is longer than its leaf's path, of every line that isn't blank."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.posexplode(_masked(F.split("text", "\n"))).alias("line_no", "line"))
-    return lines.filter("line <> ''").select("doc_id", "row_key", "line_no", *_hashes("line"), _leaf("line"), (_tokens("line") > LEAD).alias("deep"))
+    """A row for each line that isn't blank: ``place`` (whether its document lacks an
+    id, the id or else the text's hash, the line's number, the text's hash),
+    line_h and line_g, leaf_h and whether the line is longer than its leaf's path."""
+    key = F.xxhash64("text")
+    lines = docs.select(F.col("doc_id").isNull().alias("lacks"), F.coalesce(F.col("doc_id").cast("long"), key).alias("doc"), key.alias("row_key"), F.posexplode(_masked(F.split("text", "\n"))).alias("line_no", "line"))
+    place = F.struct("lacks", "doc", "line_no", "row_key").alias("place")
+    return lines.filter("line <> ''").select(place, *_hashes("line"), _leaf("line"), (_tokens("line") > LEAD).alias("deep"))
 
 
 def _marked(rows: DataFrame, name: str, keep: common.Scratch) -> DataFrame:
-    """Rows (_id, _key, at) as one array of flags for each text."""
-    lists = keep(rows.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("at")).alias("at")), f"template-{name}")
-    return lists.select("_id", "_key", F.size("at").alias("n"), _flags(F.col("at")).alias("flags"))
+    """Rows of a ``place`` as one array of flags for each text."""
+    rows = rows.select(F.col("place.lacks").alias("_lacks"), F.col("place.doc").alias("_doc"), F.col("place.row_key").alias("_key"), F.col("place.line_no").alias("at"))
+    lists = keep(rows.groupBy("_lacks", "_doc", "_key").agg(F.sort_array(F.collect_set("at")).alias("at")), f"template-{name}")
+    return lists.select("_lacks", "_doc", "_key", F.size("at").alias("_n"), _flags(F.col("at")).alias("_flags"))
 
 
-def _general(docs: DataFrame, keys: DataFrame, keep: common.Scratch) -> DataFrame:
-    """line_h, line_g, template: the lines that belong to a template of their leaf."""
-    deep = keys.filter("deep")
+def _with_flags(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+    """``docs`` with the columns _n and _flags of their texts."""
+    key = F.xxhash64("text")
+    own = docs.withColumn("_lacks", F.col("doc_id").isNull()).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), key)).withColumn("_key", key)
+    return own.join(marked, ["_lacks", "_doc", "_key"], how).drop("_lacks", "_doc", "_key")
+
+
+def _general(docs: DataFrame, forms: DataFrame, keep: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """The forms of leaves that hold several, and line_h, line_g, template of those
+    that belong to a template of their leaf."""
+    deep = forms.filter("deep")
     branching = deep.groupBy("leaf_h").agg(F.min("line_h").alias("a"), F.max("line_h").alias("b")).filter("a <> b").select("leaf_h")
+    held = keep(deep.join(branching, "leaf_h", "left_semi"), "template-branching")
     # the first line of each form stands for all its copies
-    first = deep.groupBy(*LINE).agg(F.min(F.struct("doc_id", "row_key", "line_no", "leaf_h")).alias("x")).select("x.*")
-    wanted = first.join(branching, "leaf_h", "left_semi").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("line_no").alias("at"))
-    wanted = keep(_marked(wanted, "wanted", keep), "template-wanted-flags")
-    texts = docs.filter("text is not null").withColumn("_own", F.xxhash64("text"))
-    texts = texts.join(wanted, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    picked = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("flags", i), F.lit(False)))
+    wanted = keep(_marked(held.select(F.col("first").alias("place")), "wanted", keep), "template-wanted-flags")
+    texts = _with_flags(docs.filter("text is not null").select("doc_id", "text"), wanted, "inner")
+    picked = F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("_flags", i), F.lit(False)))
     rows = texts.select(F.explode(_masked(picked)).alias("line"))
     rows = rows.select(*_hashes("line"), _leaf("line"), F.transform(F.split("line", " "), lambda t, i: F.xxhash64(i, t)).alias("placed"))
     rows = keep(rows.dropDuplicates(LINE), "template-lines")
@@ -102,7 +112,7 @@ def _general(docs: DataFrame, keys: DataFrame, keep: common.Scratch) -> DataFram
     alike = common.spread_join(rows, agreed, "leaf_h", hot).filter(F.size(F.array_intersect("placed", "template")) >= SIMILAR * F.size("placed"))
     voted = keep(alike.select(*LINE, F.xxhash64("leaf_h", F.lit("template")).alias("template")), "template-voted")
     linked = _linked(rows, votes, voted, keep)
-    return voted if linked is None else voted.join(linked, LINE, "left_anti").unionByName(linked)
+    return held, keep(voted if linked is None else voted.join(linked, LINE, "left_anti").unionByName(linked), "template-general")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -158,44 +168,35 @@ def _linked(rows: DataFrame, votes: DataFrame, voted: DataFrame, keep: common.Sc
     return nodes.join(final, "node").select(*LINE, "template")
 
 
-def dropped(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, row_key, line_no of every line that goes."""
-    with common.Scratch() as keep:
-        return common.materialise(_dropped(docs, min_docs, keep), "template-dropped")
-
-
-def _dropped(docs: DataFrame, min_docs: int, keep: common.Scratch) -> DataFrame:
+def _dropped(docs: DataFrame, keep: common.Scratch) -> DataFrame:
+    """``place`` of every line that goes."""
     keys = keep(line_keys(docs), "template-keys")
-    general = keep(_general(docs, keys, keep), "template-general")
-    named = common.spread_join(keys, general, "line_h", common.hot_keys(keys, "line_h"), "left", ("line_g",))
-    named = named.select(
-        "doc_id", F.when(F.col("doc_id").isNull(), F.col("row_key")).alias("alone"), "row_key", "line_no",
-        F.coalesce("template", "line_h").alias("template"), F.when(F.col("template").isNull(), F.col("line_g")).otherwise(0).alias("more"),
-    )
-    named = keep(named, "template-named")
-    once = named.groupBy("template", "more", "doc_id", "alone").agg(F.count("*").alias("n_lines"), F.min(F.struct("line_no", "row_key")).alias("at"))
-    order = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "alone", "at.line_no", "at.row_key")
-    seen = keep(once.groupBy("template", "more").agg(F.count("*").alias("n_docs"), F.sum("n_lines").alias("n_lines"), F.min(order).alias("first")), "template-seen")
-    recurring = seen.filter(F.col("n_docs") >= min_docs)
-    out = common.spread_join(named, recurring.select("template", "more", "first"), "template", common.hot_keys(seen, "template", "n_lines"), also=("more",))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("row_key") == F.col("first.row_key"))
-    return out.filter(~stays).select("doc_id", "row_key", "line_no")
-
-
-def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    document = lambda place: F.struct(place["lacks"].alias("lacks"), place["doc"].alias("doc"))
+    forms = keys.groupBy(*LINE, "leaf_h", "deep").agg(F.min("place").alias("first"), F.max(document(F.col("place"))).alias("last"), F.count("*").alias("n_lines"))
+    forms = keep(forms, "template-forms")
+    held, general = _general(docs, forms, keep)
+    recurs = document(F.col("first")) != F.col("last")  # the first and the last document differ
+    alone = forms.filter(recurs).join(general, LINE, "left_anti").select(*LINE, "first", "n_lines")
+    named = keep(held.join(general, LINE), "template-named")
+    seen = named.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter(recurs).select("template", F.col("first").alias("top"))
+    shared = common.spread_join(named, seen, "template", common.hot_keys(named, "template")).select(*LINE, F.col("top").alias("first"), "n_lines")
+    going = keep(alone.unionByName(shared), "template-going")
+    hot = common.hot_keys(going, "line_h", "n_lines")
+    out = common.spread_join(keys.select("place", *LINE), going.select(*LINE, "first"), "line_h", hot, also=("line_g",))
+    return out.filter(F.col("place") != F.col("first")).select("place")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with text less its dropped lines, and n_lines and
     n_dropped."""
     plain = docs.drop("n_lines", "n_dropped")
     with common.Scratch() as keep:
-        gone = keep(_dropped(plain.select("doc_id", "text"), min_docs, keep), "template-dropped")
-        gone = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("line_no").alias("at"))
-        lists = common.materialise(_marked(gone, "gone", keep).withColumnRenamed("n", "_n").withColumnRenamed("flags", "_gone"), "template-gone")
-    own = plain.withColumn("_own", F.xxhash64("text"))
-    joined = own.join(lists, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("_gone", i), F.lit(False)))
+        lists = common.materialise(_marked(_dropped(plain.select("doc_id", "text"), keep), "gone", keep), "template-gone")
+    joined = _with_flags(plain, lists, "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("_flags", i), F.lit(False)))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in plain.columns],
+        *[F.when(F.col("_n").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in plain.columns],
         n.cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"),
     )
 

@@ -341,7 +341,8 @@ def _grouped(docs: DataFrame, least: float, counted: bool, tie: bool, keep: comm
     bands = keep(reps.filter("n_shingles > 0").select("rep", "signature").mapInArrow(_bands, "band long, rep long"), "dart-bands")
     turn = F.xxhash64("rep", "band")
     leads = bands.groupBy("band").agg(F.min(F.struct(turn.alias("t"), "rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
-    shared = common.spread_join(bands, leads.select("band", F.col("x.rep").alias("lead")), "band", common.hot_keys(bands, "band"))
+    hot = common.hot_keys(bands, "band")
+    shared = common.spread_join(bands, leads.select("band", F.col("x.rep").alias("lead")), "band", hot)
     shared = keep(shared.select("band", "rep", "lead"), "dart-shared")
     pairs = shared.filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     wanted = shared.select("rep").distinct()
@@ -354,7 +355,7 @@ def _grouped(docs: DataFrame, least: float, counted: bool, tie: bool, keep: comm
     # bands whose texts lie in several components
     placed = shared.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     torn = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    open_ = keep(placed.join(torn, "band", "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "dart-open")
+    open_ = keep(common.spread_join(placed, torn, "band", hot, "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "dart-open")
     rest = keep(_prefix_pairs(sets.join(open_, "rep"), least, keep).join(pairs, ["a", "b"], "left_anti"), "dart-rest")
     extra = _links(rest, sets, least)
     member = signed.select("doc_id", "row_key", "rep").distinct()

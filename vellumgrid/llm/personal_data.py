@@ -2,24 +2,32 @@
 them; DataFrame functions only.
 
 Base spans (email, ip, card, phone) follow fixed formats. They, and long
-hexadecimal strings (kind ``secret``), are the seeds. Every occurrence of a seed
-or of another identifier-like run (six or more of letters, digits and ``._%+@-``
-with a digit) induces lexical patterns from its context: its two words on the
-left, and its nearest word on either side. Patterns and instances form a graph,
-scored in turn: a pattern's confidence is the mean confidence of its distinct
-instances, and it is accepted from ``least`` on if at least ``support`` seeds
-stand in it; an instance's confidence is the noisy-or of its accepted patterns.
-After ``rounds`` rounds the occurrences of unseen instances in accepted patterns
-become spans of the kind that most of the pattern's seeds have.
-
-Positions come from marking matches in the text and summing the lengths of the
-pieces between marks. Patterns are written with possessive repeats and anchored
-starts, so that matching is linear in the text; they match what the plain ones do.
-
-Edge cases: null text is the empty text; texts may hold the marks' characters
-(they are exchanged for another control character of equal length first);
-repeated rows give repeated results; null doc_ids are kept; a table without
-seeds gets base results only; other columns are ignored. Digits are ASCII.
+hexadecimal strings (kind ``secret``), are the seeds. Other identifier-like runs
+(six or more of letters, digits and ``._%+@-`` with a digit) are the candidates;
+those that have a base format and fail its check are known to be none. Every
+occurrence induces lexical patterns from its context: the word on its left with
+the signs after it, the two words there, and the word on the left with the next
+one on the right. Patterns and instances (distinct values) form a graph, scored
+in rounds. A pattern's confidence is s / (s + n): s the sum of its instances'
+beliefs, n the failed values and the occurrences of words without a digit that
+the whole corpus has in the same context. It is accepted from ``least`` on, if at
+least ``support`` of its instances have a belief of ``least`` or more; seeds have
+belief 1, a candidate the noisy-or of its accepted patterns, so what one round
+finds supports further patterns in the next. In the end the candidates of
+accepted patterns become spans, of the kind that most of the pattern's supporters
+have (never ``card``, which is defined by its check digit: ``secret`` then).
+
+Matches are marked in the text, which is split at the marks; places are sums of
+the parts' lengths, taken block by block, so that the work is linear in a text
+but for a square of a 64th of its matches. Patterns are written with possessive
+repeats and anchored starts and match what the plain ones do.
+
+Edge cases: null text is the empty text; texts of any length are read whole; texts
+may hold the marks' characters (they are exchanged for another control character
+of equal length first); repeated rows give repeated results; null doc_ids are
+kept; of equally strong kinds or patterns the first kind as listed wins; a table
+without seeds gets base results only; an empty one an empty result; other columns
+are ignored. Digits are ASCII.
 """
 
 from __future__ import annotations
@@ -32,18 +40,32 @@ from pyspark.sql import functions as F
 from vellumgrid.llm import common
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
+CARD, SECRET = 2, 4
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9])++",
-    "secret": r"(?<![A-Za-z0-9._%+@-])[0-9a-f]{32,128}+(?![A-Za-z0-9._%+@-])",
 }
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None}
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CANDIDATE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+"
+RUN = r"(?<![a-z0-9._%+@-])(?=[a-z._%+-]*+[0-9@])[a-z0-9._%+@-]++"
+HEX = "^[0-9a-fA-F]{32,128}$"
+#: Values of a base format; a candidate that is one failed the format's check, or lies within a base span.
+FORMATTED = r"^(?:[0-9](?:-?[0-9]){11,18}|[0-9]+(?:\.[0-9]+){3}|\+[0-9][0-9.-]*|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)[._%+-]*$"
+#: A word and the signs behind it, at the end of a text; a word and the signs before it, at its start.
+_WORD, _SIGN = r"[\p{L}\p{N}#]", r"[^\p{L}\p{N}#]"
+LAST = rf"(?<!{_WORD}){_WORD}++{_SIGN}*+$"
+LAST_TWO = rf"(?<!{_WORD}){_WORD}++{_SIGN}++{_WORD}++{_SIGN}*+$"
+NEXT = rf"^{_SIGN}*+{_WORD}++"
 _OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\x03"
-SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
+BLOCK = 64
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _digits(x: Column) -> Column:
@@ -71,99 +93,198 @@ def _checked(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["value"]))
 
 
-def _spans(text: Column, pattern: str, kind: int, needs: str | None = None) -> Column:
-    """All matches of ``pattern`` with their places in code points, in order."""
-    none = F.array().cast(SPAN)
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+def _starts(lengths: Column) -> Column:
+    """Sums of all lengths before each, block by block."""
 
-    def step(acc: Column, piece: Column) -> Column:
-        cut = F.instr(piece, _CLOSE)
-        value = F.substring_index(piece, _CLOSE, 1)
-        found = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(value)).cast("int").alias("stop"), value.alias("value"))
-        return F.struct(
-            (acc["at"] + F.length(piece) - F.when(cut > 0, 1).otherwise(0)).cast("int").alias("at"),
-            F.when(cut > 0, F.array_append(acc["found"], found)).otherwise(acc["found"]).cast(SPAN).alias("found"),
-        )
+    def block(b: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(
+            F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), begin,
+            lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.array_append(acc["starts"], acc["at"]).cast("array<int>").alias("starts")),
+        )
 
-    spans = F.aggregate(pieces, start.cast(f"struct<at:int,found:{SPAN}>"), step, lambda acc: acc["found"])
-    likely = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
-    return F.when(likely, spans).otherwise(none)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), block)
 
+    def joined(parts: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        tops = F.aggregate(
+            parts, begin, lambda acc, p: F.struct((acc["at"] + p["at"]).cast("int").alias("at"), F.array_append(acc["starts"], acc["at"]).cast("array<int>").alias("starts"))
+        )["starts"]
+        return F.flatten(F.zip_with(parts, tops, lambda p, t: F.transform(p["starts"], lambda x: x + t)))
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, base (spans in order) and others (secrets and candidates
-    with contexts) of every row of ``docs``."""
-    clean = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    for mark in (_OPEN, _CLOSE):
-        clean = F.replace(clean, F.lit(mark), F.lit(_OTHER))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), clean.alias("t"))
-    for k, kind in enumerate(KINDS):
-        found = _spans(F.col("t"), PATTERNS[kind], k, NEEDS[kind])
-        rows = rows.withColumn(kind, _checked(found, kind))
-    rows = rows.withColumn("candidates", _spans(F.col("t"), CANDIDATE, -1))
-    base = F.array_sort(F.flatten(F.array(*KINDS[:4])))
-    rows = rows.withColumn("base", base)
-    overlap = lambda s, other: F.exists(other, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    secrets = F.filter("secret", lambda s: ~overlap(s, F.col("base")))
-    rows = rows.withColumn("secrets", secrets)
-    free = F.filter("candidates", lambda s: ~overlap(s, F.col("base")) & ~overlap(s, F.col("secrets")))
-    seen = F.concat(F.col("base"), F.col("secrets"), free)
+    return _let(blocks, joined)
+
+
+def _tidy(x: Column) -> Column:
+    """Lower case, runs with a digit or @ as one #, white space as single blanks."""
+    return F.regexp_replace(F.regexp_replace(F.lower(x), RUN, "#"), r"\s+", " ")
+
+
+def _spans(text: Column, pattern: str, kind: int, needs: str | None = None, check=None) -> Column:
+    """All matches of ``pattern`` in order, with their places in code points and
+    their contexts; with ``check``, those that pass."""
+    cut = lambda p: F.substring_index(p, _CLOSE, 1)
+    rest = lambda p: F.substring_index(p, _CLOSE, -1)
+    length = lambda p: F.length(p) - F.when(F.contains(p, F.lit(_CLOSE)), 1).otherwise(0)
+
+    def found(pieces: Column, starts: Column) -> Column:
+        def one(i: Column) -> Column:
+            piece = F.get(pieces, i)
+            value, at = cut(piece), F.get(starts, i)
+            # the tail of the text before: behind the match before, or from the start
+            before = rest(F.get(pieces, i - 1))
+            return F.struct(
+                at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(value)).cast("int").alias("stop"), value.alias("value"),
+                before.alias("before"), rest(piece).alias("after"),
+            )
+
+        spans = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), one)
+        return F.filter(spans, lambda s: check(s["value"])) if check is not None else spans
 
     def context(s: Column) -> Column:
-        left = F.substring(F.col("t"), F.greatest(s["start"] - 47, F.lit(1)), F.least(s["start"], F.lit(48)))
-        right = F.substring(F.col("t"), s["stop"] + 1, F.lit(32))
-        tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[0-9]", "#"), r"\s+", " "))
-        before, after = tidy(left), tidy(right)
+        words = lambda t: F.struct(F.regexp_extract(t, LAST, 0).alias("one"), F.regexp_extract(t, LAST_TWO, 0).alias("two"))
+        left = _let(_tidy(s["before"]), words)
+        right = F.regexp_extract(_tidy(s["after"]), NEXT, 0)
         return F.struct(
             s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value"),
-            F.substring_index(before, " ", -2).alias("two"),
-            F.concat_ws("\t", F.substring_index(before, " ", -1), F.substring_index(after, " ", 1)).alias("sides"),
+            left["one"].alias("one"), left["two"].alias("two"), right.alias("next"),
         )
 
-    return rows.select("doc_id", "row_key", "base", "secrets", F.transform(seen, context).alias("seen"))
+    marked = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
+    spans = _let(marked, lambda p: F.when(F.size(p) > 1, _let(_starts(F.transform(p, length)), lambda st: F.transform(found(p, st), context))))
+    likely = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
+    return F.coalesce(F.when(likely, spans), F.array().cast(SPAN))
 
 
-def discover(scanned: DataFrame, least: float = 0.6, support: int = 3, rounds: int = 2) -> DataFrame:
-    """doc_id, row_key, start, kind, stop of spans that accepted patterns find."""
-    seen = scanned.select("doc_id", "row_key", F.explode("seen").alias("s")).select("doc_id", "row_key", "s.*")
-    patterns = F.array(F.concat(F.lit("L "), "two"), F.concat(F.lit("B "), "sides"))
-    usable = seen.select("doc_id", "row_key", "start", "kind", "stop", F.xxhash64(F.lower("value")).alias("instance"), F.explode(patterns).alias("pattern"))
-    usable = common.materialise(usable.filter(F.length("pattern") > 3).withColumn("pattern", F.xxhash64("pattern")), "pii-occurrences")
-    edges = common.materialise(usable.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
-    # a pattern that holds a single instance says nothing
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum((F.col("kind") >= 0).cast("int")).alias("seeds")).filter(f"seeds >= {support} and seeds < n")
-    live = common.materialise(edges.join(sizes, "pattern"), "pii-graph")
-    belief = live.select("pattern", "instance", "kind", "n", F.when(F.col("kind") >= 0, 1.0).otherwise(0.0).alias("b"))
+SPAN = "array<struct<start:int,kind:int,stop:int,value:string,one:string,two:string,next:string>>"
+
+
+def _clean(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    for mark in (_OPEN, _CLOSE):
+        text = F.replace(text, F.lit(mark), F.lit(_OTHER))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), text.alias("t"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, base (spans in order), secrets and others (the candidates)
+    of every row of ``docs``, all with contexts."""
+    rows = _clean(docs)
+    for k, kind in enumerate(PATTERNS):
+        rows = rows.withColumn(kind, _spans(F.col("t"), PATTERNS[kind], k, NEEDS[kind], lambda x, kind=kind: _valid(kind, x)))
+    rows = rows.withColumn("runs", _spans(F.col("t"), CANDIDATE, -1))
+    secret = lambda s: s["value"].rlike(HEX)
+    failed = lambda s: s["value"].rlike(FORMATTED)
+    named = F.transform("runs", lambda s: s.withField("kind", F.when(secret(s) & ~failed(s), F.lit(SECRET)).when(failed(s), F.lit(-2)).otherwise(F.lit(-1))))
+    rows = rows.withColumn("runs", named)
+    return rows.select(
+        "doc_id", "row_key", F.array_sort(F.flatten(F.array(*PATTERNS))).alias("base"),
+        F.filter("runs", lambda s: s["kind"] == SECRET).alias("secrets"), F.filter("runs", lambda s: s["kind"] < 0).alias("others"),
+    )
+
+
+def _pattern_keys(one: Column, two: Column, after: Column) -> list[Column]:
+    """Hashes of the patterns of a context; null where it lacks the words."""
+    return [
+        F.when(one != "", F.xxhash64(F.lit("1"), one)), F.when(two != "", F.xxhash64(F.lit("2"), two)),
+        F.when((one != "") & (after != ""), F.xxhash64(F.lit("b"), one, after)),
+    ]
+
+
+def occurrences(scanned: DataFrame) -> DataFrame:
+    """doc_id, row_key, start, stop, kind (-1: candidate, -2: failed), instance and
+    pattern of every seed, candidate and failed value in every pattern."""
+    # failed values lie within base spans too: there they say nothing
+    seen = scanned.select("doc_id", "row_key", F.explode(F.concat("base", "secrets", "others")).alias("s"))
+    seen = seen.select("doc_id", "row_key", "s.start", "s.stop", "s.kind", F.xxhash64(F.lower("s.value")).alias("instance"), F.array(*_pattern_keys(F.col("s.one"), F.col("s.two"), F.col("s.next"))).alias("p"))
+    return seen.select("doc_id", "row_key", "start", "stop", "kind", "instance", F.explode("p").alias("pattern")).filter("pattern is not null")
+
+
+def ordinary(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """pattern, n_words: how often the corpus has a word without a digit in the
+    context of each pattern of ``live``."""
+    # a unit is a word with the signs behind it
+    units = F.split(_tidy(F.col("t")), rf"(?<!{_WORD})(?={_WORD})")
+    word = lambda u: F.regexp_extract(u, NEXT, 0)
+
+    def keys(units: Column) -> Column:
+        def one(u: Column, i: Column) -> Column:
+            left, two = F.get(units, i - 1), F.concat(F.get(units, i - 2), F.get(units, i - 1))
+            signs = F.substring(u, F.length(word(u)) + 1, F.length(u))
+            nothing = F.lit("")
+            # what stands before the text's first word is no word
+            fits = lambda x: F.coalesce(F.when(x.rlike(rf"^{_WORD}"), x), nothing)
+            after = F.coalesce(F.concat(signs, word(F.get(units, i + 1))), nothing)
+            return F.when((i > 0) & ~F.contains(u, F.lit("#")), F.array(*_pattern_keys(fits(left), F.when(i > 1, fits(two)).otherwise(nothing), after)))
+
+        return F.flatten(F.filter(F.transform(units, one), lambda x: x.isNotNull()))
+
+    rows = _clean(docs).select(F.explode(_let(units, keys)).alias("pattern")).filter("pattern is not null")
+    return rows.join(live.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("n_words"))
+
+
+def score(edges: DataFrame, least: float, support: int, rounds: int, keep: common.Scratch) -> DataFrame:
+    """pattern, p, as_kind of accepted patterns; ``edges`` has pattern, instance,
+    kind (seeds 0 and more, candidates -1) and n, what speaks against the pattern."""
+    belief = None
     for _ in range(rounds):
-        scores = belief.groupBy("pattern").agg((F.sum("b") / F.max("n")).alias("p")).filter(F.col("p") >= least)
-        told = live.join(scores, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("told"))
-        belief = live.join(told, "instance", "left").select(
-            "pattern", "instance", "kind", "n", F.when(F.col("kind") >= 0, 1.0).otherwise(F.coalesce("told", F.lit(0.0))).alias("b")
+        known = edges.withColumn("b", F.when(F.col("kind") >= 0, 1.0).otherwise(0.0)).withColumn("k", F.col("kind"))
+        if belief is not None:
+            known = edges.join(belief, "instance", "left").withColumn("b", F.when(F.col("kind") >= 0, 1.0).otherwise(F.coalesce("told", F.lit(0.0))))
+            known = known.withColumn("k", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("told_kind", F.lit(-1))))
+        high = F.col("b") >= least
+        tally = known.groupBy("pattern").agg(
+            (F.sum("b") / (F.sum("b") + F.max("n"))).alias("p"), F.sum(high.cast("int")).alias("high"), *[F.sum((high & (F.col("k") == k)).cast("int")).alias(f"k{k}") for k in range(len(KINDS))]
+        )
+        # the commonest kind, of equals the first
+        most = reduce(lambda a, k: F.greatest(a, F.struct(F.col(f"k{k}").alias("c"), F.lit(-k).alias("k"))), range(1, len(KINDS)), F.struct(F.col("k0").alias("c"), F.lit(0).alias("k")))
+        kind = F.when(most["k"] == -CARD, F.lit(SECRET)).otherwise(-most["k"])
+        accepted = keep(tally.filter((F.col("high") >= support) & (F.col("p") >= least)).select("pattern", "p", kind.alias("as_kind")), "pii-accepted")
+        told = edges.filter("kind = -1").join(accepted, "pattern").groupBy("instance")
+        belief = keep(
+            told.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("told"), F.max(F.struct("p", (-F.col("as_kind")).alias("k"))).alias("x")).select(
+                "instance", "told", (-F.col("x.k")).alias("told_kind")
+            ),
+            "pii-belief",
         )
-        belief = common.materialise(belief, "pii-belief")
-    accepted = belief.groupBy("pattern").agg((F.sum("b") / F.max("n")).alias("p"), *[F.sum((F.col("kind") == k).cast("int")).alias(f"k{k}") for k in range(len(KINDS))]).filter(F.col("p") >= least)
-    most = reduce(lambda a, k: F.greatest(a, F.struct(F.col(f"k{k}").alias("c"), F.lit(-k).alias("k"))), range(1, len(KINDS)), F.struct(F.col("k0").alias("c"), F.lit(0).alias("k")))
-    accepted = accepted.select("pattern", (-most["k"]).alias("as_kind"), "p")
-    hits = usable.filter("kind < 0").drop("kind").join(accepted, "pattern")
+    return accepted
+
+
+def discover(docs: DataFrame, scanned: DataFrame, keep: common.Scratch, least: float = 0.6, support: int = 3, rounds: int = 3) -> DataFrame:
+    """doc_id, row_key, start, kind, stop of spans that accepted patterns find."""
+    usable = keep(occurrences(scanned), "pii-occurrences")
+    edges = keep(usable.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
+    # a pattern needs enough instances, and one to find
+    sizes = edges.groupBy("pattern").agg(
+        F.sum((F.col("kind") > -2).cast("int")).alias("n_all"), F.sum((F.col("kind") == -1).cast("int")).alias("n_new"), F.sum((F.col("kind") == -2).cast("int")).alias("n_failed")
+    )
+    live = keep(sizes.filter(f"n_all >= {support} and n_new > 0"), "pii-live")
+    words = keep(ordinary(docs, live), "pii-words")
+    against = live.join(words, "pattern", "left").select("pattern", (F.col("n_failed") + F.coalesce("n_words", F.lit(0))).alias("n"))
+    graph = keep(common.spread_join(edges.filter("kind > -2"), against, "pattern", common.hot_keys(edges, "pattern")), "pii-graph")
+    accepted = score(graph, least, support, rounds, keep)
+    hits = usable.filter("kind = -1").drop("kind").join(accepted, "pattern")
     best = hits.groupBy("doc_id", "row_key", "start", "stop").agg(F.max_by("as_kind", F.struct("p", -F.col("as_kind"))).alias("kind"))
     return best.select("doc_id", "row_key", "start", "kind", "stop")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the four counts and base_sha256 of base spans, and all spans."""
+def find(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, the four counts and base_sha256 of base spans, all spans and their
+    number."""
     scanned = common.materialise(scan(docs), "pii-scan")
-    more = discover(scanned).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
-    more = more.withColumnRenamed("doc_id", "_id")
+    with common.Scratch() as keep:
+        more = discover(docs, scanned, keep, **options).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
+        more = common.materialise(more.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "more"), "pii-found")
     slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
     named = F.array(*[F.lit(k) for k in KINDS])
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(named, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    joined = scanned.drop("seen").join(more, (scanned.row_key == more.row_key) & scanned.doc_id.eqNullSafe(more["_id"]), "left")
-    everything = F.array_sort(F.concat(slim("base"), slim("secrets"), F.coalesce(F.col("more"), F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
+    joined = scanned.join(more, (scanned.row_key == more["_key"]) & scanned.doc_id.eqNullSafe(more["_id"]), "left")
+    added = F.concat(slim("secrets"), F.coalesce(F.col("more"), F.array().cast("array<struct<start:int,kind:int,stop:int>>")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return joined.select(
-        "doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(text(slim("base")), 256).alias("base_sha256"), text(everything).alias("spans")
-    )
+        "doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(text(slim("base")), 256).alias("base_sha256"),
+        text(F.array_sort(F.concat(slim("base"), added))).alias("spans"), (F.size("base") + F.size(added)).cast("long").alias("n_spans"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
