@@ -207,6 +207,22 @@ def test_alert_hold(spark):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,5*id,0) AS start, CASE WHEN id = 2 THEN 0.0 ELSE 1.0 END AS p95 FROM range(6)")
     got = metrics.alerts(rows, {"slow": ("p95", 0.5)}, 2).collect()
     assert sorted(r.start.minute for r in got) == [5, 20, 25]
+    night = spark.sql("SELECT timestamp'2024-01-01 23:50:00' + make_interval(0,0,0,0,0,5*id,0) AS start, 1.0 AS p95 FROM range(5) WHERE id <> 3")
+    assert sorted(r.start.minute for r in metrics.alerts(night, {"slow": ("p95", 0.5)}, 2).collect()) == [0, 55]
+
+
+def test_histogram_quantile(spark):
+    counts = F.array(*[F.lit(x).cast("long") for x in (10, 50, 90)])
+    q = lambda p, n=100: spark.range(1).select(metrics.quantile(p, counts, F.lit(n), [1.0, 2.0, 4.0]).alias("x")).head().x
+    assert [round(q(p), 6) for p in (0.05, 0.1, 0.3, 0.9, 0.95)] == [0.5, 1.0, 1.5, 4.0, 4.0]
+
+
+def test_chunk_uuid(spark):
+    import uuid
+
+    ids = ["c1", "doc_s1_parent", "ünï"]
+    got = spark.createDataFrame([(x,) for x in ids], "x string").select(T.chunk_uuid(F.col("x")).alias("u")).collect()
+    assert [r.u for r in got] == [str(uuid.uuid5(uuid.NAMESPACE_DNS, x)) for x in ids]
 
 
 def test_streaming_ingest(spark, tmp_path):

@@ -19,6 +19,7 @@ PATTERN_KEYWORDS = {
     "comparison": ["compare", "comparison", "difference", "differences", "similar", "similarity", "versus", "vs", "between"],
     "rule": ["rule", "rules", "policy", "policies", "regulation", "regulations", "risk", "compliance", "applies", "applicable"],
 }
+DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 NER_TYPES = {"ORG": "System", "PRODUCT": "System", "GPE": "System", "MONEY": "Field", "DATE": "Field", "PERSON": "Field"}
 
 
@@ -46,10 +47,11 @@ def is_acronym(token: Column) -> Column:
 def bm25_tokens(text: Column) -> Column:
     """Index terms: acronyms keep their case less edge punctuation, other tokens
     are lower-cased and lose all punctuation; none empty."""
+    one = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
     bare = lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
-    plain = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]", "")
-    # an acronym equals its upper case; the patterns run only on tokens that do
-    each = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: F.when((t == F.upper(t)) & is_acronym(t), bare(t)).otherwise(plain(t)))
+    # blanks stay, so both splits have the same places; the patterns run only on tokens without lower case
+    plain = F.split(F.regexp_replace(F.lower(one), r"[^\p{L}\p{N}_ ]+", ""), " ")
+    each = F.zip_with(F.split(one, " "), plain, lambda t, p: F.when(~t.rlike("[a-z]") & is_acronym(t), bare(t)).otherwise(p))
     return F.filter(each, lambda t: t != "")
 
 
@@ -75,8 +77,9 @@ def mentions(question: Column) -> Column:
     runs = F.regexp_extract_all(question, F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*(?![\p{L}\p{N}_])"), F.lit(0))
     named = F.filter(runs, lambda x: ~x.isin(QUESTION_WORDS))
     every = F.concat(quoted, acronyms, named)
-    lower = F.transform(every, F.lower)
-    return F.filter(every, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    both = F.struct(every.alias("all"), F.transform(every, F.lower).alias("low"))
+    # bound once, not computed anew for each element
+    return F.get(F.transform(F.array(both), lambda b: F.filter(b["all"], lambda x, i: F.array_position(b["low"], F.lower(x)) == i + 1)), 0)
 
 
 def query_pattern(question: Column) -> Column:
@@ -157,9 +160,17 @@ def ner_type(label: Column) -> Column:
     return F.coalesce(F.get(F.array(table), F.lit(0))[label], F.lit("System"))
 
 
-def entity_context(text: Column, value: Column) -> Column:
-    """The first sentence that holds ``value``, else the text's first 200 characters."""
-    return F.coalesce(F.get(F.filter(sentences(text), lambda s: F.contains(s, value)), F.lit(0)), F.substring(text, 1, 200))
+def entity_context(text: Column, value: Column, parts: Column | None = None) -> Column:
+    """The first sentence (of ``parts``, if given) that holds ``value``, else the text's first 200 characters."""
+    parts = sentences(text) if parts is None else parts
+    return F.coalesce(F.get(F.filter(parts, lambda s: F.contains(s, value)), F.lit(0)), F.substring(text, 1, 200))
+
+
+def chunk_uuid(chunk_id: Column) -> Column:
+    """UUID version 5 of a chunk's id in the DNS name space."""
+    h = F.lower(F.sha1(F.concat(F.unhex(F.lit(DNS_NAMESPACE)), F.encode(chunk_id, "UTF-8"))))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
 def sigmoid(x: Column) -> Column:

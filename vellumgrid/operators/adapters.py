@@ -35,20 +35,48 @@ def retried(call: Callable, attempts: int = 3, first: float = 1.0, sleep: Callab
     return run
 
 
-def vectorised(model: Callable[..., list], kind: str, fallback=None, attempts: int = 3, first: float = 1.0):
-    """A column function of a list model."""
+def isolated(model: Callable[..., list], fallback=None, attempts: int = 3, first: float = 1.0) -> Callable[..., list]:
+    """A list model whose failing rows get the fallback, and no others: a batch that
+    fails is tried again whole, with pauses, then in halves down to single rows."""
 
-    def run(*columns: pd.Series) -> pd.Series:
+    def halves(*columns: list) -> list:
         try:
-            return pd.Series(retried(model, attempts, first)(*[c.tolist() for c in columns]))
-        except Exception:  # the model is gone: its rows get the fallback
-            return pd.Series([fallback] * len(columns[0]))
+            return list(model(*columns))
+        except Exception:
+            n = len(columns[0])
+            if n <= 1:
+                return [fallback] * n
+            return halves(*[c[: n // 2] for c in columns]) + halves(*[c[n // 2 :] for c in columns])
+
+    def run(*columns: list) -> list:
+        try:
+            return list(retried(model, attempts, first)(*columns))
+        except Exception:  # the failing rows are told from the rest
+            return halves(*columns)
+
+    return run
+
+
+def batched(model: Callable[[list], list], size: int) -> Callable[[list], list]:
+    """A list model that is called on ``size`` rows at a time, in order; a failing
+    batch fails the whole."""
+    return lambda rows: [x for at in range(0, len(rows), size) for x in model(rows[at : at + size])]
+
+
+def adaptive_size(elapsed: float, target: float, least: int, most: int) -> int:
+    """The next batch's size after ``least`` rows took ``elapsed`` seconds."""
+    return most if elapsed <= 0 else max(least, min(most, int(least * target / elapsed)))
+
+
+def vectorised(model: Callable[..., list], kind: str, fallback=None, attempts: int = 3, first: float = 1.0):
+    """A column function of a list model."""
+    safe = isolated(model, fallback, attempts, first)
 
     def one(a: pd.Series) -> pd.Series:
-        return run(a)
+        return pd.Series(safe(a.tolist()))
 
     def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return run(a, b)
+        return pd.Series(safe(a.tolist(), b.tolist()))
 
     def column(*args):
         f = one if len(args) == 1 else two

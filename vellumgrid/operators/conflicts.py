@@ -129,8 +129,12 @@ def value_differences(entities: DataFrame) -> DataFrame:
 
 def type_differences(doc_edges: DataFrame) -> DataFrame:
     """Ordered pairs of documents and the relationship types that only the first
-    has, of (doc_id, rel_type) rows of documents under comparison (a few)."""
-    sets = doc_edges.groupBy("doc_id").agg(F.collect_set("rel_type").alias("types"))
-    other = sets.select(F.col("doc_id").alias("other_doc"), F.col("types").alias("other_types"))
-    only = F.array_except("types", "other_types")
-    return sets.join(other, F.col("doc_id") != F.col("other_doc")).select("doc_id", "other_doc", F.array_join(F.sort_array(only), ",").alias("only_here")).filter("only_here <> ''")
+    has, of (doc_id, rel_type) rows. Documents with the same set of types are one
+    class; classes are compared, which are as few as sets of types occur."""
+    sets = doc_edges.groupBy("doc_id").agg(F.sort_array(F.collect_set("rel_type")).alias("types")).withColumn("kind", F.array_join("types", ","))
+    kinds = sets.select("kind", "types").distinct()
+    other = kinds.select(F.col("kind").alias("other_kind"), F.col("types").alias("other_types"))
+    only = F.array_join(F.array_except("types", "other_types"), ",")
+    pairs = kinds.join(F.broadcast(other), F.col("kind") != F.col("other_kind")).select("kind", "other_kind", only.alias("only_here")).filter("only_here <> ''")
+    rest = sets.select(F.col("doc_id").alias("other_doc"), F.col("kind").alias("other_kind"))
+    return sets.select("doc_id", "kind").join(pairs, "kind").join(rest, "other_kind").select("doc_id", "other_doc", "only_here")

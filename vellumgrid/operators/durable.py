@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _base(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all tasks run
+    on this machine (local tests), a temporary folder."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not base:
+        base = getattr(_base, "_own", None) or tempfile.mkdtemp(prefix="vellumgrid-")
+        _base._own = base
+    return base.rstrip("/")
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``;
-    where that is unset and all tasks run on this machine (local tests), in a
-    temporary folder."""
+    """``df`` computed once and kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        base = context.getConf().get("spark.checkpoint.dir")
-        if not base and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="vellumgrid-"))
+        context.setCheckpointDir(_base(df.sparkSession))
     return df.checkpoint()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import text as T
@@ -13,17 +13,52 @@ TYPES = ["System", "PaymentMode", "Workflow", "Rule", "Field"]
 IGNORED_PROPERTIES = ["extraction_method", "spacy_label", "start_char", "end_char", "source_chunk_ids", "mention_count", "aliases"]
 
 
-def extract(chunks: DataFrame) -> DataFrame:
-    """Offline extraction: the mention rules on each chunk's text, acronyms and
-    names as systems. A model's extractor may take its place."""
-    rows = chunks.select("chunk_id", "text", F.explode(T.mentions(F.col("text"))).alias("name"))
+#: Amounts and dates, as their recogniser's labels.
+LABELLED = {"MONEY": r"(?:[$€£₹]|Rs\.? ?)[0-9][0-9,.]*(?: (?:lakh|crore|million|billion)s?)?", "DATE": r"[0-9]{4}-[0-9]{2}-[0-9]{2}"}
+
+
+def _rows(found: DataFrame, properties: Column) -> DataFrame:
     canonical = T.normalise_name(F.col("name"))
-    return rows.select(
-        T.entity_id(canonical, F.col("chunk_id")).alias("entity_id"), F.lit("System").alias("entity_type"), "name", canonical.alias("canonical_name"),
-        F.col("chunk_id").alias("source_chunk_id"), T.entity_context(F.col("text"), F.col("name")).alias("context"),
+    return found.select(
+        T.entity_id(canonical, F.col("chunk_id")).alias("entity_id"), "entity_type", "name", canonical.alias("canonical_name"),
+        F.col("chunk_id").alias("source_chunk_id"), T.entity_context(F.col("text"), F.col("name"), F.col("parts")).alias("context"), properties.alias("properties"),
     )
 
 
+def _named_type(name: Column, other: Column) -> Column:
+    """The type that a name's last word says, else ``other``."""
+    last = F.substring_index(F.trim(name), " ", -1)
+    return F.when(last.isin("Workflow", "Process"), "Workflow").when(last == "Rule", "Rule").when(last == "Field", "Field").otherwise(other)
+
+
+def from_labels(rows: DataFrame) -> DataFrame:
+    """Entities of a recogniser's output: (chunk_id, text, spans), a span being a
+    text and its label."""
+    # sentences are split once a text, before its spans become rows
+    found = rows.select("chunk_id", "text", T.sentences(F.col("text")).alias("parts"), F.explode("spans").alias("s")).select("chunk_id", "text", "parts", F.col("s.text").alias("name"), F.col("s.label").alias("label"))
+    typed = found.filter(F.trim("name") != "").withColumn("entity_type", _named_type(F.col("name"), T.ner_type(F.col("label"))))
+    return _rows(typed, F.create_map(F.lit("extraction_method"), F.lit("ner"), F.lit("spacy_label"), F.col("label")))
+
+
+def from_replies(rows: DataFrame) -> DataFrame:
+    """Entities of a model's JSON replies: (chunk_id, text, reply). Entries without
+    a name are left out; an unknown type is a System; a reply that isn't JSON has none."""
+    each = T.json_array(F.col("reply"), "struct<name:string,type:string,properties:map<string,string>>")
+    found = rows.select("chunk_id", "text", T.sentences(F.col("text")).alias("parts"), F.explode(each).alias("e")).select("chunk_id", "text", "parts", F.col("e.name").alias("name"), F.col("e.type").alias("type"), F.col("e.properties").alias("given"))
+    typed = found.filter(F.coalesce(F.trim("name"), F.lit("")) != "").withColumn("entity_type", F.when(F.col("type").isin(TYPES), F.col("type")).otherwise("System"))
+    return _rows(typed, F.map_concat(F.coalesce("given", F.create_map().cast("map<string,string>")), F.create_map(F.lit("extraction_method"), F.lit("llm"))))
+
+
+def extract(chunks: DataFrame) -> DataFrame:
+    """Offline extraction: the mention rules on each chunk's text as organisations,
+    amounts and dates by their forms. A recogniser's or a model's output may take
+    its place."""
+    spans = lambda values, label: F.transform(F.array_distinct(values), lambda v: F.struct(v.alias("text"), F.lit(label).alias("label")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    every = [spans(T.mentions(text), "ORG"), *[spans(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), label) for label, pattern in LABELLED.items()]]
+    return from_labels(chunks.select("chunk_id", "text", F.concat(*every).alias("spans")))
+
+
 def deduplicated(entities: DataFrame, pos: str = "pos") -> DataFrame:
     """Per lower-cased canonical name the entity of the longest context; the first
     by ``pos`` among equals. An arg-max aggregate, combined before the shuffle."""
@@ -31,16 +66,66 @@ def deduplicated(entities: DataFrame, pos: str = "pos") -> DataFrame:
     return entities.groupBy(F.lower("canonical_name").alias("_k")).agg(best.alias("x")).select("x.*")
 
 
+def _grams(word: str, size: int) -> Column:
+    """The runs of ``size`` characters, numbered where one recurs."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda i: F.substring(F.col(word), i, F.lit(size)))
+    runs = F.when(F.length(word) >= size, runs).otherwise(F.array().cast("array<string>"))
+    return F.transform(runs, lambda g, i: F.concat(g, F.lit("\x01"), F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def _prefixes(words: DataFrame, size: int, need: Column) -> DataFrame:
+    """entity_type, w, g: each word's rarest grams, as many as any partner that
+    shares ``need`` of them must meet one."""
+    flat = words.select("entity_type", "w", F.explode(_grams("w", size)).alias("g"))
+    often = flat.groupBy("entity_type", "g").agg(F.count("*").alias("f"))
+    ranked = flat.join(often, ["entity_type", "g"]).groupBy("entity_type", "w").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("gs"))
+    keep = F.size("gs") - F.greatest(need, F.lit(1)) + 1
+    return ranked.select("entity_type", "w", F.explode(F.slice("gs", F.lit(1), F.greatest(keep, F.lit(1)))).alias("s")).select("entity_type", "w", F.col("s.g").alias("g"))
+
+
+def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("entity_type", F.col("w").alias("x"), "g").join(b.select("entity_type", F.col("w").alias("y"), "g"), ["entity_type", "g"]).filter("x <> y").select("entity_type", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def similar_pairs(entities: DataFrame, least: float = 0.85) -> DataFrame:
-    """a, b and similarity of entities of one type, a before b. Candidates share a
-    word, or one's initials begin with the other; names compare once however many
-    entities bear them."""
+    """entity_type, ca, na, cb, nb and similarity of all pairs of distinct names of
+    one type that reach ``least``, the first before the second; names compare once
+    however many entities bear them.
+
+    Candidates miss no such pair. Where neither name holds the other nor is its
+    acronym, the canonical names' similarity must reach x = (least - 0.3) / 0.7, so at
+    most (1 - x) of the longer one's n characters are edited: they share xn characters
+    and, each edit costing two, n - 1 - 2(1 - x)n pairs of characters; a prefix filter
+    over rare ones finds them (over pairs where that number is one or more for the
+    longer name, over characters for two short names). A name that another holds
+    shares all its runs; an acronym is a beginning of the other's initials; equal
+    names meet as they are."""
     forms = entities.select("entity_type", "canonical_name", "name").distinct()
-    keyed = forms.withColumn("k", F.explode(F.array_distinct(F.concat(F.split(F.lower("canonical_name"), r"\s+"), F.array(F.concat(F.lit("~"), F.substring(T.initials(F.lower(F.col("canonical_name"))), 1, 3)), F.concat(F.lit("~"), F.substring(F.lower("canonical_name"), 1, 3)))))))
-    x = keyed.select("entity_type", "k", F.col("canonical_name").alias("ca"), F.col("name").alias("na"))
-    y = keyed.select("entity_type", "k", F.col("canonical_name").alias("cb"), F.col("name").alias("nb"))
-    pairs = x.join(y, ["entity_type", "k"]).filter("(ca, na) < (cb, nb)").select("entity_type", "ca", "na", "cb", "nb").distinct()
-    return pairs.withColumn("similarity", F.round(T.entity_similarity(F.col("ca"), F.col("cb"), F.col("na"), F.col("nb")), 6)).filter(F.col("similarity") >= least)
+    words = forms.select("entity_type", F.lower("canonical_name").alias("w")).distinct()
+    x = max((least - 1e-6 - 0.3) / 0.7, 0.01)
+    n = F.size("gs")
+    share = lambda m: F.ceil(m * x - F.lit(1e-9)).cast("int")
+    pairs_of = lambda m: F.ceil(m * (2 * x - 1) - 1 - F.lit(1e-9)).cast("int")  # noqa: E731  (grows with m, so it holds for a longer partner)
+    short = words.filter(pairs_of(F.length("w")) < 1) if x > 0.5 else words
+    chars = _prefixes(short, 1, share(n))
+    found = _meeting(chars, chars)
+    if x > 0.5:
+        twos = _prefixes(words, 2, pairs_of(n + 1))
+        found = found.unionByName(_meeting(twos, twos))
+    # holding: the rarest run of the shorter name lies in the longer one
+    for size, part in ((2, words.filter(F.length("w") >= 2)), (1, words.filter(F.length("w") == 1))):
+        every = words.select("entity_type", "w", F.explode(F.array_distinct(F.transform(_grams("w", size), lambda g: F.substring_index(g, "\x01", 1)))).alias("g"))
+        often = every.groupBy("entity_type", "g").agg(F.count("*").alias("f"))
+        rare = every.join(part, ["entity_type", "w"], "left_semi").join(often, ["entity_type", "g"]).groupBy("entity_type", "w").agg(F.min(F.struct("f", "g")).alias("s")).select("entity_type", "w", F.col("s.g").alias("g"))
+        found = found.unionByName(_meeting(rare, every).filter(F.contains("x", F.col("y")) | F.contains("y", F.col("x"))))
+    first = words.withColumn("i", T.initials(F.col("w"))).filter(F.length("i") >= 3)
+    begun = first.select("entity_type", "w", F.explode(F.transform(F.sequence(F.lit(3), F.length("i")), lambda k: F.left(F.col("i"), k))).alias("g"))
+    found = found.unionByName(_meeting(words.select("entity_type", "w", F.col("w").alias("g")), begun)).distinct()
+    found = found.unionByName(words.select("entity_type", F.col("w").alias("x"), F.col("w").alias("y")))
+    side = lambda c, k: forms.select("entity_type", F.lower("canonical_name").alias(k), F.col("canonical_name").alias(f"c{c}"), F.col("name").alias(f"n{c}"))
+    met = found.join(side("a", "x"), ["entity_type", "x"]).join(side("b", "y"), ["entity_type", "y"]).filter("ca <> cb or na <> nb")
+    turned = met.select("entity_type", *[F.when(F.expr("(ca, na) < (cb, nb)"), F.col(c)).otherwise(F.col(d)).alias(c) for c, d in (("ca", "cb"), ("na", "nb"), ("cb", "ca"), ("nb", "na"))]).distinct()
+    return turned.withColumn("similarity", F.round(T.entity_similarity(F.col("ca"), F.col("cb"), F.col("na"), F.col("nb")), 6)).filter(F.col("similarity") >= least)
 
 
 def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:

@@ -4,25 +4,89 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.config import RetrievalError, Settings
 from vellumgrid.functions import text as T
 from vellumgrid.functions import vectors as V
+from vellumgrid.operators.durable import durable
+from vellumgrid.operators.store import TableStore
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf and dl (the chunk's number of terms)."""
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a few large files dealt to all cores; a table of many files as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def _terms(chunks: DataFrame) -> DataFrame:
     body = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("breadcrumbs", F.lit("")))
-    terms = chunks.select("chunk_id", T.bm25_tokens(body).alias("terms")).select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+    return spread(chunks.select("chunk_id", "text", "breadcrumbs")).select("chunk_id", T.bm25_tokens(body).alias("terms"))
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, term, tf and dl (the chunk's number of terms). A chunk lies in one
+    partition, so its terms are counted there; nothing is shuffled."""
+    # sorted terms: equal ones stand side by side, and a term's count is the distance to its next change
+    rows = _terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("dl"), F.array_sort("terms").alias("t"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == F.size("t")) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.filter("dl > 0").select("chunk_id", "dl", "t", ends.alias("ends"))
+    each = F.transform("ends", lambda e, k: F.struct(F.get("t", e - 1).alias("term"), (e - F.when(k > 0, F.get("ends", k - 1)).otherwise(0)).cast("long").alias("tf")))
+    return rows.select("chunk_id", "dl", F.explode(each).alias("p")).select("chunk_id", "p.term", "p.tf", "dl")
 
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
     """One row: n (chunks) and avgdl."""
-    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("breadcrumbs", F.lit("")))
-    return chunks.select(F.size(T.bm25_tokens(body)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return _terms(chunks).agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+
+
+class KeywordIndex:
+    """Postings of a corpus in files: ``postings`` (term, chunk_id, tf, dl) in order
+    of terms, so that a question's few terms read few row groups; ``lengths``, a
+    row for each chunk; and ``statistics``, one row. Building replaces the folder's
+    index by a version of its own; the newest whole one counts."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.store = spark, TableStore(spark, root)
+
+    def build(self, chunks: DataFrame) -> KeywordIndex:
+        fresh = self.store.replace("terms", _terms(chunks).select("chunk_id", F.size("terms").cast("long").alias("dl"), "terms"))
+        lengths = fresh.select("chunk_id", "dl")
+        self.store.replace("statistics", lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).coalesce(1))
+        rows = fresh.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.store.replace("postings", rows.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+        for name in ("terms", "statistics", "postings"):
+            self.store.prune(name)
+        return self
+
+    @property
+    def exists(self) -> bool:
+        return self.store.has("postings")
+
+    def scores(self, question: str, settings: Settings = Settings(), include_zero: bool = False) -> DataFrame:
+        """chunk_id and BM25 score of the chunks that hold a term of the question
+        (of all chunks with ``include_zero``)."""
+        asked = question_terms(self.spark, question)
+        if not asked:
+            return self.spark.createDataFrame([], "chunk_id string, score double")
+        stats = self.store.read("statistics").head()
+        times = F.create_map(*[F.lit(x) for t in dict.fromkeys(asked) for x in (t, asked.count(t))])
+        held = self.store.read("postings").filter(F.col("term").isin(list(dict.fromkeys(asked))))
+        df = held.groupBy("term").agg(F.count("*").alias("df"))  # a row a term
+        norm = settings.k1 * (1 - settings.b + settings.b * F.col("dl") / stats.avgdl)
+        weight = F.element_at(times, F.col("term")) * idf(F.lit(stats.n), F.col("df"), settings.idf) * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + norm)
+        out = held.join(F.broadcast(df), "term").groupBy("chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+        if include_zero:
+            out = self.store.read("terms").select("chunk_id").join(out, "chunk_id", "left").select("chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        return out
+
+
+def question_terms(spark: SparkSession, question: str) -> list[str]:
+    if not question.strip():
+        raise RetrievalError("the query is empty")
+    return [r.t for r in spark.range(1).select(F.explode(T.bm25_tokens(F.lit(question))).alias("t")).collect()]
 
 
 def idf(n: Column, df: Column, kind: str) -> Column:
@@ -31,39 +95,29 @@ def idf(n: Column, df: Column, kind: str) -> Column:
 
 
 def bm25_scores(chunks: DataFrame, question: str, settings: Settings = Settings(), include_zero: bool = False) -> DataFrame:
-    """chunk_id and score. Each chunk is tokenised once; the question's few terms
-    are counted inside the row, so only statistics move."""
-    if not question.strip():
-        raise RetrievalError("the query is empty")
+    """chunk_id and score of a table without an index: one pass over its texts, in
+    which the question's few terms are counted inside the row."""
     spark = chunks.sparkSession
-    asked = [r.t for r in spark.range(1).select(F.explode(T.bm25_tokens(F.lit(question))).alias("t")).collect()]
+    asked = question_terms(spark, question)
     if not asked:
         return spark.createDataFrame([], "chunk_id string, score double")
     terms = list(dict.fromkeys(asked))
-    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("breadcrumbs", F.lit("")))
-    rows = chunks.select("chunk_id", T.bm25_tokens(body).alias("terms"))
-    tf = [_count("terms", t) for t in terms]
-    rows = rows.select("chunk_id", F.size("terms").alias("dl"), *[c.alias(f"tf{k}") for k, c in enumerate(tf)])
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))])
-    both = rows.crossJoin(F.broadcast(stats))  # one row of statistics
-    norm = settings.k1 * (1 - settings.b + settings.b * F.col("dl") / F.col("avgdl"))
-    weight = [asked.count(t) * idf(F.col("n"), F.col(f"df{k}"), settings.idf) * F.col(f"tf{k}") * (settings.k1 + 1) / (F.col(f"tf{k}") + norm) for k, t in enumerate(terms)]
-    score = reduce(lambda a, b: a + b, weight)
+    held = lambda t: F.filter("terms", lambda x: x == F.lit(t))
+    counts = [F.size(held(t)).alias(f"tf{k}") for k, t in enumerate(terms)]
+    rows = durable(_terms(chunks).select("chunk_id", F.size("terms").alias("dl"), *counts))  # numbers only
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))]).head()
+    norm = settings.k1 * (1 - settings.b + settings.b * F.col("dl") / stats.avgdl)
+    weight = [asked.count(t) * idf(F.lit(stats.n), F.lit(stats[f"df{k}"]), settings.idf) * F.col(f"tf{k}") * (settings.k1 + 1) / (F.col(f"tf{k}") + norm) for k, t in enumerate(terms)]
     held = reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])
-    return (both if include_zero else both.filter(held)).select("chunk_id", F.round(score, 6).alias("score"))
-
-
-def _count(column: str, term: str) -> Column:
-    return F.size(F.filter(column, lambda x: x == F.lit(term)))
+    return (rows if include_zero else rows.filter(held)).select("chunk_id", F.round(reduce(lambda a, b: a + b, weight), 6).alias("score"))
 
 
 def top(scored: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """The k best rows by score, then chunk_id, with rank from 0. The sort runs
     on the k rows that each partition keeps."""
     rows = scored if least is None else scored.filter(F.col("score") >= least)
-    best = rows.orderBy(F.desc("score"), "chunk_id").limit(k)
-    packed = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c")))).alias("x"))
-    return packed.select(F.posexplode("x").alias("rank", "y")).select(F.col("y.c").alias("chunk_id"), (-F.col("y.s")).alias("score"), F.col("rank").cast("long"))
+    best = rows.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(k)  # k rows
+    return best.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")) - 1).cast("long"))
 
 
 def vector_scores(vectors: DataFrame, question: list[float], where: dict | None = None) -> DataFrame:

@@ -86,6 +86,9 @@ class TableStore:
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self._jvm(f"{s.getPath()}/_SUCCESS")))
 
+    def has(self, name: str) -> bool:
+        return bool(self._versions(name))
+
     def read(self, name: str) -> DataFrame:
         versions = self._versions(name)
         if not versions:
@@ -103,6 +106,13 @@ class TableStore:
             return self.replace(name, rows.dropDuplicates([key]))
         return self.replace(name, upsert(self.read(name), rows, key, keep))
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Rows of a log: files are added, none is rewritten."""
+        rows.write.mode("append").parquet(f"{self.root}/{name}/log")
+
+    def log(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/log")
+
     def delete(self, name: str, ids: DataFrame, key: str) -> int:
         """The number of rows deleted."""
         table = self.read(name)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from vellumgrid.config import Settings
 from vellumgrid.functions import text as T
-from vellumgrid.operators import answer, graph, metrics, store
+from vellumgrid.operators import answer, graph, graph_retrieval, metrics, store
 from vellumgrid.plans import base
-from vellumgrid.plans.base import EDGES, ENTITIES, TERMS
+from vellumgrid.plans.base import EDGES, ENTITIES, SENTENCE_LIST, TERMS
 from vellumgrid.plans.retrieval import BM25_TOP, QUESTION, bm25_top
 from vellumgrid.streaming.ingest import job_status
 
@@ -17,10 +17,12 @@ LIMIT = 1500
 
 
 def context(s: SparkSession, d: str) -> DataFrame:
-    """The context of the ten best chunks and three facts."""
+    """The context of the ten best chunks and the facts around one entity."""
     chunks = bm25_top(s, d).join(base.chunks(s, d), "chunk_id").select("rank", "chunk_id", "doc_id", "section", "breadcrumbs", "text")
-    e = base.edges(s, d).filter("rel_id in ('DEPENDS_ON_0_3', 'DEPENDS_ON_1_10', 'DEPENDS_ON_2_17')")
-    f = graph.facts(e, base.entities(s, d)).select(F.col("rel_id").alias("ord"), "fact")
+    nodes = base.entities(s, d)
+    name = nodes.filter("entity_id = 'part_0'").select("name").head().name
+    e = graph_retrieval.retrieve(nodes, base.edges(s, d), base.chunks(s, d), [name], "integration", 1).edges
+    f = graph.facts(e, nodes).select(F.col("rel_id").alias("ord"), "fact")
     out = answer.assembled(QUESTION, chunks, f, Settings(max_context_tokens=LIMIT))
     return out.select(F.md5("context_text").alias("context_md5"), "token_count", "n_chunks", F.size("citations").cast("long").alias("n_citations"), F.array_join(F.sort_array(F.map_keys("citations")), "|").alias("cited"))
 
@@ -29,7 +31,9 @@ CONTEXT = f"""WITH RECURSIVE {ENTITIES}, {EDGES}, best AS ({BM25_TOP.replace("WI
 c AS (SELECT rank, chunk_id, chunk_id || ':' || source AS cite, '[' || chunk_id || ':' || source || '] (Corpus > ' || source || ')' || chr(10) || text || chr(10) || chr(10) AS piece
   FROM best JOIN documents ON chunk_id = CAST(doc_id AS VARCHAR)),
 f AS (SELECT row_number() OVER (ORDER BY rel_id) AS i, a.canonical_name || ' ' || rel_type || ' ' || b.canonical_name AS fact FROM edg JOIN ent a ON src = a.entity_id JOIN ent b ON dst = b.entity_id
-  WHERE rel_id IN ('DEPENDS_ON_0_3', 'DEPENDS_ON_1_10', 'DEPENDS_ON_2_17')),
+  WHERE rel_id IN (SELECT rel_id FROM (SELECT DISTINCT rel_id, CASE WHEN src IN (SELECT entity_id FROM ent WHERE name = z OR canonical_name = z) THEN src ELSE dst END AS near_, CASE WHEN src IN (SELECT entity_id FROM ent WHERE name = z OR canonical_name = z) THEN dst ELSE src END AS other
+    FROM edg, (SELECT name AS z FROM ent WHERE entity_id = 'part_0') WHERE rel_type IN ('DEPENDS_ON', 'INTEGRATES_WITH') AND (src IN (SELECT entity_id FROM ent WHERE name = z OR canonical_name = z) OR dst IN (SELECT entity_id FROM ent WHERE name = z OR canonical_name = z)))
+    ORDER BY near_, other, rel_id LIMIT 20)),
 h AS (SELECT 'Query: {QUESTION}' || chr(10) || chr(10) || 'Knowledge Graph Facts:' || chr(10) || (SELECT string_agg(i || '. ' || fact || ' [' || (SELECT cite FROM c WHERE rank = 0) || ']' || chr(10), '' ORDER BY i) FROM f)
   || chr(10) || 'Relevant Document Excerpts:' || chr(10) || chr(10) AS head),
 r AS (SELECT c.*, head, (len(head) + sum(len(piece)) OVER (ORDER BY rank)) // 4 AS used FROM c, h),
@@ -40,11 +44,12 @@ SELECT md5(max(h.head) || coalesce(string_agg(piece, '' ORDER BY rank), '')) AS
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
-    """Assistant turns as answers, the user turn before each as context."""
+    """Assistant turns as answers, each row one; the user's texts of the turn before
+    as context, the empty text where there is none."""
     c = base.table(s, d, "conversations")
-    a = c.filter("role = 'assistant'").groupBy("conv_id", "turn").agg(F.min("text").alias("answer"))
-    u = c.filter("role = 'user'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("context"))
-    return a.join(u, ["conv_id", "turn"]).select(F.concat_ws("-", "conv_id", "turn").alias("answer_id"), "answer", "context")
+    a = c.filter("role = 'assistant'").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn", F.md5("text")).alias("answer_id"), F.col("text").alias("answer")).distinct()
+    u = c.filter("role = 'user'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("context"))
+    return a.join(u, ["conv_id", "turn"], "left").select("answer_id", "answer", F.coalesce("context", F.lit("")).alias("context"))
 
 
 def claim_rows(s: SparkSession, d: str) -> DataFrame:
@@ -53,9 +58,9 @@ def claim_rows(s: SparkSession, d: str) -> DataFrame:
     return rows.select("answer_id", F.size("claims").cast("long").alias("n_claims"), F.md5(F.array_join("claims", "|")).alias("claims_md5"))
 
 
-TURNS = """a AS (SELECT conv_id, turn, min(text) AS answer FROM conversations WHERE role = 'assistant' GROUP BY ALL),
-u AS (SELECT conv_id, turn + 1 AS turn, min(text) AS context FROM conversations WHERE role = 'user' GROUP BY ALL),
-t AS (SELECT a.conv_id || '-' || a.turn AS answer_id, answer, context FROM a JOIN u ON a.conv_id = u.conv_id AND a.turn = u.turn),
+TURNS = """a AS (SELECT DISTINCT conv_id, turn, concat_ws('-', conv_id, turn, md5(text)) AS answer_id, text AS answer FROM conversations WHERE role = 'assistant'),
+u AS (SELECT conv_id, turn + 1 AS turn, array_to_string(list_sort(list(text)), chr(10)) AS context FROM conversations WHERE role = 'user' GROUP BY ALL),
+t AS (SELECT answer_id, answer, coalesce(context, '') AS context FROM a LEFT JOIN u ON a.conv_id = u.conv_id AND a.turn = u.turn),
 cl AS (SELECT answer_id, context, list_filter(list_transform(regexp_split_to_array(regexp_replace(answer, '\\[[^\\]]+\\]', '', 'g'), '[.!?]+'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: len(x) > 10) AS claims FROM t)"""
 CLAIMS = f"WITH {TURNS} SELECT answer_id, len(claims) AS n_claims, md5(array_to_string(claims, '|')) AS claims_md5 FROM cl"
 
@@ -92,6 +97,12 @@ def extract_answer(s: SparkSession, d: str) -> DataFrame:
     return t.select("answer_id", F.md5(answer.extractive(F.col("context"), F.col("answer"))).alias("answer_md5"))
 
 
+EXTRACTED_ANSWERS = f"""WITH {TURNS}, se AS (SELECT answer_id, context, answer AS text FROM t), sl AS (SELECT answer_id, list_distinct({TERMS.format("context")}) AS asked, {SENTENCE_LIST} AS st FROM se),
+each AS (SELECT answer_id, asked, unnest(st) AS s, unnest(generate_series(1, len(st))) AS i FROM sl WHERE len(st) > 0),
+r AS (SELECT answer_id, s, row_number() OVER (PARTITION BY answer_id ORDER BY len(list_intersect(asked, list_distinct({TERMS.format("s")}))) DESC, i) AS o FROM each)
+SELECT sl.answer_id, md5(r.s) AS answer_md5 FROM sl LEFT JOIN r ON sl.answer_id = r.answer_id AND o = 1"""
+
+
 def upserts(s: SparkSession, d: str) -> DataFrame:
     """Customers updated from orders: status of the latest, balance kept."""
     c = base.table(s, d, "customer").select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("status"))
@@ -134,34 +145,51 @@ def histograms(s: SparkSession, d: str) -> DataFrame:
     return metrics.histogram(base.table(s, d, "events"), "event_type", "value")
 
 
-HISTOGRAMS = "SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, " + ", ".join(f"CAST(count(*) FILTER (value <= {b}) AS BIGINT) AS le_{str(b).replace('.', '_')}" for b in metrics.BUCKETS) + " FROM events GROUP BY event_type"
+HISTOGRAMS = "SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, " + ", ".join(f"CAST(count(*) FILTER (value <= {b}) AS BIGINT) AS le_{b.replace('.', '_')}" for b in ("0.1", "0.5", "1.0", "2.0", "5.0", "10.0", "30.0", "60.0")) + " FROM events GROUP BY event_type"
+
+
+#: Bounds of the queries' histogram; an error of the percentile is under 5.
+BOUNDS = [5.0 * k for k in range(1, 41)]
 
 
 def windows(s: SparkSession, d: str) -> DataFrame:
-    """Requests, errors and the 95th percentile in five-minute windows."""
-    return metrics.windows(base.table(s, d, "events"), "5 minutes", 300).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    """Requests, errors and the histogram's 95th percentile in five-minute windows."""
+    return metrics.windows(base.table(s, d, "events"), "5 minutes", 300, BOUNDS).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-PER_WINDOW = """w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS st, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, quantile_cont(value, 0.95) AS p FROM events GROUP BY 1)"""
+PER_WINDOW = """g AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS st, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, list(value) FILTER (value IS NOT NULL) AS vs FROM events GROUP BY 1),
+h AS (SELECT *, coalesce(len(vs), 0) AS nv, list_transform(generate_series(1, 40), lambda k: len(list_filter(vs, lambda v: v <= 5.0 * k))) AS cs FROM g),
+i AS (SELECT *, len(list_filter(cs, lambda c: c < 0.95 * nv)) AS full_ FROM h),
+w AS (SELECT st, n, errors, CASE WHEN full_ >= 40 THEN 200.0 ELSE 5.0 * full_ + 5.0 * (0.95 * nv - CASE WHEN full_ = 0 THEN 0 ELSE cs[full_] END) / (cs[full_ + 1] - CASE WHEN full_ = 0 THEN 0 ELSE cs[full_] END) END AS p FROM i)"""
 WINDOWS = f"""WITH {PER_WINDOW} SELECT strftime(st, '%Y-%m-%d %H:%M:%S') AS start, n, errors, round(n / 300.0, 6) AS rate, round(errors / 300.0, 6) AS error_rate, round(CAST(errors AS DOUBLE) / n, 6) AS error_ratio, round(p, 6) AS p95 FROM w"""
 
 
 def alerts(s: SparkSession, d: str) -> DataFrame:
-    """A17, alert rules: windows in which a rule holds twice running."""
-    w = metrics.windows(base.table(s, d, "events"), "5 minutes", 300)
+    """A17, alert rules: windows in which a rule holds twice running, over midnight too."""
+    w = metrics.windows(base.table(s, d, "events"), "5 minutes", 300, BOUNDS)
     rules = {"HighErrorShare": ("error_ratio", 0.2), "SlowQueries": ("p95", 90.0), "HighErrorRate": ("error_rate", 0.002)}
-    return metrics.alerts(w, rules, 2).select("alert", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+    return metrics.alerts(w, rules, 2, 5).select("alert", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
 ALERTS = f"""WITH {PER_WINDOW}, m AS (SELECT st, round(errors / 300.0, 6) AS er, round(CAST(errors AS DOUBLE) / n, 6) AS ra, round(p, 6) AS p FROM w),
-l AS (SELECT 'HighErrorShare' AS alert, st, ra > 0.2 AS x FROM m UNION ALL SELECT 'SlowQueries', st, p > 90 FROM m UNION ALL SELECT 'HighErrorRate', st, er > 0.002 FROM m),
-b AS (SELECT *, lag(x) OVER (PARTITION BY alert, CAST(st AS DATE) ORDER BY st) AS y FROM l)
-SELECT alert, strftime(st, '%Y-%m-%d %H:%M:%S') AS start FROM b WHERE x AND y"""
+l AS (SELECT 'HighErrorShare' AS alert, st FROM m WHERE ra > 0.2 UNION ALL SELECT 'SlowQueries', st FROM m WHERE p > 90 UNION ALL SELECT 'HighErrorRate', st FROM m WHERE er > 0.002)
+SELECT a.alert, strftime(a.st, '%Y-%m-%d %H:%M:%S') AS start FROM l a JOIN l b ON a.alert = b.alert AND a.st = b.st + INTERVAL 5 MINUTE"""
+
+
+def advice(s: SparkSession, d: str) -> DataFrame:
+    """Advice on tables often read whole; each user's events as a table's scans."""
+    e = base.table(s, d, "events")
+    usage = e.groupBy(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("table_name")).agg((F.count("*") * 15).alias("seq_scan"), (F.sum("event_id") * 10).alias("seq_tup_read"))
+    return metrics.index_advice(usage)
+
+
+ADVICE = """WITH u AS (SELECT 't' || user_id AS table_name, count(*) * 15 AS seq_scan, CAST(sum(event_id) * 10 AS BIGINT) AS seq_tup_read FROM events GROUP BY user_id)
+SELECT table_name, seq_scan, 'Table ' || table_name || ' has ' || seq_scan || ' sequential scans, averaging ' || (seq_tup_read // seq_scan) || ' rows; partition or sort it by its filtered columns' AS advice FROM u WHERE seq_scan > 100 AND seq_tup_read // seq_scan > 1000"""
 
 
 def silent(s: SparkSession, d: str) -> DataFrame:
     """Ten-minute windows without a request."""
-    w = metrics.windows(base.table(s, d, "events"), "10 minutes", 600)
+    w = metrics.windows(base.table(s, d, "events"), "10 minutes", 600, BOUNDS)
     return metrics.silent(w, 10).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
@@ -188,7 +216,7 @@ BATCH_SIZES = "SELECT source, CAST(CASE WHEN avg(len(text)) / 4 < 100 THEN 64 WH
 
 QUERIES = {
     "context_assembly": (context, CONTEXT), "claims": (claim_rows, CLAIMS), "faithfulness": (faithful, FAITHFUL), "citations": (citations, CITATIONS),
-    "extractive_answer": (extract_answer, None), "store_upsert": (upserts, UPSERTS), "store_delete": (deletes, DELETES), "store_lookup": (lookups, LOOKUPS),
-    "metric_histograms": (histograms, HISTOGRAMS), "metric_windows": (windows, WINDOWS), "metric_alerts": (alerts, ALERTS), "silent_windows": (silent, SILENT),
+    "extractive_answer": (extract_answer, EXTRACTED_ANSWERS), "store_upsert": (upserts, UPSERTS), "store_delete": (deletes, DELETES), "store_lookup": (lookups, LOOKUPS),
+    "metric_histograms": (histograms, HISTOGRAMS), "metric_windows": (windows, WINDOWS), "metric_alerts": (alerts, ALERTS), "index_advice": (advice, ADVICE), "silent_windows": (silent, SILENT),
     "job_status": (jobs, JOBS), "batch_sizes": (batch_sizes, BATCH_SIZES),
 }

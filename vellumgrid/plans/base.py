@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumgrid.operators.durable import shared
+from vellumgrid.operators.retrieval import KeywordIndex
 from vellumgrid.shipping import importable
 
 
@@ -12,6 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written to the shared folder once for an application and
+    data folder and read from there, as an ingested store would hold it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        path = shared(spark, name)
+        build().write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The documents' keyword index, built once like the tables of ``kept``."""
+    key = (spark.sparkContext.applicationId, sf_dir, "keyword-index")
+    index = KeywordIndex(spark, _kept.get(key) or shared(spark, "keyword-index"))
+    if key not in _kept:
+        index.build(chunks(spark, sf_dir))
+        _kept[key] = index.store.root
+    return index
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: one a document, its source as section."""
     d = table(spark, sf_dir, "documents")
@@ -36,6 +64,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "edges", lambda: _edges(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies and integrations by arithmetic on keys, process steps as a
     binary tree, and rules on parts of the same brand and size."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
@@ -81,6 +113,26 @@ TERMS = r"""list_filter(list_transform(regexp_split_to_array({}, '\s+'), lambda
   THEN regexp_replace(t, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g')
   ELSE regexp_replace(lower(t), '[^\p{{L}}\p{{N}}_]', '', 'g') END), lambda t: t <> '')"""
 
+#: Sentences of the column ``text``, trimmed.
+SENTENCE_LIST = r"""list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"""
+
+#: Mentions in a text: quoted strings, acronyms, runs of capitalised words, each once. Words
+#: that aren't capitalised, and signs, become a mark that ends a run.
+_WORDS = r"""regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|\s+|[^\p{{L}}\p{{N}}_\s]+')"""
+_EVERY = rf"""list_concat(list_concat(regexp_extract_all({{0}}, '"([^"]+)"', 1), list_filter({_WORDS}, lambda w: regexp_full_match(w, '[A-Z]{{{{2,6}}}}'))),
+  list_filter(regexp_extract_all(array_to_string(list_transform({_WORDS}, lambda w: CASE WHEN regexp_full_match(w, '[A-Z][a-z]+') OR regexp_full_match(w, '\s+') THEN w ELSE chr(1) END), ''), '[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*'),
+    lambda r: r NOT IN ('What', 'How', 'Why', 'When', 'Where', 'Which', 'Who', 'Does', 'Is', 'Are')))"""
+EVERY_MENTION = _EVERY
+#: Those of the list ``ev``, whose lower case is ``lo``.
+MENTIONED = "list_filter(ev, lambda m, i: list_position(lo, lower(m)) = i)"
+
+#: CTE ``c``: the rows ``raw`` with the canonical form of their name.
+CANONICAL = r"""a1 AS (SELECT *, regexp_replace(trim(name), '\s+', ' ', 'g') AS one FROM raw),
+b1 AS (SELECT *, string_split(one, ' ')[1] AS head, regexp_replace(one, ' (System|Module|Service|Application|Process|Workflow|Rule|Field)$', '') AS base FROM a1),
+c AS (SELECT *, CASE WHEN len(one) <= 6 AND one = upper(one) AND regexp_matches(one, '\p{L}') THEN one
+  WHEN len(head) <= 6 AND head = upper(head) AND regexp_matches(head, '\p{L}') THEN head
+  WHEN contains(base, ' ') THEN array_to_string(list_transform(string_split(base, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') ELSE base END AS canonical_name FROM b1)"""
+
 CHUNKS = "chk AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text, 'Corpus > ' || source AS breadcrumbs, source AS section FROM documents)"
 
 

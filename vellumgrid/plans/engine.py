@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumgrid.config import EngineError, RetrievalError, Settings
 from vellumgrid.functions import text as T
 from vellumgrid.functions import vectors as V
-from vellumgrid.operators import answer, chunking, entities, graph, retrieval
+from vellumgrid.operators import answer, chunking, entities, graph, graph_retrieval, retrieval
 from vellumgrid.operators.store import TableStore
 from vellumgrid.shipping import importable
 from vellumgrid.streaming.ingest import STATES
@@ -23,9 +26,11 @@ def hashed_embedding(text: Column) -> Column:
 class Engine:
     """Tables under ``root`` and the models in use; the defaults run offline."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), embed=hashed_embedding, relevance=retrieval.lexical_relevance, generate=answer.extractive, support=answer.overlap_support):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), embed=hashed_embedding, relevance=retrieval.lexical_relevance, generate=answer.extractive, support=answer.overlap_support, extract=entities.extract):
         self.spark, self.store, self.settings = importable(spark), TableStore(spark, root), settings
-        self.embed, self.relevance, self.generate, self.support = embed, relevance, generate, support
+        self.embed, self.relevance, self.generate, self.support, self.extract = embed, relevance, generate, support, extract
+        self.index = retrieval.KeywordIndex(spark, f"{root.rstrip('/')}/keywords")
+        self.degraded: list[str] = []
 
     def _has(self, name: str) -> bool:
         return bool(self.store._versions(name))
@@ -42,8 +47,10 @@ class Engine:
             fresh = chunks.join(sections.select("doc_id").distinct(), "doc_id", "left_semi")
             state = "embedding"
             self.store.upsert("embeddings", fresh.select("chunk_id", self.embed(F.col("text")).alias("embedding")), "chunk_id")
+            state = "indexing"
+            self.index.build(chunks)
             state = "extracting"
-            self.store.upsert("entities", entities.extract(fresh.select("chunk_id", "text")).dropDuplicates(["entity_id"]), "entity_id")
+            self.store.upsert("entities", self.extract(fresh.select("chunk_id", "text")).dropDuplicates(["entity_id"]), "entity_id")
             state = "populating"
             known = self.store.read("entities")
             new = graph.mentions_edges(known, chunks)
@@ -58,16 +65,36 @@ class Engine:
         row = [(job_id, state, counts.get("parent", 0), counts.get("child", 0), error)]
         return self.store.upsert("ingestion_jobs", self.spark.createDataFrame(row, "job_id string, status string, parents long, children long, error string"), "job_id").filter(F.col("job_id") == job_id)
 
-    def _graph_side(self, names: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Chunks and facts around the entities that a question names."""
-        nodes, links = self.store.read("entities"), self.store.read("edges").filter("rel_type <> 'MENTIONS'")
-        seeds = graph.named(nodes, names).select(F.col("entity_id").alias("id"))
-        paths = graph.neighbourhood(links, seeds, min(2, self.settings.max_depth))
-        held, rels, chunks = graph.path_parts(paths, nodes, links)
-        own = nodes.join(seeds.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").select(F.col("source_chunk_id").alias("chunk_id"))
-        return chunks.unionByName(own).distinct(), graph.facts(rels, nodes).select(F.col("rel_id").alias("ord"), "fact")
+    def _graph_side(self, names: list[str], pattern: str) -> tuple[DataFrame, DataFrame]:
+        """Chunks and facts that the question's pattern retrieves."""
+        nodes = self.store.read("entities")
+        found = graph_retrieval.retrieve(nodes, self.store.read("edges"), self.store.read("chunks"), names, pattern, min(3, self.settings.max_depth))
+        return found.chunks.distinct(), graph.facts(found.edges, nodes).select(F.col("rel_id").alias("ord"), "fact")
+
+    def _keywords(self, question: str) -> DataFrame:
+        """Scores from the keyword index; none where it is missing or broken, so that
+        the answer rests on vectors alone."""
+        try:
+            scored = self.index.scores(question, self.settings)
+            return retrieval.top(scored, self.settings.bm25_top_k)
+        except Exception as e:
+            self.degraded.append(f"keyword search left out: {str(e)[:200]}")
+            return self.spark.createDataFrame([], "chunk_id string, score double, rank long")
 
     def query(self, question: str, mode: str | None = None) -> DataFrame:
+        """The answer's row; the request goes to the log ``requests``, failures too."""
+        begun, error = time.time(), None
+        self.degraded.clear()
+        try:
+            return self._answer(question, mode)
+        except Exception as e:
+            error = f"{type(e).__name__}: {str(e)[:300]}"
+            raise
+        finally:
+            row = [(uuid.uuid4().hex, question, mode, round(time.time() - begun, 3), "; ".join(self.degraded) or None, error)]
+            self.store.append("requests", self.spark.createDataFrame(row, "request_id string, question string, mode string, seconds double, degraded string, error string"))
+
+    def _answer(self, question: str, mode: str | None) -> DataFrame:
         """One row: answer, mode, pattern, context and its citations, those that
         the answer uses, and the faithfulness report."""
         question = question.strip()
@@ -83,10 +110,10 @@ class Engine:
         side, found, facts = nothing, self.spark.createDataFrame([], "chunk_id string"), self.spark.createDataFrame([], "ord string, fact string")
         if mode != "GRAPH":
             near = retrieval.top(retrieval.vector_scores(self.store.read("embeddings"), list(route.v)), s.vector_top_k, s.similarity_threshold)
-            words = retrieval.top(retrieval.bm25_scores(chunks, question, s), s.bm25_top_k)
+            words = self._keywords(question)
             side = retrieval.reciprocal_ranks(near, words, s.rrf_k).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(s.top_k)
         if mode != "VECTOR":
-            found, facts = self._graph_side(list(route.names))
+            found, facts = self._graph_side(list(route.names), route.pattern)
         fused = retrieval.fused(mode, side, found, s).orderBy(F.desc("combined_score"), "chunk_id").limit(s.top_k)
         best = retrieval.reranked(chunks.join(fused, "chunk_id"), question, s.rerank_top_k, self.relevance)
         ranked = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id", "doc_id", "section", "breadcrumbs", "text"))).alias("x"))

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.operators import conflicts, entities, graph
+from vellumgrid.functions import text as T
+from vellumgrid.operators import conflicts, entities, graph, graph_retrieval
 from vellumgrid.plans import base
-from vellumgrid.plans.base import EDGES, ENTITIES, trail_sql
+from vellumgrid.plans.base import CANONICAL, EDGES, ENTITIES, EVERY_MENTION, MENTIONED, SENTENCE_LIST, trail_sql
 
 GRAPH = f"WITH RECURSIVE {ENTITIES}, {EDGES}"
+ANY = "'DEPENDS_ON', 'INTEGRATES_WITH', 'NEXT_STEP', 'APPLIES_TO', 'SAME_AS'"
+BOTH_WAYS = "both_ways AS (SELECT rel_id, rel_type, src, dst FROM edg UNION ALL SELECT rel_id, rel_type, dst, src FROM edg WHERE src <> dst)"
+TURNED = "turned AS (SELECT rel_id, rel_type, dst AS src, src AS dst FROM edg)"
 
 
 def _seeds(s: SparkSession, d: str, kind: str | None = None) -> DataFrame:
@@ -94,13 +98,13 @@ SELECT len(rels) AS len, array_to_string(nodes, '>') AS path FROM f WHERE tip =
 
 
 def neighbours(s: SparkSession, d: str) -> DataFrame:
-    """Neighbours of every entity over any edge but rules'."""
-    e = base.edges(s, d).filter("rel_type <> 'APPLIES_TO'")
+    """Neighbours of every entity over edges of any type."""
+    e = base.edges(s, d)
     return graph.neighbourhood(e, _seeds(s, d), 2).filter("start <> end").groupBy("start").agg(F.countDistinct("end").alias("n_near"), F.count("*").alias("n_paths"))
 
 
 NEIGHBOURS = f"""{GRAPH}, seeds AS (SELECT entity_id AS id FROM ent), both_ways AS (SELECT rel_id, rel_type, src, dst FROM edg UNION ALL SELECT rel_id, rel_type, dst, src FROM edg WHERE src <> dst),
-{trail_sql(2, "f", "both_ways", "seeds", "'DEPENDS_ON', 'INTEGRATES_WITH', 'NEXT_STEP'")}
+{trail_sql(2, "f", "both_ways", "seeds", ANY)}
 SELECT start, count(DISTINCT tip) AS n_near, count(*) AS n_paths FROM f WHERE len(rels) > 0 AND start <> tip GROUP BY start"""
 
 
@@ -158,9 +162,26 @@ TYPE_COUNTS = f"{GRAPH} SELECT entity_type, count(*) AS n, count(*) FILTER (star
 
 
 def extracted(s: SparkSession, d: str) -> DataFrame:
-    """Names extracted from every document's whole text, by canonical name."""
+    """Typed names extracted from every document's whole text, with
+    the sentence of each, by canonical name."""
     e = entities.extract(base.chunks(s, d).select("chunk_id", "text"))
-    return e.groupBy("canonical_name").agg(F.countDistinct("source_chunk_id").alias("n_chunks"), F.countDistinct("name").alias("n_names"))
+    return e.groupBy("canonical_name", "entity_type").agg(
+        F.countDistinct("source_chunk_id").alias("n_chunks"), F.countDistinct("name").alias("n_names"), F.sum(F.length("context")).alias("context_chars"), F.countDistinct("entity_id").alias("n_ids")
+    )
+
+
+EXTRACTED = rf"""WITH m1 AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text, {EVERY_MENTION.format("text")} AS ev FROM documents WHERE text IS NOT NULL),
+m2 AS (SELECT *, list_transform(ev, lambda x: lower(x)) AS lo FROM m1), m AS (SELECT chunk_id, text, {MENTIONED} AS ms FROM m2),
+sp AS (SELECT chunk_id, text, unnest(ms) AS name, 'System' AS label FROM m
+  UNION ALL SELECT chunk_id, text, unnest(list_distinct(regexp_extract_all(text, '{entities.LABELLED["MONEY"]}'))), 'Field' FROM m
+  UNION ALL SELECT chunk_id, text, unnest(list_distinct(regexp_extract_all(text, '{entities.LABELLED["DATE"]}'))), 'Field' FROM m),
+raw AS (SELECT * FROM sp WHERE trim(name) <> ''),
+{CANONICAL},
+t AS (SELECT c.*, CASE WHEN string_split(trim(name), ' ')[-1] IN ('Workflow', 'Process') THEN 'Workflow' WHEN string_split(trim(name), ' ')[-1] = 'Rule' THEN 'Rule'
+  WHEN string_split(trim(name), ' ')[-1] = 'Field' THEN 'Field' ELSE label END AS entity_type,
+  coalesce(list_filter({SENTENCE_LIST}, lambda x: contains(x, name))[1], left(text, 200)) AS context FROM c)
+SELECT canonical_name, entity_type, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT name) AS n_names, CAST(sum(len(context)) AS BIGINT) AS context_chars,
+  count(DISTINCT 'ent_' || left(sha256(lower(canonical_name)), 8) || '_' || chunk_id) AS n_ids FROM t GROUP BY canonical_name, entity_type"""
 
 
 def deduplicated(s: SparkSession, d: str) -> DataFrame:
@@ -181,41 +202,44 @@ def similar(s: SparkSession, d: str) -> DataFrame:
     return entities.similar_pairs(_named(s, d), 0.6).select(F.col("ca").alias("a"), F.col("cb").alias("b"), "similarity")
 
 
-SIMILAR = """WITH n AS (SELECT DISTINCT p_name AS x, lower(p_name) AS l FROM part),
-p AS (SELECT a.x AS a, b.x AS b, a.l AS la, b.l AS lb FROM n a JOIN n b ON a.x < b.x),
-s AS (SELECT a, b, la, lb, 1 - levenshtein(la, lb) / CAST(greatest(len(la), len(lb)) AS DOUBLE) AS sim, contains(la, lb) OR contains(lb, la) AS held FROM p
-  WHERE len(list_intersect(string_split(la, ' '), string_split(lb, ' '))) > 0)
-SELECT a, b, round(least(1.0, 0.7 * sim + 0.3 * sim + CASE WHEN held THEN 0.3 ELSE 0 END), 6) AS similarity FROM s
-WHERE round(least(1.0, 0.7 * sim + 0.3 * sim + CASE WHEN held THEN 0.3 ELSE 0 END), 6) >= 0.6"""
+#: Similarity of every pair of names, as the reference formula says it.
+INITIALS = "array_to_string(list_transform(regexp_split_to_array(trim({0}), '\\s+'), lambda w: left(w, 1)), '')"
+PAIRS = rf"""n AS (SELECT DISTINCT p_name AS x, lower(p_name) AS l FROM part),
+p AS (SELECT a.x AS a, b.x AS b, round(least(1.0, greatest(0.0, 1 - levenshtein(a.l, b.l) / CAST(greatest(len(a.l), len(b.l)) AS DOUBLE))
+  + CASE WHEN contains(a.l, b.l) OR contains(b.l, a.l) THEN 0.3 ELSE 0 END
+  + CASE WHEN (len(a.l) >= 3 AND starts_with({INITIALS.format("b.l")}, a.l)) OR (len(b.l) >= 3 AND starts_with({INITIALS.format("a.l")}, b.l)) THEN 0.5 ELSE 0 END), 6) AS similarity
+  FROM n a JOIN n b ON a.x <> b.x)"""
+SIMILAR = f"WITH {PAIRS} SELECT a, b, similarity FROM p WHERE a < b AND similarity >= 0.6"
 
 
-def resolved(s: SparkSession, d: str) -> DataFrame:
-    """Clusters of names at similarity 0.75, their canonical form and members."""
+def _resolved(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = _named(s, d)
     pairs = entities.similar_pairs(n, 0.75).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     clusters = entities.connected(pairs, n.select(F.col("canonical_name").alias("id")))
-    rows = n.select(F.col("canonical_name").alias("entity_id"), "entity_type", "name", "canonical_name", F.lit("").alias("context"), F.create_map(F.lit("a"), F.lit("b")).alias("properties"), F.col("canonical_name").alias("source_chunk_id"), F.ascii("canonical_name").alias("pos"))
-    found = entities.canonical(rows.withColumn("pos", F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long")), clusters)
-    return found.select("cluster", "name", "mention_count", F.size("aliases").cast("long").alias("n_aliases"))
+    rows = n.select(
+        F.col("canonical_name").alias("entity_id"), "entity_type", "name", "canonical_name", F.lit("").alias("context"), F.create_map(F.lit("a"), F.lit("b")).alias("properties"),
+        F.col("canonical_name").alias("source_chunk_id"), F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long").alias("pos"),
+    )
+    return rows, clusters, entities.canonical(rows, clusters)
 
 
-RESOLVED = """WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x, lower(p_name) AS l FROM part),
-p AS (SELECT a.x AS a, b.x AS b, 1 - levenshtein(a.l, b.l) / CAST(greatest(len(a.l), len(b.l)) AS DOUBLE) + CASE WHEN contains(a.l, b.l) OR contains(b.l, a.l) THEN 0.3 ELSE 0 END AS sim
-  FROM n a JOIN n b ON a.x <> b.x WHERE len(list_intersect(string_split(a.l, ' '), string_split(b.l, ' '))) > 0),
-r AS (SELECT x AS id, x AS tip FROM n UNION SELECT r.id, p.b FROM r JOIN p ON r.tip = p.a AND round(least(1.0, p.sim), 6) >= 0.75),
+def resolved(s: SparkSession, d: str) -> DataFrame:
+    """Clusters of names at similarity 0.75, their canonical form and members."""
+    return _resolved(s, d)[2].select("cluster", "name", "mention_count", F.size("aliases").cast("long").alias("n_aliases"))
+
+
+CHOSEN = f"""{PAIRS}, r AS (SELECT x AS id, x AS tip FROM n UNION SELECT r.id, p.b FROM r JOIN p ON r.tip = p.a AND similarity >= 0.75),
 c AS (SELECT id, min(tip) AS cluster FROM r GROUP BY id),
-k AS (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY len(id) DESC, CAST('0x' || left(md5(id), 8) AS BIGINT)) AS o, count(*) OVER (PARTITION BY cluster) AS mention_count FROM c)
-SELECT cluster, id AS name, mention_count, mention_count - 1 AS n_aliases FROM k WHERE o = 1"""
+k AS (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY len(id) DESC, CAST('0x' || left(md5(id), 8) AS BIGINT)) AS o, count(*) OVER (PARTITION BY cluster) AS mention_count FROM c)"""
+RESOLVED = f"WITH RECURSIVE {CHOSEN} SELECT cluster, id AS name, mention_count, mention_count - 1 AS n_aliases FROM k WHERE o = 1"
 
 
 def same_as(s: SparkSession, d: str) -> DataFrame:
-    """Exact copies of texts as one entity: edges to the smallest id."""
-    docs = base.table(s, d, "documents").select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("k"))
-    groups = docs.groupBy("k").agg(F.min("doc_id").alias("dst"))
-    return docs.join(groups, "k").filter("doc_id <> dst").select(F.concat_ws("_", F.lit("same_as"), "doc_id", "dst").alias("rel_id"), F.col("doc_id").alias("src"), "dst")
+    """Edges from every member of a cluster to its canonical entity."""
+    return entities.same_as(*_resolved(s, d)).select("rel_id", "rel_type", "src", "dst")
 
 
-SAME_AS = "WITH g AS (SELECT doc_id AS src, min(doc_id) OVER (PARTITION BY text) AS dst FROM documents) SELECT 'same_as_' || src || '_' || dst AS rel_id, src, dst FROM g WHERE src <> dst"
+SAME_AS = f"WITH RECURSIVE {CHOSEN} SELECT 'same_as_' || a.id || '_' || b.id AS rel_id, 'SAME_AS' AS rel_type, a.id AS src, b.id AS dst FROM k a JOIN k b ON a.cluster = b.cluster AND b.o = 1 AND a.o > 1"
 
 
 def conflict_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -309,13 +333,184 @@ REL_TYPES = f"""{GRAPH}, dt AS (SELECT doc_id, list_sort(list(DISTINCT rel_type)
 SELECT a.doc_id, b.doc_id AS other_doc, array_to_string(list_filter(a.t, lambda x: NOT list_contains(b.t, x)), ',') AS only_here FROM dt a JOIN dt b ON a.doc_id <> b.doc_id
 WHERE len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) > 0"""
 
+
+def _name(s: SparkSession, d: str, where: str, column: str = "canonical_name") -> str:
+    """A name out of the data: that of the first entity by id that meets a condition."""
+    return base.entities(s, d).filter(where).orderBy("entity_id").select(column).head()[0]
+
+
+def _edges_with_copies(s: SparkSession, d: str) -> DataFrame:
+    """The edges, and SAME_AS edges between entities of one canonical name."""
+    e = base.entities(s, d).select("canonical_name", "pos")
+    first = e.groupBy("canonical_name").agg(F.min("pos").alias("top"))
+    same = e.join(first, "canonical_name").filter("pos <> top")
+    part = lambda c: F.concat(F.lit("part_"), F.col(c).cast("string"))
+    made = same.select(F.concat(F.lit("SAME_AS_"), F.col("pos").cast("string"), F.lit("_"), F.col("top").cast("string")).alias("rel_id"), F.lit("SAME_AS").alias("rel_type"), part("pos").alias("src"), part("top").alias("dst"))
+    return base.edges(s, d).unionByName(made)
+
+
+COPIES = f"""{EDGES.replace("edg AS (", "plain_edges AS (")},
+edg AS (SELECT * FROM plain_edges UNION ALL SELECT 'SAME_AS_' || pos || '_' || top, 'SAME_AS', 'part_' || pos, 'part_' || top FROM (SELECT pos, min(pos) OVER (PARTITION BY canonical_name) AS top FROM ent) WHERE pos <> top)"""
+
+
+def _seeds_sql(name: str, where: str, column: str = "canonical_name", cte: str = "seeds") -> str:
+    """CTE ``seeds``: entities that bear the name of the first entity that meets a condition."""
+    return f"""{cte}_name AS (SELECT {column} AS nm FROM ent WHERE {where} ORDER BY entity_id LIMIT 1), {cte} AS (SELECT DISTINCT entity_id AS id FROM ent, {cte}_name WHERE name = nm OR canonical_name = nm)"""
+
+
+#: Nodes, edges and chunks of the paths ``p`` and, with ``seeds``, of these.
+PARTS = """held AS (SELECT DISTINCT unnest(nodes) AS id FROM p{0}), rl AS (SELECT DISTINCT unnest(rels) AS id FROM p)
+SELECT {1}'node' AS part, id FROM held UNION ALL SELECT {1}'edge', id FROM rl UNION ALL SELECT {1}'chunk', id FROM (SELECT DISTINCT source_chunk_id AS id FROM ent SEMI JOIN held ON entity_id = held.id)"""
+WITH_SEEDS = " UNION SELECT id FROM seeds"
+
+
+def integration_single(s: SparkSession, d: str) -> DataFrame:
+    """What one entity integrates with or depends on."""
+    names = [_name(s, d, "entity_id = 'part_3'")]
+    return graph_retrieval.retrieve(base.entities(s, d), base.edges(s, d), base.chunks(s, d), names, "integration", 2).parts()
+
+
+INTEGRATION_SINGLE = f"""{GRAPH}, {_seeds_sql("n", "entity_id = 'part_3'")}, {BOTH_WAYS}, {trail_sql(2, "f", "both_ways", "seeds", "'DEPENDS_ON', 'INTEGRATES_WITH'")},
+p AS (SELECT nodes, rels FROM f WHERE len(rels) > 0 ORDER BY len(rels), nodes, rels LIMIT 20), {PARTS.format("", "")}"""
+
+
+def integration_pair(s: SparkSession, d: str) -> DataFrame:
+    """Paths between two named entities."""
+    names = [_name(s, d, f"entity_id = '{x}'", "name") for x in ("part_0", "part_10")]
+    return graph_retrieval.retrieve(base.entities(s, d), base.edges(s, d), base.chunks(s, d), names, "integration", 4).parts()
+
+
+INTEGRATION_PAIR = f"""{GRAPH}, {_seeds_sql("n", "entity_id = 'part_0'", "name")}, {_seeds_sql("n", "entity_id = 'part_10'", "name", "others")}, {BOTH_WAYS},
+{trail_sql(4, "f", "both_ways", "seeds", "'DEPENDS_ON', 'INTEGRATES_WITH'")},
+p AS (SELECT nodes, rels FROM f SEMI JOIN others ON f.tip = others.id WHERE len(rels) > 0 ORDER BY len(rels), nodes, rels LIMIT 10), {PARTS.format("", "")}"""
+
+
+def workflow_lookup(s: SparkSession, d: str) -> DataFrame:
+    """Steps of the workflows whose name holds a word."""
+    return graph_retrieval.retrieve(base.entities(s, d), base.edges(s, d), base.chunks(s, d), ["ring"], "workflow", 3).parts()
+
+
+WORKFLOW_LOOKUP = f"""{GRAPH}, seeds AS (SELECT entity_id AS id FROM ent WHERE (entity_type = 'Workflow' OR contains(name, 'Flow') OR contains(name, 'Process')) AND (name = 'ring' OR canonical_name = 'ring' OR contains(name, 'ring'))),
+{trail_sql(3, "p", "edg", "seeds", "'NEXT_STEP'")}, {PARTS.format("", "")}"""
+
+
+def rule_lookup(s: SparkSession, d: str) -> DataFrame:
+    """What a named rule applies to, and which rules apply to a named entity."""
+    names = [_name(s, d, "entity_type = 'Rule'", "name"), _name(s, d, "entity_type = 'System'")]
+    return graph_retrieval.retrieve(base.entities(s, d), base.edges(s, d), base.chunks(s, d), names, "rule", 2).get("applies")
+
+
+RULE_NAMES = f"""{_seeds_sql("n", "entity_type = 'Rule'", "name", "one")}, {_seeds_sql("n", "entity_type = 'System'", "canonical_name", "two")},
+ids AS (SELECT id FROM one UNION SELECT id FROM two), rl AS (SELECT entity_id AS id FROM ent WHERE entity_type = 'Rule'),
+seeds AS (SELECT id FROM ids SEMI JOIN rl USING (id)), targets AS (SELECT id FROM ids ANTI JOIN rl USING (id))"""
+RULE_LOOKUP = f"""{GRAPH}, {RULE_NAMES}, {TURNED}, {trail_sql(2, "f", "edg", "seeds", "'APPLIES_TO'")}, {trail_sql(2, "b", "turned", "targets", "'APPLIES_TO'")}
+SELECT start AS rule_id, tip AS entity_id FROM f WHERE len(rels) > 0 UNION SELECT tip, start FROM b SEMI JOIN rl ON b.tip = rl.id WHERE len(rels) > 0"""
+
+
+def rules_all(s: SparkSession, d: str) -> DataFrame:
+    """G9 without names: the first rules and what they apply to."""
+    return graph_retrieval.retrieve(base.entities(s, d), base.edges(s, d), base.chunks(s, d), [], "rule", 2).get("applies")
+
+
+RULES_ALL = f"""{GRAPH}, seeds AS (SELECT entity_id AS id FROM ent WHERE entity_type = 'Rule' ORDER BY 1 LIMIT 50), {trail_sql(2, "f", "edg", "seeds", "'APPLIES_TO'")}
+SELECT DISTINCT start AS rule_id, tip AS entity_id FROM f WHERE len(rels) > 0"""
+
+
+def conflict_lookup(s: SparkSession, d: str) -> DataFrame:
+    """Conflicts of a named entity, with kind and severity."""
+    e = base.entities(s, d)
+    found = conflicts.edges(conflicts.property_conflicts(e))
+    names = [found.join(e.select(F.col("entity_id").alias("src"), "canonical_name"), "src").agg(F.min("canonical_name").alias("x")).head().x or ""]
+    return graph_retrieval.retrieve(e, found, base.chunks(s, d), names, "conflict").get("conflicts").select("src", "dst", "conflict_type", "severity", "severity_score", "reason")
+
+
+CONFLICT_LOOKUP = f"SELECT l.* FROM ({CONFLICT_LIST}) l SEMI JOIN ({GRAPH}, cn AS (SELECT entity_id, canonical_name FROM ent), l2 AS ({CONFLICT_LIST}) SELECT entity_id FROM cn WHERE canonical_name = (SELECT min(canonical_name) FROM cn JOIN l2 ON entity_id = l2.src OR entity_id = l2.dst)) x ON l.src = x.entity_id OR l.dst = x.entity_id"
+
+
+def _twin(s: SparkSession, d: str, column: str) -> str:
+    """The name, or canonical name, of an entity whose canonical name several chunks
+    mention: of the first such name the last bearer."""
+    e = base.entities(s, d)
+    many = e.groupBy("canonical_name").agg(F.countDistinct("source_chunk_id").alias("n"), F.max_by("name", "pos").alias("name")).filter("n > 1")
+    return many.orderBy("canonical_name").select(column).head()[0]
+
+
+TWIN = "many AS (SELECT canonical_name, max_by(name, pos) AS name FROM ent GROUP BY canonical_name HAVING count(DISTINCT source_chunk_id) > 1), twin AS (SELECT * FROM many ORDER BY canonical_name LIMIT 1)"
+
+
+def comparison_single(s: SparkSession, d: str) -> DataFrame:
+    """One entity, with all that is the same as it, by document."""
+    return graph_retrieval.retrieve(base.entities(s, d), _edges_with_copies(s, d), base.chunks(s, d), [_twin(s, d, "name")], "comparison", 1).get("groups")
+
+
+COMPARISON_SINGLE = f"""WITH RECURSIVE {ENTITIES}, {COPIES}, {TWIN}, seeds AS (SELECT DISTINCT entity_id AS id FROM ent, twin WHERE ent.name = twin.name OR ent.canonical_name = twin.name), {BOTH_WAYS}, {trail_sql(2, "f", "both_ways", "seeds", "'SAME_AS'")}
+SELECT DISTINCT source_chunk_id AS doc_id, entity_id, source_chunk_id AS chunk_id FROM ent SEMI JOIN f ON ent.entity_id = f.tip SEMI JOIN documents ON source_chunk_id = CAST(documents.doc_id AS VARCHAR)"""
+
+
+def comparison_differences(s: SparkSession, d: str) -> DataFrame:
+    """Properties in which the bearers of one canonical name differ between documents."""
+    names = [_twin(s, d, "canonical_name")]
+    found = graph_retrieval.retrieve(base.entities(s, d).withColumn("name", F.col("canonical_name")), _edges_with_copies(s, d), base.chunks(s, d), names, "comparison", 1)
+    return found.get("differences").select("entity_id_a", "entity_id_b", "key", "value_a", "value_b")
+
+
+COMPARISON_DIFFERENCES = f"""WITH {ENTITIES}, {TWIN}, own AS (SELECT * FROM ent WHERE canonical_name = (SELECT canonical_name FROM twin)),
+pr AS (SELECT entity_id, source_chunk_id AS doc, 'size' AS key, size AS value FROM own UNION ALL SELECT entity_id, source_chunk_id, 'kind', kind FROM own)
+SELECT a.entity_id AS entity_id_a, b.entity_id AS entity_id_b, a.key, a.value AS value_a, b.value AS value_b FROM pr a JOIN pr b ON a.key = b.key AND a.doc < b.doc AND a.value <> b.value"""
+
+
+def comparison_pair(s: SparkSession, d: str) -> DataFrame:
+    """Two entities, all paths around them and their chunks."""
+    names = [_name(s, d, f"entity_id = '{x}'", "name") for x in ("part_1", "part_2")]
+    return graph_retrieval.retrieve(base.entities(s, d), _edges_with_copies(s, d), base.chunks(s, d), names, "comparison", 2).parts()
+
+
+COMPARISON_PAIR = f"""WITH RECURSIVE {ENTITIES}, {COPIES}, {_seeds_sql("n", "entity_id = 'part_1'", "name", "one")}, {_seeds_sql("n", "entity_id = 'part_2'", "name", "two")},
+seeds AS (SELECT id FROM one UNION SELECT id FROM two), {BOTH_WAYS}, {trail_sql(2, "p", "both_ways", "seeds", ANY)},
+held AS (SELECT DISTINCT unnest(nodes) AS id FROM p), rl AS (SELECT DISTINCT unnest(rels) AS id FROM p)
+SELECT 'node' AS part, id FROM held UNION ALL SELECT 'edge', id FROM rl UNION ALL SELECT 'chunk', id FROM (SELECT DISTINCT source_chunk_id AS id FROM ent SEMI JOIN seeds ON entity_id = seeds.id SEMI JOIN documents ON source_chunk_id = CAST(documents.doc_id AS VARCHAR))"""
+
+
+def general_lookup(s: SparkSession, d: str) -> DataFrame:
+    """The surroundings of a named entity over edges of any type."""
+    names = [_name(s, d, "entity_id = 'part_5'")]
+    return graph_retrieval.retrieve(base.entities(s, d), base.edges(s, d), base.chunks(s, d), names, "general", 2).parts()
+
+
+GENERAL_LOOKUP = f"""{GRAPH}, {_seeds_sql("n", "entity_id = 'part_5'")}, {BOTH_WAYS}, {trail_sql(2, "f", "both_ways", "seeds", ANY)},
+p AS (SELECT nodes, rels FROM f WHERE len(rels) > 0 ORDER BY len(rels), nodes, rels LIMIT 50), {PARTS.format(WITH_SEEDS, "")}"""
+
+#: A question for each executor; the name stands in quotes.
+ASKED = {
+    "integration": ('Which parts connect to "{}"?', "entity_id = 'part_3'"), "general": ('What is "{}"?', "entity_id = 'part_5'"), "workflow": ('Show the steps of "{}"', None),
+}
+
+
+def dispatched(s: SparkSession, d: str) -> DataFrame:
+    """G1: several questions, each routed by its own words to its executor."""
+    out = None
+    for kind, (question, where) in ASKED.items():
+        q = F.lit(question.format(_name(s, d, where) if where else "ring"))
+        route = s.range(1).select(T.query_pattern(q).alias("pattern"), F.slice(T.mentions(q), 1, 1).alias("names")).head()
+        found = graph_retrieval.retrieve(base.entities(s, d), base.edges(s, d), base.chunks(s, d), list(route.names), route.pattern, 3 if kind == "workflow" else 2).parts()
+        found = found.select(F.lit(route.pattern).alias("pattern"), "part", "id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+DISPATCHED = f"SELECT 'integration' AS pattern, part, id FROM ({INTEGRATION_SINGLE}) UNION ALL SELECT 'general', part, id FROM ({GENERAL_LOOKUP}) UNION ALL SELECT 'workflow', part, id FROM ({WORKFLOW_LOOKUP})"
+
 QUERIES = {
     "edge_tables": (edge_tables, EDGE_TABLES), "mention_edges": (mention_edges, MENTION_EDGES), "structure_edges": (structure, STRUCTURE),
     "dependency_paths": (dependency_paths, DEPENDENCY_PATHS), "impact_radius": (impact, IMPACT), "circular_dependencies": (cycles, CYCLES),
     "integration_paths": (integration, INTEGRATION), "neighbours": (neighbours, NEIGHBOURS), "process_chains": (chains, CHAINS), "process_gaps": (gaps, GAPS),
     "graph_facts": (fact_rows, FACTS), "path_assembly": (path_assembly, PATH_ASSEMBLY), "entity_types": (type_counts, TYPE_COUNTS),
-    "entity_extraction": (extracted, None), "entity_dedup": (deduplicated, DEDUPLICATED), "entity_similarity": (similar, SIMILAR),
+    "entity_extraction": (extracted, EXTRACTED), "entity_dedup": (deduplicated, DEDUPLICATED), "entity_similarity": (similar, SIMILAR),
     "entity_resolution": (resolved, RESOLVED), "same_as": (same_as, SAME_AS), "property_conflicts": (conflict_pairs, CONFLICT_PAIRS),
     "conflict_list": (conflict_list, CONFLICT_LIST), "rule_ranking": (rules, RULES), "rule_overlaps": (overlaps, OVERLAPS), "common_entities": (common, COMMON),
     "document_groups": (groups, GROUPS), "value_differences": (differences, DIFFERENCES), "type_differences": (rel_types, REL_TYPES),
+    "graph_integration_single": (integration_single, INTEGRATION_SINGLE), "graph_integration_pair": (integration_pair, INTEGRATION_PAIR), "workflow_lookup": (workflow_lookup, WORKFLOW_LOOKUP),
+    "rule_lookup": (rule_lookup, RULE_LOOKUP), "rules_all": (rules_all, RULES_ALL), "conflict_lookup": (conflict_lookup, CONFLICT_LOOKUP), "comparison_single": (comparison_single, COMPARISON_SINGLE),
+    "comparison_differences": (comparison_differences, COMPARISON_DIFFERENCES), "comparison_pair": (comparison_pair, COMPARISON_PAIR), "general_lookup": (general_lookup, GENERAL_LOOKUP),
+    "graph_dispatch": (dispatched, DISPATCHED),
 }

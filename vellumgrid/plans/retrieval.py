@@ -9,7 +9,7 @@ from vellumgrid.config import Settings
 from vellumgrid.functions import text as T
 from vellumgrid.functions import vectors as V
 from vellumgrid.operators import chunking, retrieval
-from vellumgrid.plans.base import CHUNKS, TERMS, chunks, table
+from vellumgrid.plans.base import CHUNKS, EVERY_MENTION, MENTIONED, SENTENCE_LIST, TERMS, chunks, keyword_index, table
 from vellumgrid.sources.documents import page_sections
 
 QUESTION = "Licensed under the Apache License of a worthless idiot"
@@ -33,6 +33,14 @@ def parent_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.parents(chunking.sections(table(s, d, "documents"))).select("chunk_id", "doc_id", "breadcrumbs", "token_count", F.md5("text").alias("text_md5"))
 
 
+PARENT_CHUNKS = rf"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS body, text,
+  left(coalesce(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], 'Untitled'), 100) AS title FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, {SENTENCE_LIST} AS st FROM d),
+n AS (SELECT *, list_transform(st, lambda x: len(x) // 4) AS ns FROM f),
+k AS (SELECT *, CASE WHEN len(body) // 4 <= 2048 THEN body ELSE array_to_string(list_filter(st, lambda x, i: list_sum(ns[1:i]) <= 2048), ' ') END AS kept FROM n)
+SELECT doc_id || '_s1_parent' AS chunk_id, doc_id, title || ' > Document Content' AS breadcrumbs, CAST(len(kept) // 4 AS BIGINT) AS token_count, md5(kept) AS text_md5 FROM k WHERE kept <> ''"""
+
+
 def child_chunks(s: SparkSession, d: str) -> DataFrame:
     """Child chunks of all documents, at a size that makes several."""
     rows = chunking.children(chunking.sections(table(s, d, "documents")), Settings(child_size=128, overlap=30))
@@ -65,7 +73,7 @@ bm AS (SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5
 
 def bm25(s: SparkSession, d: str) -> DataFrame:
     """BM25 score of every chunk that holds a term of the question."""
-    return retrieval.bm25_scores(chunks(s, d), QUESTION)
+    return keyword_index(s, d).scores(QUESTION)
 
 
 def bm25_top(s: SparkSession, d: str) -> DataFrame:
@@ -163,6 +171,32 @@ def _pattern_sql(low: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({low}, '{'|'.join(keys)}') THEN '{kind}'" for kind, keys in T.PATTERN_KEYWORDS.items()) + " ELSE 'general' END"
 
 
+QUESTIONS = f"""WITH q AS (SELECT conv_id, turn, text, {EVERY_MENTION.format("text")} AS ev, {_pattern_sql("lower(text)")} AS pattern FROM conversations WHERE role = 'user'),
+l AS (SELECT *, list_transform(ev, lambda x: lower(x)) AS lo FROM q), m AS (SELECT *, {MENTIONED} AS ms FROM l)
+SELECT conv_id, turn, pattern, CAST(len(ms) AS BIGINT) AS n_mentions, array_to_string(ms[1:3], '|') AS first_mentions,
+  CASE WHEN pattern IN ('dependency', 'integration', 'workflow', 'conflict') THEN 'GRAPH' WHEN pattern = 'general' AND len(ms) = 0 THEN 'VECTOR' ELSE 'HYBRID' END AS mode FROM m"""
+
+
+def routed(s: SparkSession, d: str) -> DataFrame:
+    """C4: routes of a model's JSON replies, made from the events' properties."""
+    e = table(s, d, "events")
+    mode = F.when(F.col("event_id") % 4 == 0, "vector").when(F.col("event_id") % 4 == 1, "GRAPH").when(F.col("event_id") % 4 == 2, "hybrid").otherwise("other")
+    reply = F.concat(F.lit('Sure: {"mode": "'), mode, F.lit('", "confidence": '), (F.col("event_id") % 10 / 10).cast("string"), F.lit("} done"))
+    return e.groupBy(T.routed_mode(F.when(F.col("event_id") % 13 > 0, reply).otherwise("no json")).alias("mode")).agg(F.count("*").alias("n"))
+
+
+ROUTED = """SELECT CASE WHEN event_id % 13 = 0 OR event_id % 4 = 3 OR (event_id % 10) / 10 < 0.7 THEN 'HYBRID' WHEN event_id % 4 = 0 THEN 'VECTOR' WHEN event_id % 4 = 1 THEN 'GRAPH' ELSE 'HYBRID' END AS mode, count(*) AS n FROM events GROUP BY 1"""
+
+
+def chunk_ids(s: SparkSession, d: str) -> DataFrame:
+    """The vector store's key of every chunk."""
+    return chunks(s, d).select("chunk_id", T.chunk_uuid(F.col("chunk_id")).alias("point_id"))
+
+
+CHUNK_IDS = f"""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha1(unhex('{T.DNS_NAMESPACE}') || encode(CAST(doc_id AS VARCHAR))) AS h FROM documents)
+SELECT chunk_id, left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[(CAST('0x' || h[17] AS INTEGER) % 4) + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM h"""
+
+
 def names(s: SparkSession, d: str) -> DataFrame:
     """Canonical names and ids of suppliers, customers and parts."""
     raw = table(s, d, "part").select(F.concat("p_name", F.lit(" System")).alias("name")).union(table(s, d, "nation").select(F.concat("n_name", F.lit("  Module"))))
@@ -203,9 +237,9 @@ WEB_PAGES = r"""WITH c AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, trim(regex
 SELECT doc_id, title, len(h) AS n_headings, coalesce(trim(regexp_replace(regexp_replace(h[1], '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '') AS first_heading FROM c"""
 
 QUERIES = {
-    "sentences": (sentences, SENTENCES), "parent_chunks": (parent_chunks, None), "child_chunks": (child_chunks, None), "term_counts": (term_counts, TERM_COUNTS),
+    "sentences": (sentences, SENTENCES), "parent_chunks": (parent_chunks, PARENT_CHUNKS), "child_chunks": (child_chunks, None), "term_counts": (term_counts, TERM_COUNTS),
     "corpus_statistics": (corpus, CORPUS), "bm25_scores": (bm25, f"WITH {SCORES} SELECT chunk_id, score FROM bm"), "bm25_top": (bm25_top, BM25_TOP),
     "vector_top": (vector_top, VECTOR_TOP), "vector_filtered": (vector_filtered, VECTOR_FILTERED), "unit_vectors": (unit_vectors, UNIT_VECTORS),
-    "hybrid_rrf": (hybrid, HYBRID), "weighted_fusion": (fused_chunks, FUSED), "rerank": (rerank, RERANK), "question_routing": (questions, None),
+    "hybrid_rrf": (hybrid, HYBRID), "weighted_fusion": (fused_chunks, FUSED), "rerank": (rerank, RERANK), "question_routing": (questions, QUESTIONS), "reply_routing": (routed, ROUTED), "chunk_keys": (chunk_ids, CHUNK_IDS),
     "entity_names": (names, NAMES), "event_properties": (event_properties, EVENT_PROPERTIES), "web_pages": (web_pages, WEB_PAGES),
 }

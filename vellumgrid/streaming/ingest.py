@@ -17,20 +17,35 @@ def document_stream(spark: SparkSession, path: str, schema: str = "doc_id long,
     return spark.readStream.schema(schema).parquet(path)
 
 
-def ingest(stream: DataFrame, store: TableStore, checkpoint: str, settings: Settings = Settings()):
+def ingest(stream: DataFrame, store: TableStore, checkpoint: str, settings: Settings = Settings(), chunker=chunking.chunks):
     """Start a query that upserts documents and their chunks, and a row a batch
-    in ``ingestion_jobs``. Upserts by key make a repeated batch harmless."""
+    in ``ingestion_jobs``, which names the documents that failed. Upserts by key
+    make a repeated batch harmless. A batch that fails is cut in halves, by the
+    documents' hash, until the failing documents stand alone; the rest is stored."""
+
+    def stored(rows: DataFrame) -> None:
+        store.upsert("documents", rows.select(F.col("doc_id").cast("string"), "text"), "doc_id")
+        store.upsert("chunks", chunker(chunking.sections(rows), settings), "chunk_id")
+
+    def attempt(rows: DataFrame, bit: int = 0) -> list[tuple[str, str]]:
+        """(doc_id, message) of the documents that failed."""
+        try:
+            stored(rows)
+            return []
+        except Exception as e:
+            few = rows.select("doc_id").limit(2).collect()
+            if len(few) < 2 or bit >= 60:
+                return [(str(r.doc_id), str(e)[:500]) for r in few]
+            half = F.shiftright(F.xxhash64("doc_id"), bit).bitwiseAND(F.lit(1).cast("long"))
+            return attempt(rows.filter(half == 0), bit + 1) + attempt(rows.filter(half == 1), bit + 1)
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         rows = rows.dropDuplicates(["doc_id"]).persist()
-        try:
-            store.upsert("documents", rows.select(F.col("doc_id").cast("string"), "text"), "doc_id")
-            store.upsert("chunks", chunking.chunks(chunking.sections(rows), settings), "chunk_id")
-            state, error = STATES[-1], None
-        except Exception as e:  # the job's row says what failed; the stream goes on
-            state, error = "failed", str(e)[:500]
         n = rows.count()
+        bad = attempt(rows) if n else []
+        state = STATES[-1] if not bad else "failed" if len(bad) == n else "completed with errors"
+        error = "; ".join(f"{d}: {m}" for d, m in bad) or None
         store.upsert("ingestion_jobs", spark.createDataFrame([(f"batch-{number}", state, n, error)], "job_id string, status string, documents long, error string"), "job_id")
         rows.unpersist()
 
