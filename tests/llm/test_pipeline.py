@@ -75,3 +75,10 @@ def test_rows_without_ids(spark):
     found = sorted((r.doc_id or 0, r.text[:2]) for r in once.collect())
     assert found == sorted([(0, "a0"), (0, "b0"), (1, "c0"), (0, item[:2])])
     assert sorted(r.text[:2] for r in decontamination.stage(spark, once, SMALL).collect()) == ["a0", "b0", "c0"]
+
+
+def test_shared_ids_are_judged_by_text(spark):
+    item = common.table(spark, SMALL, "benchmark").filter("text is not null").orderBy("item_id").head().text
+    rows = [(1, "clean words " * 20), (1, f"before {item} after"), (1, f"before {item} after"), (2, "clean words " * 20), (None, f"{item}"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(((r.doc_id, r.text) for r in decontamination.stage(spark, docs, SMALL).collect()), key=str) == sorted([rows[0], rows[3], rows[5]], key=str)

@@ -16,8 +16,10 @@ Document frequencies count all items. Items are sent to executors in shards of
 at most ``shard_bytes`` of text; more items than that make more shards, each a
 pass over the documents.
 
-Edge cases: null, empty and wordless texts or items match nothing; an item under
-five words is one run of all its words (and has no answer half); repeated items
+Edge cases: null, empty and wordless texts or items match nothing; texts and items
+of any length are read whole; every item that reaches the threshold is returned, so
+ties need no order (of a pair's windows the one of highest score, then overlaps,
+is reported); rows with a null item_id take no part; an item under five words is one run of all its words (and has no answer half); repeated items
 and repeated documents are answered once; other columns are ignored; with no
 items or no documents the answer is empty.
 """
@@ -221,7 +223,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), F.col("text"))))
+    """Rows whose text holds no benchmark item, by id and text: rows that share an
+    id, or have none, are judged each by its own text."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     bad = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(bad, "_key", "left_anti").select(*common.DOC_COLUMNS)

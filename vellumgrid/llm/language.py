@@ -13,7 +13,7 @@ one is kept for a language where its relative frequency is at least a fifth of
 the highest over languages, so a few wrongly labelled documents teach nothing.
 
 Edge cases: null text, empty text and text without letters give ``und`` with
-score 0; ties go to the language that sorts first; a table without any labelled
+score 0; texts of any length are read whole; ties go to the language that sorts first; a table without any labelled
 row gives ``und`` for every text; repeated rows are scored as often as they
 stand; other columns are ignored. The filter's size is fixed, so what is sent
 to executors does not grow with the corpus.

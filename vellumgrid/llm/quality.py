@@ -14,7 +14,9 @@ in one pass over whole texts; learning and scoring read the features.
 
 Edge cases: null and empty texts have all features 0 and are scored like any
 other; a doc_id labelled more than once has the mean of its labels, and counts
-as 1 from 0.5; null labels are ignored; with no labels, or labels of one kind
+as 1 from 0.5, and if its texts differ the one of least features is learned from;
+null labels are ignored; texts of any length are read whole; values that tie fall
+into one bin, and of cuts that gain the same the first is made; with no labels, or labels of one kind
 only, every score is the share of ones (0.5 with none); repeated rows are scored
 as often as they stand; other columns are ignored.
 """
@@ -210,7 +212,7 @@ def learn(known: DataFrame, labels: DataFrame, label: str = "quality", most: int
     if total > most:
         marks = marks.filter(turn < int(1_000_000 * most / total))
     # the bound holds in expectation; the limit makes it strict
-    rows = known.dropDuplicates(["doc_id"]).join(marks, "doc_id").select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()
+    rows = known.join(marks, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()
     if not rows.num_rows:
         return AdditiveModel().fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return AdditiveModel().fit(_matrix(rows.column("x")), rows.column("y").to_numpy().astype(np.float64))

@@ -15,9 +15,10 @@ mismatch fails the job), its CRC is taken over the ids as 4-byte integers, and
 CRCs of a document's chunks are joined by the algebra of CRC-32
 (crc(a+b) = crc(a)*x^(8*len(b)) xor crc(b)), which is an xor over rows.
 
-Edge cases: null or empty text gives the end id alone; repeated doc_ids are
-kept, each as a document of its own, in the order of their roots; null doc_ids
-come first; an empty table gives an empty store; other columns are ignored.
+Edge cases: null or empty text gives the end id alone; texts of any length are
+encoded whole; a special token's string in a text gives its id, as the library's
+plain call does; repeated doc_ids are kept, each as a document of its own, and so
+tie on the id alone: they stand in the order of their roots; null doc_ids come first; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
