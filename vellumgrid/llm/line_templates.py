@@ -88,7 +88,8 @@ def _with_flags(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
     """``docs`` with the columns _n and _flags of their texts."""
     key = F.xxhash64("text")
     own = docs.withColumn("_lacks", F.col("doc_id").isNull()).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), key)).withColumn("_key", key)
-    return own.join(marked, ["_lacks", "_doc", "_key"], how).drop("_lacks", "_doc", "_key")
+    # the flags grow with the corpus: they are never broadcast
+    return own.join(marked.hint("merge"), ["_lacks", "_doc", "_key"], how).drop("_lacks", "_doc", "_key")
 
 
 def _general(docs: DataFrame, forms: DataFrame, keep: common.Scratch) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +183,7 @@ def _dropped(docs: DataFrame, keep: common.Scratch) -> DataFrame:
     shared = common.spread_join(named, seen, "template", common.hot_keys(named, "template")).select(*LINE, F.col("top").alias("first"), "n_lines")
     going = keep(alone.unionByName(shared), "template-going")
     hot = common.hot_keys(going, "line_h", "n_lines")
-    out = common.spread_join(keys.select("place", *LINE), going.select(*LINE, "first"), "line_h", hot, also=("line_g",))
+    out = common.spread_join(keys.select("place", *LINE), going.select(*LINE, "first").hint("merge"), "line_h", hot, also=("line_g",))
     return out.filter(F.col("place") != F.col("first")).select("place")
 
 
