@@ -117,7 +117,8 @@ def _starts(lengths: Column) -> Column:
 
 def _tidy(x: Column) -> Column:
     """Lower case, runs with a digit or @ as one #, white space as single blanks."""
-    return F.regexp_replace(F.regexp_replace(F.lower(x), RUN, "#"), r"\s+", " ")
+    low = _let(F.lower(x), lambda t: F.when(t.rlike("[0-9@]"), F.regexp_replace(t, RUN, "#")).otherwise(t))
+    return F.regexp_replace(low, r"\s+", " ")
 
 
 def _spans(text: Column, pattern: str, kind: int, needs: str | None = None, check=None) -> Column:
@@ -202,25 +203,31 @@ def occurrences(scanned: DataFrame) -> DataFrame:
 
 def ordinary(docs: DataFrame, live: DataFrame) -> DataFrame:
     """pattern, n_words: how often the corpus has a word without a digit in the
-    context of each pattern of ``live``."""
-    # a unit is a word with the signs behind it
+    context of each pattern of ``live``.
+
+    A pattern of more words has a live one of one word in it, so words whose left
+    neighbour makes no live pattern are left out at once."""
+    # a unit is a word with the signs behind it; signs before the first word are none
     units = F.split(_tidy(F.col("t")), rf"(?<!{_WORD})(?={_WORD})")
-    word = lambda u: F.regexp_extract(u, NEXT, 0)
-
-    def keys(units: Column) -> Column:
-        def one(u: Column, i: Column) -> Column:
-            left, two = F.get(units, i - 1), F.concat(F.get(units, i - 2), F.get(units, i - 1))
-            signs = F.substring(u, F.length(word(u)) + 1, F.length(u))
-            nothing = F.lit("")
-            # what stands before the text's first word is no word
-            fits = lambda x: F.coalesce(F.when(x.rlike(rf"^{_WORD}"), x), nothing)
-            after = F.coalesce(F.concat(signs, word(F.get(units, i + 1))), nothing)
-            return F.when((i > 0) & ~F.contains(u, F.lit("#")), F.array(*_pattern_keys(fits(left), F.when(i > 1, fits(two)).otherwise(nothing), after)))
-
-        return F.flatten(F.filter(F.transform(units, one), lambda x: x.isNotNull()))
-
-    rows = _clean(docs).select(F.explode(_let(units, keys)).alias("pattern")).filter("pattern is not null")
-    return rows.join(live.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("n_words"))
+    words = lambda u: F.when(F.get(u, 0).rlike(rf"^{_WORD}"), u).otherwise(F.slice(u, 2, F.size(u)))
+    nothing = F.array(F.lit(""))
+
+    def beside(u: Column) -> Column:
+        n = F.size(u)
+        shifted = F.arrays_zip(
+            F.slice(u, F.lit(1), n - 1).alias("l"), F.slice(u, F.lit(2), n - 1).alias("u"),
+            F.concat(nothing, F.slice(u, F.lit(1), F.greatest(n - 2, F.lit(0)))).alias("l2"), F.concat(F.slice(u, F.lit(3), F.greatest(n - 2, F.lit(0))), nothing).alias("nx"),
+        )
+        return F.when(n > 1, shifted)
+
+    rows = _clean(docs).select(_let(units, words).alias("w")).select(F.explode(beside(F.col("w"))).alias("x")).select("x.l", "x.u", "x.l2", "x.nx")
+    rows = rows.filter(~F.contains("u", F.lit("#"))).withColumn("one", F.xxhash64(F.lit("1"), F.col("l")))
+    rows = rows.join(live.select(F.col("pattern").alias("one")), "one", "left_semi")
+    signs = F.substring(F.col("u"), F.length(F.regexp_extract("u", NEXT, 0)) + 1, F.length("u"))
+    after = F.when(F.col("nx") == "", "").otherwise(F.concat(signs, F.regexp_extract("nx", NEXT, 0)))
+    two = F.when(F.col("l2") == "", "").otherwise(F.concat("l2", "l"))
+    keys = rows.select(F.explode(F.array(*_pattern_keys(F.col("l"), two, after))).alias("pattern")).filter("pattern is not null")
+    return keys.join(live.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("n_words"))
 
 
 def score(edges: DataFrame, least: float, support: int, rounds: int, keep: common.Scratch) -> DataFrame:
