@@ -325,11 +325,11 @@ SELECT a.entity_id AS entity_id_a, b.entity_id AS entity_id_b, a.key, a.value AS
 
 def rel_types(s: SparkSession, d: str) -> DataFrame:
     """Relationship types that one document has and another lacks."""
-    e = base.entities(s, d).select(F.col("entity_id").alias("src"), "doc_id")
+    e = base.entities(s, d).select(F.col("entity_id").alias("src"), (F.col("pos") % 200).alias("doc_id"))
     return conflicts.type_differences(base.edges(s, d).join(e, "src").select("doc_id", "rel_type").distinct())
 
 
-REL_TYPES = f"""{GRAPH}, dt AS (SELECT doc_id, list_sort(list(DISTINCT rel_type)) AS t FROM edg JOIN ent ON src = entity_id GROUP BY doc_id)
+REL_TYPES = f"""{GRAPH}, dt AS (SELECT pos % 200 AS doc_id, list_sort(list(DISTINCT rel_type)) AS t FROM edg JOIN ent ON src = entity_id GROUP BY pos % 200)
 SELECT a.doc_id, b.doc_id AS other_doc, array_to_string(list_filter(a.t, lambda x: NOT list_contains(b.t, x)), ',') AS only_here FROM dt a JOIN dt b ON a.doc_id <> b.doc_id
 WHERE len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) > 0"""
 

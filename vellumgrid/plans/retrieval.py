@@ -47,6 +47,35 @@ def child_chunks(s: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", "doc_id", "parent_chunk_id", "child_index", "token_count", F.md5("text").alias("text_md5"))
 
 
+#: Children of at most 128 tokens that overlap by 30. ``bits`` are the parts of a long
+#: sentence: pieces up to a comma, semicolon or colon, and the words of longer pieces after a mark.
+CHILD_CHUNKS = rf"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, {SENTENCE_LIST} AS st FROM d),
+o AS (SELECT doc_id, unnest(st) AS s, unnest(generate_series(1, len(st))) AS i FROM f WHERE len(st) > 0),
+l AS (SELECT doc_id, i, s, flatten(list_transform(regexp_extract_all(s, '[^,;:]*[,;:]?'), lambda p: CASE WHEN len(p) // 4 > 128
+    THEN list_concat([{{'k': 'f', 't': ''}}], list_transform(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> ''), lambda w: {{'k': 'w', 't': w}})) ELSE [{{'k': 'p', 't': p}}] END)) AS bits
+  FROM o WHERE len(s) // 4 > 128),
+r AS (SELECT doc_id, i, list_reduce(list_concat([{{'done': CAST([] AS VARCHAR[]), 'now': '', 'k': '', 't': ''}}], list_transform(bits, lambda b: {{'done': CAST([] AS VARCHAR[]), 'now': '', 'k': b.k, 't': b.t}})),
+    lambda a, b: {{
+      'done': CASE WHEN (b.k = 'f' AND trim(a.now, chr(32) || chr(9) || chr(10) || chr(13)) <> '') OR (b.k = 'p' AND (len(a.now) + len(b.t)) // 4 > 128 AND trim(a.now, chr(32) || chr(9) || chr(10) || chr(13)) <> '')
+          THEN list_append(a.done, trim(a.now, chr(32) || chr(9) || chr(10) || chr(13))) WHEN b.k = 'w' AND a.now <> '' AND (len(a.now) + 1 + len(b.t)) // 4 > 128 THEN list_append(a.done, a.now) ELSE a.done END,
+      'now': CASE WHEN b.k = 'f' THEN '' WHEN b.k = 'w' THEN CASE WHEN a.now = '' OR (len(a.now) + 1 + len(b.t)) // 4 > 128 THEN b.t ELSE a.now || ' ' || b.t END
+          WHEN (len(a.now) + len(b.t)) // 4 > 128 AND trim(a.now, chr(32) || chr(9) || chr(10) || chr(13)) <> '' THEN b.t ELSE a.now || b.t END,
+      'k': b.k, 't': b.t}}) AS x FROM l),
+c AS (SELECT doc_id, i, CASE WHEN trim(x.now, chr(32) || chr(9) || chr(10) || chr(13)) <> '' THEN list_append(x.done, trim(x.now, chr(32) || chr(9) || chr(10) || chr(13))) ELSE x.done END AS cut FROM r),
+e AS (SELECT doc_id, list({{'done': CAST([] AS VARCHAR[]), 'now': CAST([] AS VARCHAR[]), 's': s, 'cut': cut}} ORDER BY i) AS es FROM o LEFT JOIN c USING (doc_id, i) GROUP BY doc_id),
+g AS (SELECT doc_id, list_reduce(list_concat([{{'done': CAST([] AS VARCHAR[]), 'now': CAST([] AS VARCHAR[]), 's': '', 'cut': CAST(NULL AS VARCHAR[])}}], es), lambda a, b: {{
+    'done': CASE WHEN len(b.s) // 4 > 128 THEN list_concat(CASE WHEN len(a.now) > 0 THEN list_append(a.done, array_to_string(a.now, ' ')) ELSE a.done END, b.cut)
+        WHEN len(a.now) > 0 AND list_sum(list_transform(a.now, lambda y: len(y) // 4)) + len(b.s) // 4 > 128 THEN list_append(a.done, array_to_string(a.now, ' ')) ELSE a.done END,
+    'now': CASE WHEN len(b.s) // 4 > 128 THEN CAST([] AS VARCHAR[])
+        WHEN len(a.now) > 0 AND list_sum(list_transform(a.now, lambda y: len(y) // 4)) + len(b.s) // 4 > 128
+          THEN list_append(list_filter(a.now, lambda y, j: list_sum(list_transform(a.now[j:], lambda z: len(z) // 4)) <= 30), b.s) ELSE list_append(a.now, b.s) END,
+    's': b.s, 'cut': b.cut}}) AS x FROM e),
+h AS (SELECT doc_id, CASE WHEN len(x.now) > 0 THEN list_append(x.done, array_to_string(x.now, ' ')) ELSE x.done END AS children FROM g),
+k AS (SELECT doc_id, unnest(children) AS body, unnest(generate_series(0, len(children) - 1)) AS n FROM h WHERE len(children) > 0)
+SELECT doc_id || '_s1_child_' || n AS chunk_id, doc_id, doc_id || '_s1_parent' AS parent_chunk_id, n AS child_index, CAST(len(body) // 4 AS BIGINT) AS token_count, md5(body) AS text_md5 FROM k"""
+
+
 def term_counts(s: SparkSession, d: str) -> DataFrame:
     """Document frequency and count of every index term."""
     return retrieval.postings(chunks(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -237,7 +266,7 @@ WEB_PAGES = r"""WITH c AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, trim(regex
 SELECT doc_id, title, len(h) AS n_headings, coalesce(trim(regexp_replace(regexp_replace(h[1], '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '') AS first_heading FROM c"""
 
 QUERIES = {
-    "sentences": (sentences, SENTENCES), "parent_chunks": (parent_chunks, PARENT_CHUNKS), "child_chunks": (child_chunks, None), "term_counts": (term_counts, TERM_COUNTS),
+    "sentences": (sentences, SENTENCES), "parent_chunks": (parent_chunks, PARENT_CHUNKS), "child_chunks": (child_chunks, CHILD_CHUNKS), "term_counts": (term_counts, TERM_COUNTS),
     "corpus_statistics": (corpus, CORPUS), "bm25_scores": (bm25, f"WITH {SCORES} SELECT chunk_id, score FROM bm"), "bm25_top": (bm25_top, BM25_TOP),
     "vector_top": (vector_top, VECTOR_TOP), "vector_filtered": (vector_filtered, VECTOR_FILTERED), "unit_vectors": (unit_vectors, UNIT_VECTORS),
     "hybrid_rrf": (hybrid, HYBRID), "weighted_fusion": (fused_chunks, FUSED), "rerank": (rerank, RERANK), "question_routing": (questions, QUESTIONS), "reply_routing": (routed, ROUTED), "chunk_keys": (chunk_ids, CHUNK_IDS),
