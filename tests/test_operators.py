@@ -175,6 +175,19 @@ def test_store(spark, tmp_path):
     assert t.delete("documents", spark.createDataFrame([("zz",)], "doc_id string"), "doc_id") == 0
     t.prune("documents")
     assert t.read("documents").count() == 2
+    other = store.TableStore(spark, str(tmp_path))
+    number = int(t._versions("documents")[-1].split("-")[0]) + 1
+    manifest = t._manifest("documents", t._versions("documents")[-1])
+    t._publish("documents", number, manifest)
+    with pytest.raises(store.Conflict):  # a second writer of the same number
+        other._publish("documents", number, manifest)
+    listed, stale = other._versions, iter([other._versions("documents")[:-1]])
+    other._versions = lambda name: next(stale, None) or listed(name)  # it has seen the version before only
+    other.upsert("documents", spark.createDataFrame([("d", "late", 3)], rows.schema), "doc_id")
+    assert sorted(r.doc_id for r in t.read("documents").collect()) == ["b", "c", "d"]
+    files = {p for p in t._manifest("documents", t._versions("documents")[-1])["parts"].values()}
+    t.upsert("documents", spark.createDataFrame([("d", "again", 3)], rows.schema), "doc_id")
+    assert len(files - set(t._manifest("documents", t._versions("documents")[-1])["parts"].values())) == 1  # one bucket is rewritten
     with pytest.raises(Exception, match="wrong length"):
         store.checked_vectors(spark.createDataFrame([("a", [1.0])], "chunk_id string, embedding array<double>"), 2).collect()
 
@@ -200,6 +213,14 @@ def test_documents_source(spark, tmp_path):
     assert "not a .docx" in got["bad"].error and "unsupported" in got["other"].error
     with pytest.raises(ParsingError):
         documents.pdf(b"no", "x")
+    cmap = b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <00480069> <0002> <2192> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0058> <0059>] endbfrange"
+    inner = b"7 0 5 30 <</Font <</F2 5 0 R>> >>       <</Type /Font /ToUnicode 9 0 R>>"
+    head = inner.index(b"<<")
+    inner = b"7 0 5 %d " % (inner.index(b"<</Type") - head) + inner[head:]
+    first = inner.index(b"<<")
+    stream = lambda n, d, b: b"%d 0 obj <<%s /Length %d>>\nstream\n" % (n, d, len(zlib.compress(b))) + zlib.compress(b) + b"\nendstream endobj\n"
+    whole = b"%PDF-1.5\n" + stream(3, b"/Type /ObjStm /N 2 /First %d" % first, inner) + stream(9, b"", cmap) + stream(4, b"", b"BT /F2 9 Tf <0001> Tj <00020010> Tj 0 -9 Td [<0012> 5 <0021>] TJ /F9 9 Tf (\\101\\(b) Tj ET")
+    assert documents.pdf(whole, "x")[1][0]["text"] == "Hi\u2192a\ncYA(b"
     assert documents.heading_level("Heading 3") == 3 and documents.heading_level("Title") == 1 and documents.heading_level("Heading x") == 0
 
 

@@ -33,7 +33,7 @@ class Engine:
         self.degraded: list[str] = []
 
     def _has(self, name: str) -> bool:
-        return bool(self.store._versions(name))
+        return self.store.has(name)
 
     def ingest(self, sections: DataFrame, job_id: str = "job", edges: DataFrame | None = None) -> DataFrame:
         """Store section rows (doc_id, title, section_id, heading, level, text):

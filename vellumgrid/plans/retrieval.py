@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,10 @@ from vellumgrid.config import Settings
 from vellumgrid.functions import text as T
 from vellumgrid.functions import vectors as V
 from vellumgrid.operators import chunking, retrieval
+from vellumgrid.operators.durable import shared
+from vellumgrid.operators.store import TableStore, by_key
 from vellumgrid.plans.base import CHUNKS, EVERY_MENTION, MENTIONED, SENTENCE_LIST, TERMS, chunks, keyword_index, table
+from vellumgrid.sources import documents
 from vellumgrid.sources.documents import page_sections
 
 QUESTION = "Licensed under the Apache License of a worthless idiot"
@@ -265,10 +269,76 @@ WEB_PAGES = r"""WITH c AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, trim(regex
   regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS h FROM pages)
 SELECT doc_id, title, len(h) AS n_headings, coalesce(trim(regexp_replace(regexp_replace(h[1], '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '') AS first_heading FROM c"""
 
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """Documents as files: even ids .docx, whose first line is a heading for every
+    fourth id and then each fourth line; the others .pdf, ten lines a page; every
+    fifth id of a kind that isn't read."""
+    rows = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for k, text in zip(frame["doc_id"], frame["text"], strict=True):
+                lines = [x for x in text.split("\n") if x.strip()]
+                if k % 5 == 4:
+                    out.append((f"/in/{k}.txt", b""))
+                elif k % 2 == 0:
+                    styles = ["Heading 1" if i == 0 and k % 4 == 0 else "Heading 2" if i % 4 == 3 else "Normal" for i in range(len(lines))]
+                    out.append((f"/in/{k}.docx", documents.docx_bytes(list(zip(styles, lines, strict=True)))))
+                else:
+                    out.append((f"/in/{k}.pdf", documents.pdf_bytes([lines[i : i + 10] for i in range(0, len(lines), 10)])))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return rows.mapInPandas(run, "path string, content binary")
+
+
+def parsed_files(s: SparkSession, d: str) -> DataFrame:
+    """Files of two kinds parsed to titles and sections, others told as errors."""
+    p = documents.parsed(_files(s, d))
+    heads = F.transform("sections", lambda x: F.concat(x["section_id"], F.lit(":"), x["level"].cast("string"), F.lit(":"), x["heading"], F.lit("="), x["text"]))
+    return p.select("doc_id", "title", F.size("sections").cast("long").alias("n_sections"), F.md5(F.array_join(heads, "|")).alias("sections_md5"), F.col("error").isNotNull().alias("failed"))
+
+
+PARSED_FILES = r"""WITH d AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> ''), lambda x: trim(x, chr(32) || chr(9) || chr(13))) AS ls FROM documents),
+w AS (SELECT doc_id, ls, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS i FROM d WHERE doc_id % 5 <> 4 AND len(ls) > 0),
+dx AS (SELECT doc_id, line, i, CASE WHEN i = 0 AND doc_id % 4 = 0 THEN 1 WHEN i % 4 = 3 THEN 2 ELSE 0 END AS lv FROM w WHERE doc_id % 2 = 0),
+dn AS (SELECT *, sum(CASE WHEN lv > 0 OR i = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM dx),
+ds AS (SELECT doc_id, sec, max(lv) AS lv, max(CASE WHEN lv > 0 THEN line END) AS head, coalesce(string_agg(CASE WHEN lv = 0 THEN line END, chr(10) ORDER BY i), '') AS body FROM dn GROUP BY doc_id, sec),
+dr AS (SELECT doc_id, count(*) AS n, md5(string_agg('s' || sec || ':' || CASE WHEN lv = 0 THEN 1 ELSE lv END || ':' || coalesce(head, 'Introduction') || '=' || body, '|' ORDER BY sec)) AS m FROM ds GROUP BY doc_id),
+px AS (SELECT doc_id, i // 10 AS pg, i, regexp_replace(line, '[^\x{00}-\x{ff}]', '?', 'g') AS line FROM w WHERE doc_id % 2 = 1),
+pp AS (SELECT doc_id, pg, string_agg(line, chr(10) ORDER BY i) AS body FROM px GROUP BY doc_id, pg),
+pr AS (SELECT doc_id, count(*) AS n, md5(string_agg('s' || (pg + 1) || ':1:Page ' || (pg + 1) || '=' || body, '|' ORDER BY pg)) AS m, left(string_split(min_by(body, pg), chr(10))[1], 100) AS title FROM pp GROUP BY doc_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS doc_id,
+  CASE WHEN d.doc_id % 5 = 4 THEN NULL WHEN d.doc_id % 2 = 1 THEN pr.title WHEN len(ls) = 0 THEN CAST(d.doc_id AS VARCHAR) WHEN d.doc_id % 4 = 0 THEN ls[1] ELSE left(ls[1], 100) END AS title,
+  CASE WHEN d.doc_id % 5 = 4 THEN NULL WHEN d.doc_id % 2 = 1 THEN pr.n ELSE coalesce(dr.n, 0) END AS n_sections,
+  CASE WHEN d.doc_id % 5 = 4 THEN NULL WHEN d.doc_id % 2 = 1 THEN pr.m ELSE coalesce(dr.m, md5('')) END AS sections_md5,
+  d.doc_id % 5 = 4 OR (d.doc_id % 2 = 1 AND pr.n IS NULL) AS failed
+FROM d LEFT JOIN dr ON d.doc_id = dr.doc_id LEFT JOIN pr ON d.doc_id = pr.doc_id"""
+
+
+def vector_store(s: SparkSession, d: str) -> DataFrame:
+    """Vectors upserted, read by key, counted and deleted, in a stored table."""
+    rows = _vectors(s, d)
+    held = TableStore(s, shared(s, "vector-store"))
+    held.replace("embeddings", rows)
+    changed = rows.filter("label = 3").select("chunk_id", F.transform("embedding", lambda x: x * 2).alias("embedding"), F.lit(99).alias("label"))
+    fresh = rows.filter("label = 4").withColumn("chunk_id", F.concat(F.lit("new"), "chunk_id"))
+    held.upsert("embeddings", changed.unionByName(fresh), "chunk_id")
+    held.delete("embeddings", rows.filter("label = 5").select("chunk_id"), "chunk_id")
+    now = held.read("embeddings")
+    one = lambda name, part: part.agg(F.lit(name).alias("lookup"), F.count("*").alias("n"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 3).alias("total"))
+    return one("count", now).unionByName(one("by_key", by_key(now, "chunk_id", "17"))).unionByName(one("by_label", now.filter("label = 99")))
+
+
+VECTOR_STORE = """WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS k, CAST(embedding[1] AS DOUBLE) AS x, label FROM embeddings),
+n AS (SELECT k, CASE WHEN label = 3 THEN 2 * x ELSE x END AS x, CASE WHEN label = 3 THEN 99 ELSE label END AS label FROM v WHERE label <> 5 UNION ALL SELECT 'new' || k, x, label FROM v WHERE label = 4)
+SELECT 'count' AS lookup, count(*) AS n, round(sum(x), 3) AS total FROM n UNION ALL SELECT 'by_key', count(*), round(sum(x), 3) FROM n WHERE k = '17' UNION ALL SELECT 'by_label', count(*), round(sum(x), 3) FROM n WHERE label = 99"""
+
 QUERIES = {
     "sentences": (sentences, SENTENCES), "parent_chunks": (parent_chunks, PARENT_CHUNKS), "child_chunks": (child_chunks, CHILD_CHUNKS), "term_counts": (term_counts, TERM_COUNTS),
     "corpus_statistics": (corpus, CORPUS), "bm25_scores": (bm25, f"WITH {SCORES} SELECT chunk_id, score FROM bm"), "bm25_top": (bm25_top, BM25_TOP),
     "vector_top": (vector_top, VECTOR_TOP), "vector_filtered": (vector_filtered, VECTOR_FILTERED), "unit_vectors": (unit_vectors, UNIT_VECTORS),
     "hybrid_rrf": (hybrid, HYBRID), "weighted_fusion": (fused_chunks, FUSED), "rerank": (rerank, RERANK), "question_routing": (questions, QUESTIONS), "reply_routing": (routed, ROUTED), "chunk_keys": (chunk_ids, CHUNK_IDS),
-    "entity_names": (names, NAMES), "event_properties": (event_properties, EVENT_PROPERTIES), "web_pages": (web_pages, WEB_PAGES),
+    "entity_names": (names, NAMES), "event_properties": (event_properties, EVENT_PROPERTIES), "web_pages": (web_pages, WEB_PAGES), "parsed_files": (parsed_files, PARSED_FILES), "vector_store": (vector_store, VECTOR_STORE),
 }

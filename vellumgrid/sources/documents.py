@@ -12,6 +12,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -74,47 +75,126 @@ def docx(data: bytes, stem: str) -> tuple[str, list[dict], dict]:
     return title, rows, {"paragraphs": str(len(paras)), "sections": str(len(rows))}
 
 
-_SHOW = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|(?<![A-Za-z])(?:Tj|TJ|Td|TD|T\*|ET|')(?![A-Za-z])")
-
-
-def _pdf_text(stream: bytes) -> str:
-    """Text that a content stream shows, a line for each text positioning; simple
-    fonts only."""
-    out: list[str] = []
-    for m in _SHOW.finditer(stream):
-        t = m[0]
-        if t[:1] == b"(":
-            body = re.sub(rb"\\([nrtbf()\\])", lambda x: {b"n": b"\n", b"r": b"", b"t": b"\t"}.get(x[1], x[1]), t[1:-1])
-            out.append(body.decode("latin-1"))
-        elif t[:1] == b"<" and t[1:-1].strip():
-            out.append(bytes.fromhex(re.sub(r"\s", "", t[1:-1].decode())).decode("latin-1"))
-        elif t in (b"Td", b"TD", b"T*", b"ET", b"'") and out and out[-1] != "\n":
-            out.append("\n")
-    return "".join(out).strip()
+_SHOW = re.compile(rb"/([^\s/()<>\[\]]+)\s+[-\d.]+\s+Tf|(\((?:\\.|[^\\()])*\))|(<[0-9A-Fa-f\s]*>)|(?<![A-Za-z])(Tj|TJ|Td|TD|T\*|ET|')(?![A-Za-z])", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+class _Pdf:
+    """The objects of a file, those in object streams too, and its fonts' maps to
+    Unicode."""
+
+    def __init__(self, data: bytes):
+        self.objects: dict[int, bytes] = {}
+        for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S):
+            self.objects[int(m[1])] = m[2]
+        for body in list(self.objects.values()):
+            if b"/ObjStm" in body and (head := re.search(rb"/N\s+(\d+)", body)) and (first := re.search(rb"/First\s+(\d+)", body)):
+                inner, at = self.stream(body), int(first[1])
+                numbers = list(map(int, inner[:at].split()))[: 2 * int(head[1])]
+                starts = [at + x for x in numbers[1::2]] + [len(inner)]
+                for k, number in enumerate(numbers[::2]):
+                    self.objects.setdefault(number, inner[starts[k] : starts[k + 1]])
+        self.fonts: dict[bytes, tuple[int, dict[int, str]]] = {}
+        for body in self.objects.values():
+            for name, number in re.findall(rb"/([^\s/()<>\[\]]+)\s+(\d+)\s+\d+\s+R", body):
+                font = self.objects.get(int(number), b"")
+                if found := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", font):
+                    self.fonts[name] = _unicode_map(self.stream(self.objects.get(int(found[1]), b"")))
+
+    @staticmethod
+    def stream(body: bytes) -> bytes:
+        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+        if not m:
+            return b""
+        try:
+            return zlib.decompressobj().decompress(m[1])
+        except zlib.error:
+            return m[1]
+
+    def text(self, stream: bytes) -> str:
+        """Text that a content stream shows, a line for each text positioning."""
+        out: list[str] = []
+        font = None
+        for m in _SHOW.finditer(stream):
+            name, literal, hexa, operator = m.groups()
+            if name is not None:
+                font = self.fonts.get(name)
+            elif literal is not None:
+                out.append(_shown(_literal(literal[1:-1]), font))
+            elif hexa is not None and hexa[1:-1].strip():
+                digits = re.sub(r"\s", "", hexa[1:-1].decode())
+                out.append(_shown(bytes.fromhex(digits + "0" * (len(digits) % 2)), font))
+            elif operator in (b"Td", b"TD", b"T*", b"ET", b"'") and out and out[-1] != "\n":
+                out.append("\n")
+        return "".join(out).strip()
+
+
+def _literal(body: bytes) -> bytes:
+    """A literal string's bytes: escapes and octal codes."""
+    replace = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], b"" if m[1] in (b"\n", b"\r") else m[1])
+    return re.sub(rb"\\([0-7]{1,3}|.)", replace, body, flags=re.S)
+
+
+def _shown(codes: bytes, font: tuple[int, dict[int, str]] | None) -> str:
+    if font is None:
+        return codes.decode("latin-1")
+    width, table = font
+    return "".join(table.get(int.from_bytes(codes[k : k + width], "big"), "") for k in range(0, len(codes), width))
+
+
+def _unicode_map(cmap: bytes) -> tuple[int, dict[int, str]]:
+    """Bytes a code and the text of each code, of a ToUnicode map."""
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    spaces = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
+    width, table = (len(spaces[1]) // 2 if spaces else 2), {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            table[int(a, 16)] = text(b)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, one, several in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", block, re.S):
+            if several:
+                table.update(zip(range(int(a, 16), int(b, 16) + 1), map(text, re.findall(rb"<([0-9A-Fa-f]+)>", several))))
+            else:
+                start = int(one, 16)
+                table.update({k: text(b"%0*X" % (len(one), start + k - int(a, 16))) for k in range(int(a, 16), int(b, 16) + 1)})
+    return width, table
 
 
 def pdf(data: bytes, stem: str) -> tuple[str, list[dict], dict]:
-    """A section for each page that shows text. Reads plain and Flate streams of
-    simple fonts; other files fail as unsupported."""
+    """A section for each page that shows text. Reads plain and Flate streams, of
+    fonts that have a map to Unicode or simple codes; other files fail as unsupported."""
     if not data.startswith(b"%PDF"):
         raise ParsingError("not a .pdf file")
-    pages = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        body = m[1]
-        try:
-            body = zlib.decompress(body)
-        except zlib.error:
-            pass
-        if b"BT" in body:
-            pages.append(_pdf_text(body))
+    file = _Pdf(data)
+    pages = [file.text(body) for _, o in sorted(file.objects.items()) if b"/ObjStm" not in o and b"BT" in (body := file.stream(o)) and b"beginbf" not in body]
     rows = [{"section_id": f"s{k}", "heading": f"Page {k}", "level": 1, "text": t, "page_numbers": [k]} for k, t in enumerate(pages, 1) if t]
     if not rows:
         raise ParsingError("no text found, or its encoding is unsupported")
-    found = re.search(rb"/Title\s*\(((?:\\.|[^\\()])*)\)", data)
-    title = found[1].decode("latin-1").strip() if found else ""
+    found = re.search(rb"/Title\s*\(((?:\\.|[^\\()])*)\)", b"\n".join([data, *file.objects.values()]), re.S)
+    title = _literal(found[1]).decode("latin-1").strip() if found else ""
     return title or rows[0]["text"].split("\n")[0][:100] or stem, rows, {"pages": str(len(pages))}
 
 
+def docx_bytes(paras: list[tuple[str, str]]) -> bytes:
+    """A .docx file of (style, text) paragraphs."""
+    ns = f'xmlns:w="{_W[1:-1]}"'
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{escape(s)}"/></w:pPr><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for s, t in paras)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+    return out.getvalue()
+
+
+def pdf_bytes(pages: list[list[str]], title: str = "") -> bytes:
+    """A .pdf file of pages of lines, in a simple font's codes."""
+    code = lambda t: re.sub(rb"([\\()])", rb"\\\1", t.encode("latin-1", "replace"))
+    out = [b"%PDF-1.4\n1 0 obj <</Title (" + code(title) + b")>> endobj\n"]
+    for k, lines in enumerate(pages, 2):
+        body = zlib.compress(b"BT /F1 12 Tf " + b" 0 -14 Td ".join(b"(" + code(t) + b") Tj" for t in lines) + b" ET")
+        out.append(b"%d 0 obj <</Length %d /Filter /FlateDecode>>\nstream\n" % (k, len(body)) + body + b"\nendstream endobj\n")
+    return b"".join(out)
+
+
 def parse(data: bytes, path: str) -> tuple[str, list[dict], dict]:
     kind = path.rsplit(".", 1)[-1].lower()
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -127,7 +207,11 @@ def parse(data: bytes, path: str) -> tuple[str, list[dict], dict]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's stem), title, sections, metadata and error of all files under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """The documents of (path, content) rows; what fails has its message in ``error``."""
 
     def run(frames):
         for frame in frames:
