@@ -25,7 +25,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            common.remove(spark, before)  # the stage that read it is written
+        before = path
     return docs
