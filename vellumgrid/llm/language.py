@@ -142,7 +142,7 @@ def fit(rows: DataFrame, sample: int = 5000, most: int = 20_000, bits: int = BIT
     grams = known.filter(drawn).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the most frequent n-grams: a threshold on the count, found from its histogram, bounds what is kept
     level = F.floor(F.log2("n") * 8).cast("int")
-    graded = common.materialise(grams.withColumn("level", level), "language-grams")
+    graded, path = common.stored(grams.withColumn("level", level), "language-grams")
     totals, floors = {}, {}
     by_lang: dict[str, list] = {}
     for r in graded.groupBy("lang", "level").agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect():
@@ -157,7 +157,8 @@ def fit(rows: DataFrame, sample: int = 5000, most: int = 20_000, bits: int = BIT
             have, floors[lang] = have + c, at
         keep = keep | ((F.col("lang") == lang) & (F.col("level") >= floors[lang]))
     languages = sorted(sizes)
-    picked = graded.filter(keep).select("lang", "gram", "n").toArrow()
+    picked = graded.filter(keep).select("lang", "gram", "n").toArrow()  # about ``most`` rows a language
+    common.remove(rows.sparkSession, path)
     where = {lang: k for k, lang in enumerate(languages)}
     own = np.array([where[x] for x in picked.column("lang").to_pylist()], np.int64)
     codes = picked.column("gram").to_numpy()

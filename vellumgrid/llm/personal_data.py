@@ -230,7 +230,7 @@ def ordinary(docs: DataFrame, live: DataFrame) -> DataFrame:
     return keys.join(live.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("n_words"))
 
 
-def score(edges: DataFrame, least: float, support: int, rounds: int, keep: common.Scratch) -> DataFrame:
+def score(edges: DataFrame, hot: list[tuple[int, int]], least: float, support: int, rounds: int, keep: common.Scratch) -> DataFrame:
     """pattern, p, as_kind of accepted patterns; ``edges`` has pattern, instance,
     kind (seeds 0 and more, candidates -1) and n, what speaks against the pattern."""
     belief = None
@@ -247,7 +247,7 @@ def score(edges: DataFrame, least: float, support: int, rounds: int, keep: commo
         most = reduce(lambda a, k: F.greatest(a, F.struct(F.col(f"k{k}").alias("c"), F.lit(-k).alias("k"))), range(1, len(KINDS)), F.struct(F.col("k0").alias("c"), F.lit(0).alias("k")))
         kind = F.when(most["k"] == -CARD, F.lit(SECRET)).otherwise(-most["k"])
         accepted = keep(tally.filter((F.col("high") >= support) & (F.col("p") >= least)).select("pattern", "p", kind.alias("as_kind")), "pii-accepted")
-        told = edges.filter("kind = -1").join(accepted, "pattern").groupBy("instance")
+        told = common.spread_join(edges.filter("kind = -1"), accepted, "pattern", hot).groupBy("instance")
         belief = keep(
             told.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("told"), F.max(F.struct("p", (-F.col("as_kind")).alias("k"))).alias("x")).select(
                 "instance", "told", (-F.col("x.k")).alias("told_kind")
@@ -268,9 +268,10 @@ def discover(docs: DataFrame, scanned: DataFrame, keep: common.Scratch, least: f
     live = keep(sizes.filter(f"n_all >= {support} and n_new > 0"), "pii-live")
     words = keep(ordinary(docs, live), "pii-words")
     against = live.join(words, "pattern", "left").select("pattern", (F.col("n_failed") + F.coalesce("n_words", F.lit(0))).alias("n"))
-    graph = keep(common.spread_join(edges.filter("kind > -2"), against, "pattern", common.hot_keys(edges, "pattern")), "pii-graph")
-    accepted = score(graph, least, support, rounds, keep)
-    hits = usable.filter("kind = -1").drop("kind").join(accepted, "pattern")
+    hot = common.hot_keys(edges, "pattern")
+    graph = keep(common.spread_join(edges.filter("kind > -2"), against, "pattern", hot), "pii-graph")
+    accepted = score(graph, hot, least, support, rounds, keep)
+    hits = common.spread_join(usable.filter("kind = -1").drop("kind"), accepted, "pattern", common.hot_keys(usable, "pattern"))
     best = hits.groupBy("doc_id", "row_key", "start", "stop").agg(F.max_by("as_kind", F.struct("p", -F.col("as_kind"))).alias("kind"))
     return best.select("doc_id", "row_key", "start", "kind", "stop")
 
