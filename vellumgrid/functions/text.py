@@ -160,10 +160,20 @@ def ner_type(label: Column) -> Column:
     return F.coalesce(F.get(F.array(table), F.lit(0))[label], F.lit("System"))
 
 
-def entity_context(text: Column, value: Column, parts: Column | None = None) -> Column:
-    """The first sentence (of ``parts``, if given) that holds ``value``, else the text's first 200 characters."""
-    parts = sentences(text) if parts is None else parts
-    return F.coalesce(F.get(F.filter(parts, lambda s: F.contains(s, value)), F.lit(0)), F.substring(text, 1, 200))
+def joined_sentences(text: Column) -> Column:
+    """Sentences with a mark between them, to be searched by ``entity_context``."""
+    return F.array_join(sentences(F.replace(text, F.lit("\x01"), F.lit(" "))), "\x01")
+
+
+def entity_context(text: Column, value: Column, joined: Column | None = None) -> Column:
+    """The first sentence that holds ``value``, else the text's first 200 characters.
+    ``joined``: the text's sentences, joined once for all values; the search stops
+    at the first hit."""
+    joined = joined_sentences(text) if joined is None else joined
+    at = F.instr(joined, value)
+    left = F.substring_index(F.substring(joined, F.lit(1), at - 1), "\x01", -1)
+    right = F.substring_index(F.substring(joined, at, F.length(joined)), "\x01", 1)
+    return F.when(at > 0, F.concat(left, right)).otherwise(F.substring(text, 1, 200))
 
 
 def chunk_uuid(chunk_id: Column) -> Column:

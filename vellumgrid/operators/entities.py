@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import text as T
-from vellumgrid.operators.durable import durable
+from vellumgrid.operators.durable import durable, spread
 
 #: Fixed values.
 TYPES = ["System", "PaymentMode", "Workflow", "Rule", "Field"]
@@ -21,7 +21,7 @@ def _rows(found: DataFrame, properties: Column) -> DataFrame:
     canonical = T.normalise_name(F.col("name"))
     return found.select(
         T.entity_id(canonical, F.col("chunk_id")).alias("entity_id"), "entity_type", "name", canonical.alias("canonical_name"),
-        F.col("chunk_id").alias("source_chunk_id"), T.entity_context(F.col("text"), F.col("name"), F.col("parts")).alias("context"), properties.alias("properties"),
+        F.col("chunk_id").alias("source_chunk_id"), T.entity_context(F.col("text"), F.col("name"), F.col("joined")).alias("context"), properties.alias("properties"),
     )
 
 
@@ -35,7 +35,8 @@ def from_labels(rows: DataFrame) -> DataFrame:
     """Entities of a recogniser's output: (chunk_id, text, spans), a span being a
     text and its label."""
     # sentences are split once a text, before its spans become rows
-    found = rows.select("chunk_id", "text", T.sentences(F.col("text")).alias("parts"), F.explode("spans").alias("s")).select("chunk_id", "text", "parts", F.col("s.text").alias("name"), F.col("s.label").alias("label"))
+    rows = rows.select("chunk_id", "text", "spans", T.joined_sentences(F.col("text")).alias("joined"))
+    found = rows.select("chunk_id", "text", "joined", F.explode("spans").alias("s")).select("chunk_id", "text", "joined", F.col("s.text").alias("name"), F.col("s.label").alias("label"))
     typed = found.filter(F.trim("name") != "").withColumn("entity_type", _named_type(F.col("name"), T.ner_type(F.col("label"))))
     return _rows(typed, F.create_map(F.lit("extraction_method"), F.lit("ner"), F.lit("spacy_label"), F.col("label")))
 
@@ -44,7 +45,8 @@ def from_replies(rows: DataFrame) -> DataFrame:
     """Entities of a model's JSON replies: (chunk_id, text, reply). Entries without
     a name are left out; an unknown type is a System; a reply that isn't JSON has none."""
     each = T.json_array(F.col("reply"), "struct<name:string,type:string,properties:map<string,string>>")
-    found = rows.select("chunk_id", "text", T.sentences(F.col("text")).alias("parts"), F.explode(each).alias("e")).select("chunk_id", "text", "parts", F.col("e.name").alias("name"), F.col("e.type").alias("type"), F.col("e.properties").alias("given"))
+    rows = rows.select("chunk_id", "text", each.alias("found"), T.joined_sentences(F.col("text")).alias("joined"))
+    found = rows.select("chunk_id", "text", "joined", F.explode("found").alias("e")).select("chunk_id", "text", "joined", F.col("e.name").alias("name"), F.col("e.type").alias("type"), F.col("e.properties").alias("given"))
     typed = found.filter(F.coalesce(F.trim("name"), F.lit("")) != "").withColumn("entity_type", F.when(F.col("type").isin(TYPES), F.col("type")).otherwise("System"))
     return _rows(typed, F.map_concat(F.coalesce("given", F.create_map().cast("map<string,string>")), F.create_map(F.lit("extraction_method"), F.lit("llm"))))
 
@@ -56,7 +58,7 @@ def extract(chunks: DataFrame) -> DataFrame:
     spans = lambda values, label: F.transform(F.array_distinct(values), lambda v: F.struct(v.alias("text"), F.lit(label).alias("label")))
     text = F.coalesce(F.col("text"), F.lit(""))
     every = [spans(T.mentions(text), "ORG"), *[spans(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), label) for label, pattern in LABELLED.items()]]
-    return from_labels(chunks.select("chunk_id", "text", F.concat(*every).alias("spans")))
+    return from_labels(spread(chunks.select("chunk_id", "text")).select("chunk_id", "text", F.concat(*every).alias("spans")))
 
 
 def deduplicated(entities: DataFrame, pos: str = "pos") -> DataFrame:

@@ -10,16 +10,10 @@ from pyspark.sql import functions as F
 from vellumgrid.config import RetrievalError, Settings
 from vellumgrid.functions import text as T
 from vellumgrid.functions import vectors as V
-from vellumgrid.operators.durable import durable
+from vellumgrid.operators.durable import durable, spread
 from vellumgrid.operators.store import TableStore
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a few large files dealt to all cores; a table of many files as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 def _terms(chunks: DataFrame) -> DataFrame:
     body = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("breadcrumbs", F.lit("")))
     return spread(chunks.select("chunk_id", "text", "breadcrumbs")).select("chunk_id", T.bm25_tokens(body).alias("terms"))
