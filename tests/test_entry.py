@@ -16,6 +16,17 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_derived_tables_are_built_again_when_gone(spark):
+    from vellumgrid.plans import base
+
+    small = "/root/testdata/sf0.001"
+    first = base.edges(spark, small).count()
+    folder, there = base._place(spark, small, "edges")
+    assert there and base._place(spark, small, "edges") == (folder, True)
+    shutil.rmtree(folder.removeprefix("file:"))
+    assert base.edges(spark, small).count() == first
+
+
 def test_entry_without_the_optional_parts(tmp_path):
     """The other queries stay when the optional subpackage is deleted."""
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.operators.durable import shared
+from vellumgrid.operators.durable import exists, shared
 from vellumgrid.operators.retrieval import KeywordIndex
 from vellumgrid.shipping import importable
 
@@ -19,25 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _kept: dict[tuple[str, str, str], str] = {}
 
 
+def _place(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool]:
+    """The folder of a derived table of this application and data folder, and
+    whether it still stands."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _kept and exists(spark, _kept[key]):
+        return _kept[key], True
+    _kept[key] = shared(spark, name)
+    return _kept[key], False
+
+
 def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, written to the shared folder once for an application and
     data folder and read from there, as an ingested store would hold it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        path = shared(spark, name)
+    path, there = _place(spark, sf_dir, name)
+    if not there:
         build().write.parquet(path)
-        _kept[key] = path
-    return spark.read.parquet(_kept[key])
+    return spark.read.parquet(path)
 
 
 def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
     """The documents' keyword index, built once like the tables of ``kept``."""
-    key = (spark.sparkContext.applicationId, sf_dir, "keyword-index")
-    index = KeywordIndex(spark, _kept.get(key) or shared(spark, "keyword-index"))
-    if key not in _kept:
-        index.build(chunks(spark, sf_dir))
-        _kept[key] = index.store.root
-    return index
+    path, there = _place(spark, sf_dir, "keyword-index")
+    index = KeywordIndex(spark, path)
+    return index if there and index.exists else index.build(chunks(spark, sf_dir))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
