@@ -24,6 +24,18 @@ def property_conflicts(mentions: DataFrame) -> DataFrame:
     return a.join(b, ["entity_type", "n", "key"]).filter("a < b and value_a <> value_b").select("a", "b", "key", "value_a", "value_b")
 
 
+def conflict_classes(mentions: DataFrame) -> DataFrame:
+    """The conflicts of ``property_conflicts`` between values in place of mentions: for
+    each type, name and property every two differing values, with the number and the
+    first of the mentions that give each. A name borne by very many mentions has as
+    many rows as its values have pairs."""
+    rows = mentions.filter("source_chunk_id is not null").select("entity_id", "entity_type", F.lower("canonical_name").alias("n"), F.explode("properties").alias("key", "value"))
+    rows = rows.filter(F.col("value").isNotNull() & ~F.col("key").isin(IGNORED_PROPERTIES))
+    held = rows.groupBy("entity_type", "n", "key", "value").agg(F.countDistinct("entity_id").alias("size"), F.min("entity_id").alias("first"))
+    side = lambda c: held.select("entity_type", "n", "key", *[F.col(x).alias(f"{x}_{c}") for x in ("value", "size", "first")])
+    return side("a").join(side("b"), ["entity_type", "n", "key"]).filter("value_a < value_b").withColumnRenamed("n", "name")
+
+
 def edges(found: DataFrame) -> DataFrame:
     """Two directed edges for each conflicting pair, with all reasons."""
     each = F.concat("key", F.lit(": "), "value_a", F.lit(" vs "), "value_b")

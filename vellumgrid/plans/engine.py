@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from vellumgrid.operators.store import TableStore
 from vellumgrid.shipping import importable
 from vellumgrid.streaming.ingest import STATES
 
+_JOB = "job_id string, status string, parents long, children long, error string"
 MODES = ("VECTOR", "GRAPH", "HYBRID")
 
 
@@ -31,6 +33,7 @@ class Engine:
         self.embed, self.relevance, self.generate, self.support, self.extract = embed, relevance, generate, support, extract
         self.index = retrieval.KeywordIndex(spark, f"{root.rstrip('/')}/keywords")
         self.degraded: list[str] = []
+        self._workers = ThreadPoolExecutor(1)  # ingestion rewrites shared tables: one job at a time
 
     def _has(self, name: str) -> bool:
         return self.store.has(name)
@@ -63,7 +66,17 @@ class Engine:
         n = self.store.read("chunks").groupBy("chunk_type").count().collect() if self._has("chunks") else []  # two rows
         counts = {r.chunk_type: r["count"] for r in n}
         row = [(job_id, state, counts.get("parent", 0), counts.get("child", 0), error)]
-        return self.store.upsert("ingestion_jobs", self.spark.createDataFrame(row, "job_id string, status string, parents long, children long, error string"), "job_id").filter(F.col("job_id") == job_id)
+        return self.store.upsert("ingestion_jobs", self.spark.createDataFrame(row, _JOB), "job_id").filter(F.col("job_id") == job_id)
+
+    def submit(self, sections: DataFrame, job_id: str, edges: DataFrame | None = None) -> Future:
+        """Ingest in the background: the job is pending until a worker takes it up;
+        ``job`` tells its state at any time."""
+        pending = [(job_id, STATES[0], 0, 0, None)]
+        self.store.upsert("ingestion_jobs", self.spark.createDataFrame(pending, _JOB), "job_id")
+        return self._workers.submit(self.ingest, sections, job_id, edges)
+
+    def job(self, job_id: str) -> DataFrame:
+        return self.store.read("ingestion_jobs").filter(F.col("job_id") == job_id)
 
     def _graph_side(self, names: list[str], pattern: str) -> tuple[DataFrame, DataFrame]:
         """Chunks and facts that the question's pattern retrieves."""

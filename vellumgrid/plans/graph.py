@@ -251,6 +251,16 @@ CONFLICT_PAIRS = f"""{GRAPH}, pr AS (SELECT entity_id, entity_type, lower(canoni
 SELECT a.entity_id AS a, b.entity_id AS b, a.key, a.value AS value_a, b.value AS value_b FROM pr a JOIN pr b ON a.entity_type = b.entity_type AND a.n = b.n AND a.key = b.key AND a.entity_id < b.entity_id AND a.value <> b.value"""
 
 
+def conflict_classes(s: SparkSession, d: str) -> DataFrame:
+    """Conflicting values of one name, with the mentions' numbers."""
+    return conflicts.conflict_classes(base.entities(s, d))
+
+
+CONFLICT_CLASSES = f"""{GRAPH}, pr AS (SELECT entity_id, entity_type, lower(canonical_name) AS name, 'size' AS key, size AS value FROM ent UNION ALL SELECT entity_id, entity_type, lower(canonical_name), 'kind', kind FROM ent),
+v AS (SELECT entity_type, name, key, value, count(DISTINCT entity_id) AS size, min(entity_id) AS first FROM pr GROUP BY ALL)
+SELECT a.entity_type, a.name, a.key, a.value AS value_a, a.size AS size_a, a.first AS first_a, b.value AS value_b, b.size AS size_b, b.first AS first_b FROM v a JOIN v b ON a.entity_type = b.entity_type AND a.name = b.name AND a.key = b.key AND a.value < b.value"""
+
+
 def conflict_list(s: SparkSession, d: str) -> DataFrame:
     """Conflicts with kind and severity."""
     e = base.entities(s, d)
@@ -507,7 +517,7 @@ QUERIES = {
     "graph_facts": (fact_rows, FACTS), "path_assembly": (path_assembly, PATH_ASSEMBLY), "entity_types": (type_counts, TYPE_COUNTS),
     "entity_extraction": (extracted, EXTRACTED), "entity_dedup": (deduplicated, DEDUPLICATED), "entity_similarity": (similar, SIMILAR),
     "entity_resolution": (resolved, RESOLVED), "same_as": (same_as, SAME_AS), "property_conflicts": (conflict_pairs, CONFLICT_PAIRS),
-    "conflict_list": (conflict_list, CONFLICT_LIST), "rule_ranking": (rules, RULES), "rule_overlaps": (overlaps, OVERLAPS), "common_entities": (common, COMMON),
+    "conflict_list": (conflict_list, CONFLICT_LIST), "conflict_classes": (conflict_classes, CONFLICT_CLASSES), "rule_ranking": (rules, RULES), "rule_overlaps": (overlaps, OVERLAPS), "common_entities": (common, COMMON),
     "document_groups": (groups, GROUPS), "value_differences": (differences, DIFFERENCES), "type_differences": (rel_types, REL_TYPES),
     "graph_integration_single": (integration_single, INTEGRATION_SINGLE), "graph_integration_pair": (integration_pair, INTEGRATION_PAIR), "workflow_lookup": (workflow_lookup, WORKFLOW_LOOKUP),
     "rule_lookup": (rule_lookup, RULE_LOOKUP), "rules_all": (rules_all, RULES_ALL), "conflict_lookup": (conflict_lookup, CONFLICT_LOOKUP), "comparison_single": (comparison_single, COMPARISON_SINGLE),
