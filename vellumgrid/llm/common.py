@@ -94,7 +94,7 @@ class Scratch:
             remove(spark, path)
 
 
-def hot_keys(many: DataFrame, key: str, weight: str | None = None, share: int = 200) -> list[tuple[int, int]]:
+def hot_keys(many: DataFrame, key: str, weight: str | None = None, share: int = 1000) -> list[tuple[int, int]]:
     """(key, pieces) of the keys that hold more than one in ``share`` of the rows of
     ``many`` (or of the sum of its column ``weight``); there are at most ``share``
     of them. A piece is one such part."""

@@ -355,7 +355,7 @@ def _grouped(docs: DataFrame, least: float, counted: bool, tie: bool, keep: comm
     # bands whose texts lie in several components
     placed = shared.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     torn = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    open_ = keep(common.spread_join(placed, torn, "band", hot, "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "dart-open")
+    open_ = keep(common.spread_join(placed, torn, "band", common.hot_keys(shared, "band"), "left_semi").groupBy("rep").agg(F.min("label").alias("label")), "dart-open")
     rest = keep(_prefix_pairs(sets.join(open_, "rep"), least, keep).join(pairs, ["a", "b"], "left_anti"), "dart-rest")
     extra = _links(rest, sets, least)
     member = signed.select("doc_id", "row_key", "rep").distinct()
