@@ -16,7 +16,14 @@ from vellumgrid.shipping import importable
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Rows of an Arrow batch. Texts are long: Spark's 10,000 rows of them fill an executor's memory.
+BATCH_ROWS = 2500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -94,7 +101,7 @@ class Scratch:
             remove(spark, path)
 
 
-def hot_keys(many: DataFrame, key: str, weight: str | None = None, share: int = 1000) -> list[tuple[int, int]]:
+def hot_keys(many: DataFrame, key: str, weight: str | None = None, share: int = 200) -> list[tuple[int, int]]:
     """(key, pieces) of the keys that hold more than one in ``share`` of the rows of
     ``many`` (or of the sum of its column ``weight``); there are at most ``share``
     of them. A piece is one such part."""
