@@ -142,6 +142,17 @@ def test_groups_give_the_trails_of_their_edges(spark):
         assert plain(graph.reached(e, seeds, 2, ["APPLIES_TO"])) == plain(graph.trails(e, seeds, 2, types=["APPLIES_TO"]).select("start", "end").distinct())
 
 
+def test_overlaps_of_grouped_rules(spark):
+    g = grouped(spark)
+    more = spark.createDataFrame([("x1", "APPLIES_TO", "r9", "a"), ("x2", "APPLIES_TO", "r9", "z"), ("x3", "APPLIES_TO", "r3", "z")], g.plain.schema)
+    g = graph.Grouped(g.plain.unionByName(more), g.rel_type, g.left, g.right)
+    nodes = spark.createDataFrame([(n, "Rule" if n[0] == "r" else "Field") for n in ("r1", "r2", "r3", "r9", "a", "b", "c", "z", "z")], "entity_id string, entity_type string")
+    rules = nodes.filter("entity_type = 'Rule'").select(F.col("entity_id").alias("rule_id"))
+    targets = conflicts.rule_targets(rules, g.rows(), nodes)
+    got = sorted(map(tuple, conflicts.grouped_overlaps(rules, g, nodes).collect()))
+    assert got == sorted(map(tuple, conflicts.rule_overlaps(targets).collect())) and len(got) == 2 + 2 + 4 + 2
+
+
 def test_rule_edges_where_groups_share_a_part(spark, duck, tmp_path):
     """Groups stand in for the rule edges; a key in two groups gives its edges once."""
     from vellumgrid.plans import base
