@@ -171,6 +171,30 @@ def test_overlaps_of_grouped_rules(spark):
     assert got == sorted(map(tuple, conflicts.rule_overlaps(targets).collect())) and len(got) == 2 + 2 + 4 + 2
 
 
+def test_overlaps_of_groups_in_blocks(spark, monkeypatch, tmp_path):
+    """Blocks lose no pair and repeat none, one group is dealt to several tasks, and
+    the rows take a fraction of a byte where ids of over a byte recur."""
+    side = "group int, node string, part string"
+    none = edges(spark, []).select("rel_id", "rel_type", "src", "dst")
+
+    def made(sizes):
+        rules_ = [(g, f"r{g}_{k}") for g, (n, _) in enumerate(sizes) for k in range(n)]
+        to = [(g, f"e{g}_{k}") for g, (_, n) in enumerate(sizes) for k in range(n)]
+        one, two = (spark.createDataFrame([(g, n, n) for g, n in rows], side) for rows in (rules_, rules_ + to))
+        nodes = spark.createDataFrame([(n, "Rule") for _, n in rules_] + [(n, "Field") for _, n in to], "entity_id string, entity_type string")
+        return conflicts.grouped_overlaps(spark.createDataFrame([(n,) for _, n in rules_], "rule_id string"), graph.Grouped(none, "APPLIES_TO", one, two), nodes)
+
+    made([(20, 1101)]).write.parquet(str(tmp_path / "out"))
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    assert n == 20 * 19 * 1101 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < n / 5
+    monkeypatch.setattr(conflicts, "BLOCK", 8)
+    sizes = [(50, 21), (9, 8), (1, 5), (3, 0)]
+    frame = made(sizes)
+    want = sorted((f"r{g}_{a}", f"r{g}_{b}", f"e{g}_{k}") for g, (m, n) in enumerate(sizes) for a in range(m) for b in range(m) if a != b for k in range(n))
+    assert sorted(map(tuple, frame.collect())) == want
+    assert frame.filter("rule_id like 'r0%'").select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_rule_edges_where_groups_share_a_part(spark, duck, tmp_path):
     """Groups stand in for the rule edges; a key in two groups gives its edges once."""
     from vellumgrid.plans import base
